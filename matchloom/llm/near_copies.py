@@ -29,6 +29,8 @@ from matchloom.session import materialise, table
 WIDTH, LEAST_WORDS, THRESHOLD = 3, 20, 0.7
 BANDS, ROWS = 32, 4
 BLOCK, SPELLED = 256, 64
+#: Minima of the first, coarse look at a candidate's signatures; most candidates need no more.
+BRIEF = 32
 #: Standard deviations of the signature's estimate below the threshold at which a candidate is dropped.
 SLACK = 4.5
 
@@ -83,11 +85,19 @@ def candidates(bands: DataFrame) -> DataFrame:
 def _estimate(batches):
     for batch in batches:
         n = batch.num_rows
-        flat = [np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(n, BANDS * ROWS) if n else np.zeros((0, 1), np.uint8) for k in (2, 3)]
+        flat = [np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(n, -1) if n else np.zeros((0, 1), np.uint8) for k in (2, 3)]
         share = (flat[0] == flat[1]).mean(axis=1) if n else np.zeros(0)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((share - 1 / 256) / (1 - 1 / 256), pa.float64())], ["lo", "hi", "estimate"])
 
 
+def estimated(pairs: DataFrame, signed: DataFrame, minima_used: int, threshold: float) -> DataFrame:
+    """The pairs that may reach the threshold by the first ``minima_used`` minima of their signatures."""
+    sign = signed.select("key", F.substring("sign", 1, minima_used).alias("sign"))
+    met = pairs.join(sign.toDF("lo", "sign_lo"), "lo").join(sign.toDF("hi", "sign_hi"), "hi").select("lo", "hi", "sign_lo", "sign_hi")
+    least = threshold - SLACK * (threshold * (1 - threshold) / minima_used) ** 0.5
+    return met.mapInArrow(_estimate, "lo string, hi string, estimate double").where(F.col("estimate") >= least).select("lo", "hi")
+
+
 def _sets(width: int, least_words: int):
     def run(batches):
         words = Words()
@@ -117,10 +127,8 @@ def similar(texts: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH,
     copies = membership.where("key <> root").select("key")
     first = signed.join(copies, "key", "left_anti")
     pairs = candidates(first.select("key", F.explode("bands").alias("band")))
-    sign = signed.select("key", "sign")
-    pairs = pairs.join(sign.toDF("lo", "sign_lo"), "lo").join(sign.toDF("hi", "sign_hi"), "hi").select("lo", "hi", "sign_lo", "sign_hi")
-    least = threshold - SLACK * (threshold * (1 - threshold) / (BANDS * ROWS)) ** 0.5
-    pairs = materialise(pairs.mapInArrow(_estimate, "lo string, hi string, estimate double").where(F.col("estimate") >= least).select("lo", "hi"))
+    pairs = materialise(estimated(estimated(pairs, signed, BRIEF, threshold), signed, BANDS * ROWS, threshold))
+    del signed, first, copies
     ends = pairs.select(F.col("lo").alias("key"), "lo", "hi").unionAll(pairs.select(F.col("hi").alias("key"), "lo", "hi"))
     sides = ends.join(texts.where("text is not null").select("key", "text"), "key").select("lo", "hi", "text").mapInArrow(_sets(width, least_words), "lo string, hi string, values binary")
     met = sides.groupBy("lo", "hi").agg(F.min("values").alias("x"), F.max("values").alias("y"))
