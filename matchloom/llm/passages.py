@@ -168,8 +168,8 @@ def shared_spans(texts: DataFrame, least: int = LEAST, gram: int = GRAM) -> tupl
     membership = materialise(same.join(roots, "same").select("key", "root"))
     found = texts.mapInArrow(_windows(least, gram), "hash long, key long, centre int, before int, after int")
     found = found.join(membership.where("key <> root").select("key"), "key", "left_anti")
-    anchors = _joined(found, least - gram + 1).groupBy("lo", "hi").agg(F.collect_set(F.struct("at_lo", "at_hi")).alias("anchors"))
-    anchors = materialise(anchors)
+    anchors = materialise(_joined(found, least - gram + 1).groupBy("lo", "hi").agg(F.collect_set(F.struct("at_lo", "at_hi")).alias("anchors")))
+    del found
     ends = anchors.select(F.col("lo").alias("key")).unionAll(anchors.select("hi")).distinct()
     wanted = texts.join(ends, "key", "left_semi").dropDuplicates(["key"])
     met = anchors.join(wanted.toDF("lo", "text_lo"), "lo").join(wanted.toDF("hi", "text_hi"), "hi").select("lo", "hi", "text_lo", "text_hi", "anchors")
