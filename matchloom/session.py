@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,8 +23,23 @@ def get_spark(app: str = "matchloom", master: str = "local[*]", **conf: str) ->
     return SparkSession.builder.master(master).appName(app).config(map=settings).getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the executors once for each context, so that their Python workers need no installation."""
+    context = spark.sparkContext
+    if getattr(context, "_matchloom_shipped", False):
+        return
+    context._matchloom_shipped = True
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="matchloom-")) / "matchloom.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One parquet table of a data folder."""
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -37,9 +56,26 @@ def shared_folder(spark: SparkSession) -> str:
     return folder or context.getCheckpointDir()
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files and checkpoints of data that nothing refers to any more.
+
+    The first round drops the driver's Python handles, the second the plans that these held.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """``df`` computed once into the shared folder, with its lineage cut; survives the loss of executors."""
-    shared_folder(df.sparkSession)
+    """``df`` computed once into the shared folder, with its lineage cut; survives the loss of executors.
+
+    Files of earlier steps that are no longer referred to are given back first, so that a query needs the disk of its
+    largest step rather than of all.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
+    release(spark)
     return df.checkpoint(eager=True)
 
 
