@@ -34,6 +34,7 @@ CONFUSIONS = [
     ("rn", "m"), ("m", "rn"), ("cl", "d"), ("ri", "n"), ("ii", "u"), ("vv", "w"),
 ]
 #: A frequent word must be this many times as frequent as its misreading, for readings with a sign no word holds, and others.
+GO_ON_LINES = 3
 ODD_RATIO, PLAIN_RATIO = 2, 15
 LEAST_FREQUENT = 3
 BITS = 1 << 22
@@ -46,10 +47,14 @@ _PAGE = r"(?:p[a@][gq][ec]|pg|p)"
 STRONG = re.compile(rf"(?:{_PAGE}[\s.]*{_N}(?:\s*[o0][ft]\s*{_N}|\s*/\s*{_N})?|\[\s*{_N}\s*\]|[-–—~]\s*{_N}\s*[-–—~]|{_N}\s*\|\s*p\s*[a@]\s*[gq]\s*[ec])")
 WEAK = re.compile(r"[0-9]{1,4}|\([0-9]{1,4}\)|[ivxlc]{1,7}|[0-9]{1,4}\s*(?:of|/)\s*[0-9]{1,4}")
 PAGE_PART = re.compile(rf"\s+{_PAGE}\.?\s*{_N}(?:\s*[o0][ft]\s*{_N})?\s*$|^\s*{_PAGE}\.?\s*{_N}(?:\s*[o0][ft]\s*{_N})?\s+(?=\S)")
-_MANY = (("rn", "m"), ("vv", "w"), ("cl", "d"), ("ii", "u"), ("ri", "n"))
-_ONE = str.maketrans({"0": "o", "1": "l", "i": "l", "!": "l", "|": "l", "5": "s", "@": "a", "(": "c", "e": "c", "6": "b", "h": "b", "f": "t", "q": "g", "y": "v"})
+#: Every character as the string that it shares with its look-alikes; a look-alike of two characters spells both out.
+_ALIKE = str.maketrans({
+    "0": "o", "1": "l", "i": "l", "!": "l", "|": "l", "5": "s", "@": "a", "(": "c", "e": "c", "6": "b", "h": "b", "f": "t", "q": "g", "y": "v",
+    "w": "vv", "d": "cl", "u": "ll", "n": "rl", "m": "rrl",
+})
 BREAK = re.compile(rf"([^\W\d_]+(?:-[^\W\d_]+)*)[{HYPHENS}][^\S\n]*$")
 GO_ON = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
+REFERENCE = re.compile(r"[^\W\d_]{2,}[0-9lIO]*[-/][-/0-9lIOSo]{2,}")
 ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100}
 LEAD, TRAIL = "\"'[{<|“‘*", "\"')]}>|.,;:?!”’*"
 WORDISH = re.compile(r"[^\W\d_]*(?:[0-9@!(-]*[^\W\d_]+)+[0-9@!(-]*")
@@ -57,10 +62,7 @@ WORDISH = re.compile(r"[^\W\d_]*(?:[0-9@!(-]*[^\W\d_]+)+[0-9@!(-]*")
 
 def folded(text: str) -> str:
     """Lower-case text in which look-alikes are equal."""
-    text = text.lower()
-    for read, printed in _MANY:
-        text = text.replace(read, printed)
-    return text.translate(_ONE)
+    return text.lower().translate(_ALIKE)
 
 
 def number(text: str) -> int | None:
@@ -111,11 +113,16 @@ def furniture(lines: list[str]) -> dict[int, str]:
         if k is not None:
             beside |= {filled[j] for j in (k - 1, k + 1) if 0 <= j < len(filled)}
     beside |= set(marks)
+    opening = {folded(w) for line in [x for x in lines if x.strip()][:6] for w in GO_ON.findall(line)}
     for key, places in seen.items():
         if len(places) < 2 or sum(c.isalnum() for c in key) < 8:
             continue
-        at_edge = [i for i in places if i in beside or i in part]
-        if len(at_edge) >= 2 or at_edge and re.search(r"[a-z]{2,}[-/0-9a-z]*[/-][a-z]*\d|[a-z]+/[losd0-9]{4}/", " ".join(lines[places[0]].lower().split())):
+        line = " ".join(lines[places[0]].split())
+        at_edge = sum(i in beside or i in part for i in places)
+        words = GO_ON.findall(line)
+        titled = len(words) > 3 and sum(folded(w) in opening for w in words) >= 0.6 * len(words)
+        apart = not line[:1].islower() and line[-1:] not in ".,;:" and (REFERENCE.search(line) or titled or len(places) > 2)
+        if at_edge >= 2 or apart:
             for i in places:
                 found[i] = "header"
     headers = [i for i, kind in found.items() if kind == "header"]
@@ -129,8 +136,8 @@ def furniture(lines: list[str]) -> dict[int, str]:
     return found
 
 
-def breaks(lines: list[str], gone: dict[int, str]) -> list[tuple[int, str, str, int]]:
-    """(line index, left part, right part, index of the line that goes on) of words broken at a line's end, in lower case."""
+def breaks(lines: list[str], gone: dict[int, str]) -> list[tuple[int, str, str, int, int]]:
+    """(line index, left part, right part, index of the line that may go on, its rank) of words broken at a line's end, in lower case."""
     found = []
     for i, line in enumerate(lines):
         if i in gone or not line or line.rstrip()[-1:] not in HYPHENS or not line.strip():
@@ -138,13 +145,16 @@ def breaks(lines: list[str], gone: dict[int, str]) -> list[tuple[int, str, str,
         left = BREAK.search(line)
         if not left:
             continue
+        rank = 0
         for j in range(i + 1, min(i + 9, len(lines))):
             if j in gone or not lines[j].strip():
                 continue
             right = GO_ON.match(lines[j].lstrip())
             if right:
-                found.append((i, left[1].lower(), right[0].lower(), j))
-            break
+                found.append((i, left[1].lower(), right[0].lower(), j, rank))
+            rank += 1
+            if rank == GO_ON_LINES:
+                break
     return found
 
 
@@ -167,7 +177,9 @@ def running(text: str) -> tuple[str, list[str], dict[int, str], list]:
     if not gone and not broken:
         return text, lines, gone, broken
     kept = ["" if i in gone else x for i, x in enumerate(lines)]
-    for i, left, right, j in broken:
+    for i, left, right, j, rank in broken:
+        if rank:
+            continue
         kept[i] = BREAK.sub("", kept[i])
         rest = kept[j].lstrip()
         kept[j] = rest[len(right):] if rest.lower().startswith(right) else kept[j]
@@ -200,7 +212,7 @@ def _examined(batches):
             body, _, gone, broken = running(text)
             count.update(body.lower().split())
             rows += [("f", key, i + 1, kind, None, None) for i, kind in gone.items()]
-            rows += [("h", key, i + 1, left, right, None) for i, left, right, _ in broken]
+            rows += [("h", key, i + 1, left, right, rank) for i, left, right, _, rank in broken]
         if len(count) > 400_000:
             settle()
         yield _rows(rows)
@@ -233,7 +245,7 @@ def _located(bits: np.ndarray):
                 if not hits:
                     continue
                 _, lines, gone, broken = running(text)
-                first = {j for _, _, _, j in broken}
+                first = {j for _, _, _, j, rank in broken if not rank}
                 for i, line in enumerate(lines):
                     if i in gone:
                         continue
@@ -293,16 +305,18 @@ def defects(texts: DataFrame) -> DataFrame:
     seen = materialise(texts.mapInArrow(_examined, SHAPE))
     counts = materialise(seen.where("kind = 'w'").groupBy(F.col("a").alias("word")).agg(F.sum("n").alias("n")))
     lines = seen.where("kind = 'f'").select("record_key", "line_no", F.col("a").alias("defect"), F.lit("").alias("repaired"))
-    broken = seen.where("kind = 'h'").select("record_key", "line_no", F.concat("a", "b").alias("joined"), F.concat_ws("-", "a", "b").alias("kept")).distinct()
+    broken = seen.where("kind = 'h'").select("record_key", "line_no", F.concat("a", "b").alias("joined"), F.concat_ws("-", "a", "b").alias("kept"), F.col("n").alias("rank")).distinct()
     fixes = materialise(corrections(counts, broken.select(F.col("joined").alias("word")).unionAll(broken.select("kept")).distinct()))
 
-    # hyphen evidence: the form that the corpus holds more often, after correction
+    # hyphen evidence: the first line to go on with whose word the corpus holds, in the form that it holds more often
     tried = broken.select("joined", "kept").distinct()
     for name in ("joined", "kept"):
         tried = tried.join(fixes.toDF(name, f"{name}_fix"), name, "left").withColumn(f"{name}_form", F.coalesce(f"{name}_fix", name))
         tried = tried.join(counts.toDF(f"{name}_form", f"n_{name}"), f"{name}_form", "left")
-    whole = F.when(F.coalesce("n_kept", F.lit(0)) > F.coalesce("n_joined", F.lit(0)), F.col("kept_form")).otherwise(F.col("joined_form"))
-    words = broken.join(tried.select("joined", "kept", whole.alias("repaired")), ["joined", "kept"]).select("record_key", "line_no", F.lit("hyphen").alias("defect"), "repaired")
+    n_kept, n_joined = F.coalesce("n_kept", F.lit(0)), F.coalesce("n_joined", F.lit(0))
+    tried = tried.select("joined", "kept", F.when(n_kept > n_joined, F.col("kept_form")).otherwise(F.col("joined_form")).alias("whole"), (F.greatest(n_kept, n_joined) >= 2).alias("known"))
+    words = broken.join(tried, ["joined", "kept"]).groupBy("record_key", "line_no").agg(F.max(F.struct("known", (-F.col("rank")).alias("rank"), "whole")).alias("w"))
+    words = words.select("record_key", "line_no", F.lit("hyphen").alias("defect"), F.col("w.whole").alias("repaired"))
 
     # the marks of words to correct, in a bitmap of fixed size
     marks = fixes.select(F.expr(f"xxhash64(word) & {BITS - 1}").alias("place"))
@@ -334,10 +348,9 @@ def repaired(text: str, found: list) -> str:
     for d in found:
         if d["defect"] == "char":
             right[d["line_no"] - 1].add(d["repaired"])
-    broken = {i: (left, part, j) for i, left, part, j in breaks(lines, {i: "" for i in gone})}
     skip = {}
-    for i, (left, part, j) in broken.items():
-        if i in whole:
+    for i, left, part, j, _ in reversed(breaks(lines, {i: "" for i in gone})):
+        if folded(left + part).replace("-", "") == folded(whole.get(i, "")).replace("-", ""):
             skip[j] = len(part)
     paragraphs, now = [], []
     for i, line in enumerate(lines):
