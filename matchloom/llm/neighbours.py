@@ -33,9 +33,11 @@ from matchloom.session import materialise, table
 
 DIMENSIONS, K = 64, 5
 SAMPLE, CALIBRATION = 20_000, 2_000
-BRANCHES, LEAF_SAMPLE, ROUNDS = 12, 150, 8
+BRANCHES, LEAF_SAMPLE, ROUNDS = 24, 50, 8
+#: Rows that a leaf is meant to hold: large leaves need few visits, and visits are what the shuffle carries.
+LEAF_ROWS = 4_000
 BLOCK, QUERY_BLOCK = 4_096, 8_192
-RECALL, CLOSE_RECALL = 0.95, 0.995
+RECALL, CLOSE_RECALL = 0.95, 0.98
 CLOSE = 0.90
 
 
@@ -251,7 +253,8 @@ def prepared(vectors: DataFrame) -> tuple[DataFrame, DataFrame, Tree, int]:
     n = firsts.count()
     share = min(1.0, 1.2 * SAMPLE / max(1, n))
     sample = firsts.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("vec").limit(SAMPLE).collect()
-    return firsts, membership.select("key", "root"), fit(units([bytes(r.vec) for r in sample]) if sample else np.zeros((0, DIMENSIONS), np.float32)), n
+    fitted = fit(units([bytes(r.vec) for r in sample]) if sample else np.zeros((0, DIMENSIONS), np.float32), leaf=max(LEAF_SAMPLE, len(sample) * LEAF_ROWS // max(1, n)))
+    return firsts, membership.select("key", "root"), fitted, n
 
 
 def neighbours(vectors: DataFrame, k: int = K, least: float = -1.0, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
