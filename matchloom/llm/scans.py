@@ -31,7 +31,7 @@ from matchloom.session import materialise, table
 CONFUSIONS = [
     ("@", "a"), ("0", "o"), ("1", "l"), ("1", "i"), ("!", "i"), ("5", "s"), ("6", "b"), ("(", "c"),
     ("c", "e"), ("f", "t"), ("q", "g"), ("y", "v"), ("b", "h"),
-    ("rn", "m"), ("m", "rn"), ("cl", "d"), ("ri", "n"), ("ii", "u"), ("vv", "w"),
+    ("rn", "m"), ("m", "rn"), ("cl", "d"), ("d", "cl"), ("ri", "n"), ("ii", "u"), ("vv", "w"),
 ]
 #: A frequent word must be this many times as frequent as its misreading, for readings with a sign no word holds, and others.
 GO_ON_LINES = 3
@@ -280,14 +280,13 @@ def _agree(batches):
 
 def corrections(counts: DataFrame, joined: DataFrame) -> DataFrame:
     """``(word, printed)``: the correction of each misread word of ``counts(word, n)`` and of the joined words ``joined(word)``."""
-    spark = counts.sparkSession
-    pairs = [(a, b, "", "", _value(a) - _value(b)) for a, b in CONFUSIONS]
-    pairs += [(a, b, c, d, _value(a) - _value(b) + _value(c) - _value(d)) for k, (a, b) in enumerate(CONFUSIONS) for c, d in CONFUSIONS[k:] if (a, b) != (d, c)]
-    confusions = spark.createDataFrame(pairs, "read1 string, printed1 string, read2 string, printed2 string, difference long")  # 190 fixed rows
-    frequent = counts.where((F.col("n") >= LEAST_FREQUENT) & F.col("word").rlike(r"^\p{L}[\p{L}-]*\p{L}$")).select(F.col("word").alias("printed"), F.col("n").alias("n_printed"))
+    pairs = [(b, "", False, _value(a) - _value(b)) for a, b in CONFUSIONS]
+    pairs += [(b, d, True, _value(a) - _value(b) + _value(c) - _value(d)) for k, (a, b) in enumerate(CONFUSIONS) for c, d in CONFUSIONS[k:] if (a, b) != (d, c)]
+    fixed = F.array(*[F.struct(F.lit(a).alias("one"), F.lit(b).alias("two"), F.lit(twice).alias("twice"), F.lit(d).cast("long").alias("difference")) for a, b, twice, d in pairs])
+    frequent = counts.where((F.col("n") >= LEAST_FREQUENT) & F.col("word").rlike(r"^\p{L}[\p{L}-]*\p{L}$") & (F.length("word") <= 64)).select(F.col("word").alias("printed"), F.col("n").alias("n_printed"))
     frequent = frequent.withColumn("hash", anagram(F.col("printed")))
-    likely = frequent.join(F.broadcast(confusions), F.col("printed").contains(F.col("printed1")) & F.col("printed").contains(F.col("printed2")))
-    likely = likely.select("printed", "n_printed", (F.col("hash") + F.col("difference")).alias("hash"), (F.col("read2") != "").alias("twice"))
+    likely = frequent.select("*", F.explode(F.filter(fixed, lambda x: F.contains("printed", x["one"]) & F.contains("printed", x["two"]))).alias("x"))
+    likely = likely.select("printed", "n_printed", (F.col("hash") + F.col("x.difference")).alias("hash"), F.col("x.twice").alias("twice"))
     rare = counts.select("word", "n").unionAll(joined.select("word", F.lit(1).cast("long"))).groupBy("word").agg(F.max("n").alias("n"))
     rare = rare.where(F.length("word") <= 64).withColumn("odd", F.col("word").rlike(r"[0-9@!(]")).where(F.col("odd") | (F.length("word") >= 3)).withColumn("hash", anagram(F.col("word")))
     met = rare.join(likely, "hash").where((F.col("word") != F.col("printed")) & (F.col("n_printed") >= F.col("n") * F.when(F.col("odd"), ODD_RATIO).otherwise(PLAIN_RATIO)))
