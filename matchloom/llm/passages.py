@@ -104,10 +104,10 @@ def classes(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in batch.column(1).to_pylist()], pa.binary())], ["key", "same"])
 
 
-def _joined(found: DataFrame, least_tokens: int) -> DataFrame:
-    """Pairs of windows of different documents with equal hash whose extents overlap by enough tokens."""
+def _joined(found: DataFrame, copies: DataFrame, least_tokens: int) -> DataFrame:
+    """Pairs of windows of different documents, other than ``copies(key)``, with equal hash whose extents overlap by enough tokens."""
     sizes = found.groupBy("hash").agg(F.count("*").alias("n"), F.min("key").alias("a"), F.max("key").alias("b")).where("a < b").select("hash", "n")
-    members = found.join(sizes, "hash").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    members = found.join(sizes, "hash").join(copies, "key", "left_anti").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     members = members.withColumn("own", F.pmod(F.xxhash64("key", "centre"), F.col("blocks")).cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     window = F.struct("key", "centre", "before", "after", "own")
@@ -167,8 +167,8 @@ def shared_spans(texts: DataFrame, least: int = LEAST, gram: int = GRAM) -> tupl
     roots = same.groupBy("same").agg(F.min("key").alias("root"), F.count("*").alias("n")).where("n > 1")
     membership = materialise(same.join(roots, "same").select("key", "root"))
     found = texts.mapInArrow(_windows(least, gram), "hash long, key long, centre int, before int, after int")
-    found = found.join(membership.where("key <> root").select("key"), "key", "left_anti")
-    anchors = materialise(_joined(found, least - gram + 1).groupBy("lo", "hi").agg(F.collect_set(F.struct("at_lo", "at_hi")).alias("anchors")))
+    copies = membership.where("key <> root").select("key")
+    anchors = materialise(_joined(found, copies, least - gram + 1).groupBy("lo", "hi").agg(F.collect_set(F.struct("at_lo", "at_hi")).alias("anchors")))
     del found
     ends = anchors.select(F.col("lo").alias("key")).unionAll(anchors.select("hi")).distinct()
     wanted = texts.join(ends, "key", "left_semi").dropDuplicates(["key"])
