@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from matchloom.plans import text_queries
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+for _module in (text_queries,):
+    QUERIES |= _module.QUERIES
+    ORACLE |= _module.ORACLE
 FLAGSHIP = "hybrid_search"
