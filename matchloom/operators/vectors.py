@@ -37,7 +37,7 @@ def _nearest(n: int):
             both = qn[i : i + 256, None] * cn[None, :]
             with np.errstate(divide="ignore", invalid="ignore"):
                 d = np.where(both > 0, 1 - (q[i : i + 256] @ c.T) / both, 1.0)
-            d = np.round(d, 9)
+            d = np.round(d, 9) + 0.0
             bar = np.partition(d, n - 1, axis=1)[:, n - 1] if d.shape[1] > n else np.full(len(d), np.inf)
             a, b = np.nonzero(d <= bar[:, None])
             found.append(pd.DataFrame({"qid": qids[i + a], "id": ids[b], "distance": d[a, b]}))
@@ -50,13 +50,14 @@ def nearest(queries: DataFrame, corpus: DataFrame, n: int, block: int = BLOCK) -
     """``(qid, id, distance, place)``: the n nearest of ``corpus(id, vector)`` by cosine for each of ``queries(qid, vector)``.
 
     Exact. Both sides are cut into blocks that meet pairwise as matrix products; each block pair keeps n rows (and ties)
-    for a query before the shuffle that ranks them. Distances are rounded to nine digits, ties go to the lower id.
+    for a query before the shuffle that ranks them. Distances are rounded to nine digits, ties go to the lower id. Both
+    sides are counted first: hand in tables that are written, not costly plans.
     """
     spark_queries = queries.select(F.col("qid").cast("string").alias("key"), F.col("vector").cast("array<double>").alias("vector"))
     held = corpus.select(F.col("id").cast("string").alias("key"), F.col("vector").cast("array<double>").alias("vector"))
     nq, nc = (max(1, -(-x.count() // block)) for x in (spark_queries, held))
     asks = spark_queries.select("key", "vector", F.lit(True).alias("asks"), F.pmod(F.xxhash64("key"), F.lit(nq)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(nc - 1))).alias("cb"))
-    holds = held.select("key", "vector", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).cast("long").alias("qb"), F.pmod(F.xxhash64("key"), F.lit(nc)).cast("int").alias("cb"))
+    holds = held.select("key", "vector", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long"))).alias("qb"), F.pmod(F.xxhash64("key"), F.lit(nc)).cast("int").alias("cb"))
     met = asks.unionByName(holds).groupBy("qb", "cb").applyInPandas(_nearest(n), "qid string, id string, distance double")
     place = F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id"))
     return met.withColumn("place", place).where(F.col("place") <= n)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from matchloom.functions.vectors import usable
 from matchloom.operators.documents import embedded_chunks, profile_chunks, tender_chunks
 from matchloom.operators.state import latest
-from matchloom.session import table
+from matchloom.session import materialise, table
 
 #: The time at which expiry is judged, so that results do not depend on the clock.
 NOW = "2024-10-01 00:00:00"
@@ -59,8 +59,8 @@ def chunks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, folder: str) -> DataFrame:
-    """Those chunks with their vectors."""
-    return embedded_chunks(chunks(spark, folder))
+    """Those chunks with their vectors, written once."""
+    return materialise(embedded_chunks(chunks(spark, folder)))
 
 
 def own_chunks(spark: SparkSession, folder: str) -> DataFrame:
@@ -125,4 +125,4 @@ MEANS_SQL = f"means AS (SELECT file_hash AS profile, CAST(summary_embedding AS D
 
 def distance_sql(a: str, b: str) -> str:
     """Cosine distance rounded to nine digits; 1 for a zero vector."""
-    return f"round(CASE WHEN list_dot_product({a}, {a}) > 0 AND list_dot_product({b}, {b}) > 0 THEN 1 - list_dot_product({a}, {b}) / (sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b}))) ELSE 1.0 END, 9)"
+    return f"(round(CASE WHEN list_dot_product({a}, {a}) > 0 AND list_dot_product({b}, {b}) > 0 THEN 1 - list_dot_product({a}, {b}) / (sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b}))) ELSE 1.0 END, 9) + 0.0)"
