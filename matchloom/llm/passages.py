@@ -18,6 +18,8 @@ rows of a key count once.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -91,9 +93,12 @@ def _windows(least: int, gram: int):
                 places += found
                 keys += [key] * len(found)
                 hashes.append(value[[c for _, c, _ in found]])
-            left, centre, right = np.array(places, dtype=np.int32).reshape(-1, 3).T
-            columns = [pa.array(np.concatenate(hashes).view(np.int64) if hashes else np.zeros(0, np.int64)), pa.array(keys, pa.int64()), pa.array(centre), pa.array(centre - left), pa.array(right - centre)]
-            yield pa.RecordBatch.from_arrays(columns, ["hash", "key", "centre", "before", "after"])
+            left, centre, right = np.array(places, dtype=np.int64).reshape(-1, 3).T
+            # extents count up to the passage's length only, and travel in one number with the centre
+            span = least - gram + 1
+            place = (centre * (span + 1) + np.minimum(centre - left, span)) * (span + 1) + np.minimum(right - centre, span)
+            columns = [pa.array(np.concatenate(hashes).view(np.int64) if hashes else np.zeros(0, np.int64)), pa.array(keys, pa.int64()), pa.array(place)]
+            yield pa.RecordBatch.from_arrays(columns, ["hash", "key", "place"])
 
     return run
 
@@ -104,14 +109,24 @@ def classes(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in batch.column(1).to_pylist()], pa.binary())], ["key", "same"])
 
 
+def _packed(batches):
+    """Texts deflated, as they travel."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([zlib.compress(x.encode("utf-8", "surrogatepass"), 1) for x in batch.column(1).to_pylist()], pa.binary())], ["key", "text"])
+
+
 def _joined(found: DataFrame, copies: DataFrame, least_tokens: int) -> DataFrame:
     """Pairs of windows of different documents, other than ``copies(key)``, with equal hash whose extents overlap by enough tokens."""
-    sizes = found.groupBy("hash").agg(F.count("*").alias("n"), F.min("key").alias("a"), F.max("key").alias("b")).where("a < b").select("hash", "n")
+    sizes = found.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
     members = found.join(sizes, "hash").join(copies, "key", "left_anti").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    base = F.lit(least_tokens + 1).cast("long")
+    members = members.withColumns({"after": F.col("place") % base, "before": F.expr(f"place div {least_tokens + 1} % {least_tokens + 1}"), "centre": F.expr(f"cast(place div {(least_tokens + 1) ** 2} as int)")})
     members = members.withColumn("own", F.pmod(F.xxhash64("key", "centre"), F.col("blocks")).cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     window = F.struct("key", "centre", "before", "after", "own")
-    met = members.groupBy("hash", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.sort_array(F.collect_list(window)).alias("them")).where(F.size("them") > 1)
+    # by block, not only by hash, so that the blocks of a hot hash meet in different tasks
+    members = members.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).repartition("hash", "i", "j")
+    met = members.groupBy("hash", "i", "j").agg(F.sort_array(F.collect_list(window)).alias("them")).where(F.size("them") > 1)
     met = met.select("i", "j", "them", F.posexplode("them").alias("at", "x")).select("i", "j", "x", F.explode(F.slice("them", F.col("at") + 2, F.size("them"))).alias("y"))
     overlap = F.least("x.before", "y.before") + F.least("x.after", "y.after") + 1
     met = met.where((F.col("x.key") != F.col("y.key")) & (overlap >= least_tokens) & ((F.col("i") == F.col("j")) | (F.col("x.own") != F.col("y.own"))))
@@ -140,7 +155,8 @@ def _verified(least: int):
         for batch in batches:
             rows = []
             for lo, hi, text_lo, text_hi, anchors in zip(*(c.to_pylist() for c in batch.columns)):
-                x, y, done = codes(text_lo), codes(text_hi), {}
+                x, y = (codes(zlib.decompress(t).decode("utf-8", "surrogatepass")) for t in (text_lo, text_hi))
+                done: dict[int, int] = {}
                 for anchor in sorted((a["at_lo"], a["at_hi"]) for a in anchors):
                     i, j = anchor
                     if done.get(j - i, -1) > i:
@@ -166,12 +182,12 @@ def shared_spans(texts: DataFrame, least: int = LEAST, gram: int = GRAM) -> tupl
     same = texts.mapInArrow(classes, "key long, same binary").distinct()
     roots = same.groupBy("same").agg(F.min("key").alias("root"), F.count("*").alias("n")).where("n > 1")
     membership = materialise(same.join(roots, "same").select("key", "root"))
-    found = texts.mapInArrow(_windows(least, gram), "hash long, key long, centre int, before int, after int")
+    found = texts.mapInArrow(_windows(least, gram), "hash long, key long, place long")
     copies = membership.where("key <> root").select("key")
     anchors = materialise(_joined(found, copies, least - gram + 1).groupBy("lo", "hi").agg(F.collect_set(F.struct("at_lo", "at_hi")).alias("anchors")))
     del found
     ends = anchors.select(F.col("lo").alias("key")).unionAll(anchors.select("hi")).distinct()
-    wanted = texts.join(ends, "key", "left_semi").dropDuplicates(["key"])
+    wanted = texts.mapInArrow(_packed, "key long, text binary").join(ends, "key", "left_semi").dropDuplicates(["key"])
     met = anchors.join(wanted.toDF("lo", "text_lo"), "lo").join(wanted.toDF("hi", "text_hi"), "hi").select("lo", "hi", "text_lo", "text_hi", "anchors")
     return materialise(met.mapInArrow(_verified(least), "lo long, hi long, start_lo int, start_hi int, length int")), membership
 
