@@ -75,7 +75,9 @@ def candidates(bands: DataFrame) -> DataFrame:
     members = bands.join(sizes, "band").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     members = members.withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = members.groupBy("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.sort_array(F.collect_list(F.struct("key", "own"))).alias("them")).where(F.size("them") > 1)
+    # by block, not only by band, so that the blocks of a hot band meet in different tasks
+    members = members.select("band", "key", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).repartition("band", "i", "j")
+    met = members.groupBy("band", "i", "j").agg(F.sort_array(F.collect_list(F.struct("key", "own"))).alias("them")).where(F.size("them") > 1)
     across = F.when((F.col("i") == F.col("j")) | (F.col("x.own") != F.col("y.own")), F.struct(F.least("x.key", "y.key").alias("lo"), F.greatest("x.key", "y.key").alias("hi")))
     met = met.select("i", "j", "them", F.posexplode("them").alias("at", "x"))
     met = met.select("i", "j", "x", F.explode(F.slice("them", F.col("at") + 2, F.size("them"))).alias("y"))
