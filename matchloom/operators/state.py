@@ -64,3 +64,9 @@ def expiry(created: Column, days: int = DEFAULTS.ttl_days) -> Column:
 def cache_hits(cache: DataFrame, now: Column, hours: int = DEFAULTS.cache_hours) -> DataFrame:
     """Rows of ``cache(key, value, cached_at)`` that are not too old; with 0 hours or less all."""
     return cache if hours <= 0 else cache.where(F.col("cached_at") + F.make_interval(hours=F.lit(hours)) > now)
+
+
+def swept(cache: DataFrame, now: Column, hours: int = DEFAULTS.cache_hours) -> tuple[DataFrame, DataFrame]:
+    """The rows of a cache that stay, and the number of those that are too old."""
+    old = F.lit(False) if hours <= 0 else F.coalesce(F.col("cached_at") + F.make_interval(hours=F.lit(hours)) <= now, F.lit(True))
+    return cache_hits(cache, now, hours), cache.agg(F.count_if(old).alias("removed"))
