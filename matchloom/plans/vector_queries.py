@@ -11,7 +11,7 @@ from matchloom.operators.documents import embedded_chunks
 from matchloom.operators.embed import embedded
 from matchloom.operators.vectors import fused, multi_vector_similarity, nearest, pooled, scored
 from matchloom.plans import tables
-from matchloom.plans.tables import MEANS_SQL, NOW, REPS_SQL, current, current_sql, distance_sql, tender_chunks_sql, tokens_sql, vectors_sql
+from matchloom.plans.tables import MEANS_SQL, NOW, REPS_SQL, chunks_sql, combined_sql, current, current_sql, distance_sql, tender_chunks_sql, tokens_sql, vectors_sql
 from matchloom.session import materialise, table
 
 K = 5
@@ -185,7 +185,7 @@ def profile_snippet(spark: SparkSession, folder: str) -> DataFrame:
     asked = materialise(hits.select("profile", F.concat_ws("|", "profile", "chunk_id").alias("qid"), embedded(F.col("tender_snippet")).alias("vector")))
     own = materialise(embedded_chunks(tables.own_chunks(spark, folder)))
     owners = tables.profile_means(spark, folder).select("profile", F.col("profile").alias("file_hash"))
-    return search.profile_snippets(asked, own, owners, 50).select("profile", "profile_snippet")
+    return search.profile_snippets(asked, own, owners).select("profile", "profile_snippet")
 
 
 QUERIES = {f.__name__: f for f in (vector_norms, normalised_vectors, label_mean_vector, label_max_vector, mean_of_means, profile_representatives, first_profile_data, representatives_given_labels, kmeans_representatives, knn_top5, knn_per_representative, embed_chunks, query_search_weighted, combined_vectors, fuse_max, hybrid_search, hybrid_search_with_query, filtered_search, legacy_search, legacy_search_with_query, profile_snippet)}
@@ -219,21 +219,21 @@ def _score(found: str, weight: float, profile: str = "qid") -> str:
     return f"SELECT {profile} AS profile, id, round(greatest(0, 1 - distance) * {weight}, 9) AS score FROM {found}"
 
 
-def _hybrid(query: bool, where: str = "true") -> str:
+def _hybrid(query: bool, where: str = "true", k: int = K) -> str:
     asked = f"UNION ALL {_score('nq', 0.9)}" if query else ""
-    nq = f", questions AS (SELECT e.file_hash AS qid, qvec.v FROM {_CPE} e, qvec), nq AS {_near('questions', 'vectors', 2 * K)}" if query else ""
+    nq = f", questions AS (SELECT e.file_hash AS qid, qvec.v FROM {_CPE} e, qvec), nq AS {_near('questions', 'vectors', 2 * k)}" if query else ""
     words = f"list_distinct(list_concat(coalesce(kw.kw, []), {tokens_sql(chr(39) + QUESTION + chr(39))}))" if query else "coalesce(kw.kw, [])"
     keys = "list_concat(" + ", ".join(f"list_transform(list_filter(coalesce({x}, []), lambda x: x IS NOT NULL), lambda x: lower(x))" for x in profiles.KEYWORD_FIELDS) + ")"
     stop = "[" + ", ".join(f"'{w}'" for w in profiles.STOP_WORDS) + "]"
     return f"""WITH RECURSIVE {_VEC}, {REPS_SQL}, {MEANS_SQL}{', ' + _QVEC if query else ''},
 areps AS (SELECT profile || '|' || nth AS qid, v FROM reps), ameans AS (SELECT profile AS qid, v FROM means),
-n1 AS {_near('areps', 'vectors', 6 * K)}, n2 AS {_near('ameans', 'vectors', 2 * K)}{nq},
+n1 AS {_near('areps', 'vectors', 6 * k)}, n2 AS {_near('ameans', 'vectors', 2 * k)}{nq},
 fused AS (SELECT profile, id, max(score) AS score FROM ({_score('n1', 1.0, "split_part(qid, '|', 1)")} UNION ALL {_score('n2', 0.8)} {asked}) GROUP BY 1, 2),
-cut AS (SELECT f.*, c.owner, c.document FROM (SELECT *, row_number() OVER (PARTITION BY profile ORDER BY score DESC, id) AS p FROM fused) f JOIN chunks c USING (id) WHERE p <= {5 * K}),
+cut AS (SELECT f.*, c.owner, c.document FROM (SELECT *, row_number() OVER (PARTITION BY profile ORDER BY score DESC, id) AS p FROM fused) f JOIN chunks c USING (id) WHERE p <= {5 * k}),
 joined AS (SELECT cut.*, d.tender_id, d.source, r.title, d.document_type FROM cut JOIN {current_sql('tender_documents')} d ON d._id = cut.owner LEFT JOIN {current_sql('raw_tenders')} r ON r._id = d.tender_id
   WHERE (d.expires_at IS NULL OR d.expires_at > TIMESTAMP '{NOW}') AND {where}),
 one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY profile, owner ORDER BY score DESC, id) AS nth FROM joined) WHERE nth = 1),
-best AS (SELECT * FROM (SELECT * EXCLUDE (p), row_number() OVER (PARTITION BY profile ORDER BY score DESC, id) AS p FROM one) WHERE p <= {K}),
+best AS (SELECT * FROM (SELECT * EXCLUDE (p), row_number() OVER (PARTITION BY profile ORDER BY score DESC, id) AS p FROM one) WHERE p <= {k}),
 kw AS (SELECT file_hash AS profile, list_distinct(list_filter(list_concat(vals, flatten(list_transform(vals, lambda v: {tokens_sql('v')}))), lambda x: NOT list_contains({stop}, x))) AS kw FROM (SELECT file_hash, {keys} AS vals FROM (SELECT file_hash, profile_data.* FROM {_CPE} WHERE profile_data IS NOT NULL))),
 w AS (SELECT best.*, {words} AS words, list_distinct({tokens_sql('substr(document, 1, 500)')}) AS toks FROM best LEFT JOIN kw USING (profile)),
 b AS (SELECT *, CASE WHEN len(words) > 0 AND len(toks) > 0 THEN least(len(list_intersect(words, toks)) / len(words) * 0.4, 0.2) ELSE 0.0 END AS boost FROM w)
@@ -276,3 +276,10 @@ ORACLE = {
     "legacy_search": _legacy(False),
     "legacy_search_with_query": _legacy(True),
 }
+_OWN = f"(SELECT file_hash AS key, CASE WHEN relevant_text <> '' THEN relevant_text ELSE {combined_sql('text', 'tables')} END AS body FROM {current_sql('company_profile_outputs')})"
+ORACLE["profile_snippet"] = f"""{_hybrid(False, k=1).partition(chr(10) + 'kw AS (')[0]}
+hits AS (SELECT profile || '|' || id AS id, substr(document, 1, 350) AS document FROM best), {vectors_sql('hits', 'hit_vectors')},
+own_bodies AS {_OWN}, {chunks_sql('own_bodies', 800, 100, 'own')}, own_chunks AS (SELECT 'profile:' || key || ':' || i AS id, key AS owner, chunk AS document FROM own), {vectors_sql('own_chunks', 'own_vectors')},
+hit_asks AS (SELECT id AS qid, v FROM hit_vectors), found AS {_near('hit_asks', 'own_vectors', 5)},
+first AS (SELECT qid, min_by(document, (place, id)) AS document FROM found JOIN own_chunks c USING (id) WHERE owner = split_part(qid, '|', 1) AND owner IN (SELECT profile FROM means) GROUP BY 1)
+SELECT split_part(h.id, '|', 1) AS profile, substr(coalesce(f.document, ''), 1, 350) AS profile_snippet FROM hits h LEFT JOIN first f ON f.qid = h.id"""
