@@ -52,12 +52,11 @@ _ALIKE = str.maketrans({
     "0": "o", "1": "l", "i": "l", "!": "l", "|": "l", "5": "s", "@": "a", "(": "c", "e": "c", "6": "b", "h": "b", "f": "t", "q": "g", "y": "v",
     "w": "vv", "d": "cl", "u": "ll", "n": "rl", "m": "rrl",
 })
-BREAK = re.compile(rf"([^\W\d_]+(?:-[^\W\d_]+)*)[{HYPHENS}][^\S\n]*$")
 GO_ON = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
 REFERENCE = re.compile(r"[^\W\d_]{2,}[0-9lIO]*[-/][-/0-9lIOSo]{2,}")
 ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100}
 LEAD, TRAIL = "\"'[{<|“‘*", "\"')]}>|.,;:?!”’*"
-WORDISH = re.compile(r"[^\W\d_]*(?:[0-9@!(-]*[^\W\d_]+)+[0-9@!(-]*")
+WORDISH = re.compile(r"(?=[0-9@!(-]*[^\W\d_])(?:[^\W\d_]|[0-9@!(-])+")
 
 
 def folded(text: str) -> str:
@@ -136,13 +135,23 @@ def furniture(lines: list[str]) -> dict[int, str]:
     return found
 
 
+def broken_end(line: str) -> tuple[int, str] | None:
+    """Place and left part of a word broken at the end of a line: letters, also with hyphens within, before a hyphen."""
+    full = line.rstrip()
+    end = len(full) - 1
+    if end < 1 or full[end] not in HYPHENS or not full[end - 1].isalpha():
+        return None
+    start = end
+    while start and (full[start - 1].isalpha() or full[start - 1] == "-" and full[start].isalpha()):
+        start -= 1
+    return (start, full[start:end]) if full[start] != "-" else (start + 1, full[start + 1 : end])
+
+
 def breaks(lines: list[str], gone: dict[int, str]) -> list[tuple[int, str, str, int, int]]:
     """(line index, left part, right part, index of the line that may go on, its rank) of words broken at a line's end, in lower case."""
     found = []
     for i, line in enumerate(lines):
-        if i in gone or not line or line.rstrip()[-1:] not in HYPHENS or not line.strip():
-            continue
-        left = BREAK.search(line)
+        left = None if i in gone else broken_end(line)
         if not left:
             continue
         rank = 0
@@ -180,7 +189,8 @@ def running(text: str) -> tuple[str, list[str], dict[int, str], list]:
     for i, left, right, j, rank in broken:
         if rank:
             continue
-        kept[i] = BREAK.sub("", kept[i])
+        end = broken_end(kept[i])
+        kept[i] = kept[i][: end[0]] if end else kept[i]
         rest = kept[j].lstrip()
         kept[j] = rest[len(right):] if rest.lower().startswith(right) else kept[j]
     return "\n".join(kept), lines, gone, broken
@@ -368,10 +378,10 @@ def repaired(text: str, found: list) -> str:
                         tokens[k] = token[:at] + cased + token[at + len(word) :]
         line = " ".join(tokens)
         if i in whole:
-            before = BREAK.search(line)
+            before = broken_end(line)
             left = before[1] if before else ""
             cased = whole[i].upper() if left.isupper() and len(left) > 1 else whole[i][:1].upper() + whole[i][1:] if left[:1].isupper() else whole[i]
-            line = (line[: before.start()] if before else line + " ") + cased
+            line = (line[: before[0]] if before else line + " ") + cased
         if not line:
             if now and i not in skip:
                 paragraphs.append(" ".join(now))
