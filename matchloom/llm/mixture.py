@@ -53,7 +53,7 @@ def mixture(texts: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     held = {r.source: (r.tokens, r.rows) for r in sized.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows")).collect()}  # one row for each target
     live = sorted(r.source for r in wanted if r.source in held and (r.target_share or 0) > 0 and (r.max_repeats or 0) > 0)
     share = {r.source: float(r.target_share) for r in wanted if r.source in live}
-    cap = {r.source: int(r.max_repeats) for r in wanted}
+    cap = {r.source: int(r.max_repeats or 0) for r in wanted}
     whole = sum(share.values())
     share = {k: v / whole for k, v in share.items()}
     most = int(min((cap[k] * held[k][0] / share[k] for k in live), default=0))
