@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from matchloom.session import materialise, table
 
-#: Look-alikes (as read, as printed): fixed values known from optical recognition.
+#: Look-alikes (as read, as printed): those that occur in this project's scans, found by aligning rare with frequent words.
 CONFUSIONS = [
     ("@", "a"), ("0", "o"), ("1", "l"), ("1", "i"), ("!", "i"), ("5", "s"), ("6", "b"), ("(", "c"),
     ("c", "e"), ("f", "t"), ("q", "g"), ("y", "v"), ("b", "h"),
