@@ -6,9 +6,10 @@ the connected components of the links, found by alternating large-star and small
 no band with probability 0.0002.
 
 Texts with equal shingle sets form a class whose least key stands for it, so that copies never meet in a band. A bucket
-above ``BLOCK`` members is cut into blocks that meet pairwise in different tasks. Links between class members are written
-out in full for classes up to ``SPELLED`` members; in a larger class each member is linked to its representative, and the
-representative carries the links to other texts.
+above ``BLOCK`` members is cut into blocks that meet pairwise in different tasks. Within a class, exact copies of a text
+form a group of copies. Pairs of different texts are written out in full, those of a class in blocks. More than
+``SPELLED`` exact copies of one text are each linked to the least key of the copies, which carries their links to other
+texts; up to that number every copy carries them.
 
 Defined cases: null, empty and short texts (under ``least_words`` words) have no links; repeated rows of a key count once;
 extra columns are ignored.
@@ -43,7 +44,7 @@ def _signer(width: int, least_words: int):
     def run(batches):
         words = Words()
         for batch in batches:
-            keys, classes, signs, bands = [], [], [], []
+            keys, classes, exact, signs, bands = [], [], [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 values = shingles(text, width, least_words, words)
                 if values is None:
@@ -54,18 +55,19 @@ def _signer(width: int, least_words: int):
                 band *= np.uint64(0x9E3779B97F4A7C15)
                 keys.append(key)
                 classes.append(xxhash.xxh3_128_digest(values.tobytes()))
+                exact.append(xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass")))
                 signs.append((best >> np.uint32(11)).astype(np.uint8).tobytes())
                 bands.append(band.view(np.int64))
             flat = pa.array(np.concatenate(bands) if bands else np.zeros(0, np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), flat)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(classes, pa.binary()), pa.array(signs, pa.binary()), lists], ["key", "same", "sign", "bands"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(classes, pa.binary()), pa.array(exact, pa.binary()), pa.array(signs, pa.binary()), lists], ["key", "same", "exact", "sign", "bands"])
 
     return run
 
 
 def signatures(texts: DataFrame, width: int = WIDTH, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``texts(key, text)`` as ``(key, same, sign, bands)``; one row for each key with enough words."""
-    signed = texts.select("key", "text").where("key is not null and text is not null").mapInArrow(_signer(width, least_words), "key string, same binary, sign binary, bands array<long>")
+    """``texts(key, text)`` as ``(key, same, exact, sign, bands)``; one row for each key with enough words."""
+    signed = texts.select("key", "text").where("key is not null and text is not null").mapInArrow(_signer(width, least_words), "key string, same binary, exact binary, sign binary, bands array<long>")
     return signed.dropDuplicates(["key"])
 
 
@@ -122,15 +124,17 @@ def _jaccard(batches):
 
 
 def similar(texts: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, least_words: int = LEAST_WORDS) -> tuple[DataFrame, DataFrame]:
-    """Links ``(lo, hi, similarity)`` between class representatives of ``texts(key, text)``, and the membership ``(key, root)``."""
+    """Links ``(lo, hi, similarity)`` between class representatives of ``texts(key, text)``, and the membership ``(key, root, copy)``; ``copy`` is the least key of the same text."""
     signed = materialise(signatures(texts, width, least_words))
     roots = signed.groupBy("same").agg(F.min("key").alias("root"), F.count("*").alias("n"))
-    membership = materialise(signed.select("key", "same").join(roots.where("n > 1"), "same").select("key", "root"))
+    within = signed.select("key", "same", "exact").join(roots.where("n > 1"), "same")
+    least = within.groupBy("same", "exact").agg(F.min("key").alias("copy"))
+    membership = materialise(within.join(least, ["same", "exact"]).select("key", "root", "copy"))
     copies = membership.where("key <> root").select("key")
     first = signed.join(copies, "key", "left_anti")
     pairs = candidates(first.select("key", F.explode("bands").alias("band")))
     pairs = materialise(estimated(estimated(pairs, signed, BRIEF, threshold), signed, BANDS * ROWS, threshold))
-    del signed, first, copies
+    del signed, first, copies, within, least
     ends = pairs.select(F.col("lo").alias("key"), "lo", "hi").unionAll(pairs.select(F.col("hi").alias("key"), "lo", "hi"))
     sides = ends.join(texts.where("text is not null").select("key", "text"), "key").select("lo", "hi", "text").mapInArrow(_sets(width, least_words), "lo string, hi string, values binary")
     met = sides.groupBy("lo", "hi").agg(F.min("values").alias("x"), F.max("values").alias("y"))
@@ -139,15 +143,27 @@ def similar(texts: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH,
 
 
 def spelled(links: DataFrame, membership: DataFrame) -> DataFrame:
-    """Pairs of keys from links between representatives and the membership of classes."""
-    sizes = membership.groupBy("root").agg(F.count("*").alias("n"))
-    small = membership.join(sizes.where(F.col("n") <= SPELLED), "root").select("root", "key")
-    large = membership.join(sizes.where(F.col("n") > SPELLED), "root").where("key <> root").select("root", "key")
-    within = small.alias("x").join(small.alias("y"), "root").where("x.key < y.key").select(F.col("x.key").alias("lo"), F.col("y.key").alias("hi"))
-    within = within.unionAll(large.select("root", "key"))
-    left = links.select("lo", "hi").join(small.select(F.col("root").alias("lo"), F.col("key").alias("a")), "lo", "left")
-    both = left.join(small.select(F.col("root").alias("hi"), F.col("key").alias("b")), "hi", "left").select(F.coalesce("a", "lo").alias("a"), F.coalesce("b", "hi").alias("b"))
-    return within.unionAll(both.select(F.least("a", "b"), F.greatest("a", "b"))).distinct()
+    """Pairs of keys from links between representatives and the membership of classes.
+
+    ``membership(key, root, copy)`` tells the copies of a text apart within a class; without ``copy`` a class is one text.
+    """
+    if "copy" not in membership.columns:
+        membership = membership.withColumn("copy", F.col("root"))
+    sizes = membership.groupBy("root", "copy").agg(F.count("*").alias("n"))
+    counted = membership.join(sizes, ["root", "copy"])
+    stars = counted.where((F.col("n") > SPELLED) & (F.col("key") != F.col("copy"))).select(F.col("copy").alias("lo"), F.col("key").alias("hi"))
+    # the members that carry links: every key, or the least key of many copies
+    carriers = counted.where((F.col("n") <= SPELLED) | (F.col("key") == F.col("copy"))).select("root", "key")
+    blocks = carriers.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    spread = carriers.join(blocks, "root").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # a key of block i meets those of block j; a block meets itself once
+    x = spread.select("root", F.col("own").alias("i"), F.col("other").alias("j"), F.col("key").alias("a"))
+    y = spread.select("root", F.col("other").alias("i"), F.col("own").alias("j"), F.col("key").alias("b"))
+    within = x.join(y, ["root", "i", "j"]).where("a < b").select(F.col("a").alias("lo"), F.col("b").alias("hi"))
+    left = links.select("lo", "hi").join(carriers.select(F.col("root").alias("lo"), F.col("key").alias("a")), "lo", "left")
+    both = left.join(carriers.select(F.col("root").alias("hi"), F.col("key").alias("b")), "hi", "left").select(F.coalesce("a", "lo").alias("a"), F.coalesce("b", "hi").alias("b"))
+    return stars.unionAll(within).unionAll(both.select(F.least("a", "b"), F.greatest("a", "b"))).distinct()
 
 
 def _texts(spark: SparkSession, folder: str) -> DataFrame:

@@ -66,6 +66,17 @@ def test_hot_group_of_copies_is_a_star(spark):
     assert got == {("0000", f"{i:04}") for i in range(1, 300)} | {("0000", "near")}
 
 
+def test_differing_texts_of_one_shingle_set_keep_every_pair(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "BLOCK", 32)
+    words = words_of(98, 60)
+    rows = [(f"{i:04}", " ".join([*words[:-1], words[-1] + "!" * (i + 1)])) for i in range(80)]
+    rows += [(f"c{i:03}", rows[5][1]) for i in range(70)] + [("near", " ".join([*words, "tail"]))]
+    table = spark.createDataFrame(rows, "key string, text string")
+    got = [tuple(r) for r in near_copies.spelled(*near_copies.similar(table)).collect()]
+    keys = [f"{i:04}" for i in range(80)] + ["near"]
+    assert sorted(got) == sorted([*itertools.combinations(keys, 2), *(("0005", f"c{i:03}") for i in range(70))])
+
+
 def test_blocks_keep_every_pair(spark, monkeypatch):
     monkeypatch.setattr(near_copies, "BLOCK", 4)
     bands = spark.createDataFrame([(1, f"{i:02}") for i in range(30)] + [(2, "00"), (2, "01"), (3, "07")], "band long, key string")
