@@ -1,9 +1,14 @@
 """Problem 7: pack texts into containers of a fixed number of tokens with little unused space.
 
-Method: items are spread over shards by a hash of their key. Each shard holds an inverted index with BM25 weights; the
-document frequencies come from all documents. The largest unused item seeds a container; the index ranks the unused
-neighbours, which fill the window greedily by score as long as they fit, and the last gap takes the item that fits it
-best. Containers that stay below ``FULL`` give their items back, and these are packed again in fewer shards.
+Method: an inverted index with BM25 weights over all items, in leaves of a k-means tree by content. A sample gives a space
+of the leading word directions; every item is a member of one leaf, and a seed asks as many leaves, best bin first, as a
+calibration set against all items needs. A leaf ranks its members that fit by the space, and the first ``DEPTH`` of a block
+by their exact score. Seeds are the items above half the capacity and a share of the others. In each round an unused item
+goes to the seed that scores it highest, and a seed takes its items by score as long as they fit. What is gathered so, and
+the items left over, are packed as units within shards of like content: the largest unused unit seeds a container, unused
+neighbours fill it by score, and the last gap takes the unit that fits it best. Containers that stay below ``FULL`` give
+their items back, and these are packed again in shards of neighbouring leaves. ``p7_recall`` measures the neighbours
+reached against brute force.
 
 A text above the capacity is cut into full containers and a rest, which is packed as an item. Terms are counted in a
 hashed vocabulary of ``BINS`` entries, so that the frequencies have a fixed size wherever they are held.
@@ -17,10 +22,11 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from matchloom.llm import tokens
+from matchloom.llm.neighbours import Tree, fit
 from matchloom.llm.shingles import WORD, Words
 from matchloom.session import materialise, table
 
@@ -29,6 +35,14 @@ SHARD_ITEMS = 1_000
 BINS = 1 << 18
 K1, B = 1.2, 0.75
 FULL = 0.97
+#: The space: words and documents it is fitted on, and its directions.
+SPACE_WORDS, SPACE_SAMPLE, DIRECTIONS = 4_096, 3_000, 128
+TREE_SAMPLE, LEAF_SAMPLE = 20_000, 10
+CALIBRATION, RECALL, K = 64, 0.9, 5
+BLOCK, DEPTH, NEIGHBOURS = 4_096, 128, 16
+#: One in so many of the items up to half the capacity is a seed.
+SEED_EVERY = 4
+ROUNDS = 3
 PACKED = "container_id string, item_pos int, doc_id long, start_token int, n_tokens int"
 
 
@@ -84,29 +98,209 @@ def _cut(capacity: int):
 
 
 class Index:
-    """BM25 weights of a shard's items: the terms of each item, and the items of each term."""
+    """BM25 weights of a set of items: the terms of each item, and the items of each term."""
 
     def __init__(self, terms: list[np.ndarray], counts: list[np.ndarray], idf: np.ndarray, mean: float):
         self.terms = terms
-        owner = np.repeat(np.arange(len(terms)), [len(t) for t in terms])
+        self.start = np.r_[0, np.cumsum([len(t) for t in terms], dtype=np.int64)]
+        owner = np.repeat(np.arange(len(terms)), np.diff(self.start))
         flat = np.concatenate(terms).astype(np.int64) if terms else np.zeros(0, np.int64)
         tf = np.concatenate(counts).astype(np.float32) if counts else np.zeros(0, np.float32)
         length = np.array([c.sum(dtype=np.int64) for c in counts], np.float32)
         weight = idf[flat] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[owner] / mean))
         order = np.argsort(flat, kind="stable")
-        held, self.first = np.unique(flat[order], return_index=True)
+        self.held, self.first = np.unique(flat[order], return_index=True)
         self.last = np.r_[self.first[1:], len(flat)]
+        self.flat, self.flat_weight = flat, weight.astype(np.float32)
         self.owner, self.weight = owner[order], weight[order].astype(np.float32)
-        self.place = [np.searchsorted(held, t) for t in terms]
         self.n = len(terms)
 
-    def scores(self, item: int) -> np.ndarray:
-        """BM25 score of every item for the terms of ``item``."""
-        first, last = self.first[self.place[item]], self.last[self.place[item]]
-        size = last - first
-        at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first, size)
+    def scores(self, terms: np.ndarray) -> np.ndarray:
+        """BM25 score of every item for the terms."""
+        place = np.searchsorted(self.held, terms)
+        met = place < len(self.held)
+        place = place[met][self.held[place[met]] == terms[met]]
+        at = _ranges(self.first[place], self.last[place])
         return np.bincount(self.owner[at], self.weight[at], self.n)
 
+    def scores_of(self, items: np.ndarray, asked: np.ndarray) -> np.ndarray:
+        """BM25 score of some items for the terms that are marked in ``asked``."""
+        first, last = self.start[items], self.start[items + 1]
+        at = _ranges(first, last)
+        return np.bincount(np.repeat(np.arange(len(items)), last - first), self.flat_weight[at] * asked[self.flat[at]], len(items))
+
+
+def _ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    size = last - first
+    return np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first, size)
+
+
+def _arrays(terms, counts) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    return [np.frombuffer(x, np.uint32) for x in terms], [np.frombuffer(x, np.uint8) for x in counts]
+
+
+class Space:
+    """Directions in which the products of items' BM25 weights and asked words are kept best, from a sample."""
+
+    def __init__(self, sample: Index, df: np.ndarray, idf: np.ndarray):
+        self.root = np.sqrt(np.maximum(idf, 1e-3)).astype(np.float32)
+        hot = np.argsort(-(df * idf), kind="stable")[:SPACE_WORDS]
+        self.column = np.full(BINS, -1, np.int32)
+        self.column[hot] = np.arange(len(hot))
+        held = np.zeros((sample.n, len(hot)), np.float32)
+        at = self.column[sample.flat]
+        owner = np.repeat(np.arange(sample.n), np.diff(sample.start))
+        held[owner[at >= 0], at[at >= 0]] = (sample.flat_weight / self.root[sample.flat])[at >= 0]
+        y = held @ np.random.default_rng(1).normal(size=(len(hot), DIRECTIONS + 16)).astype(np.float32)
+        for _ in range(3):
+            y = np.linalg.qr(held @ (held.T @ y))[0]
+        self.directions = np.ascontiguousarray(np.linalg.svd(y.T @ held, full_matrices=False)[2][:DIRECTIONS].T, dtype=np.float32)
+
+    def _sums(self, flat: np.ndarray, value: np.ndarray, start: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(start) - 1, self.directions.shape[1]), np.float32)
+        at = self.column[flat]
+        for i in range(len(out)):
+            own, worth = at[start[i] : start[i + 1]], value[start[i] : start[i + 1]]
+            out[i] = worth[own >= 0] @ self.directions[own[own >= 0]]
+        return out
+
+    def members(self, index: Index) -> np.ndarray:
+        return self._sums(index.flat, index.flat_weight / self.root[index.flat], index.start)
+
+    def queries(self, terms: list[np.ndarray]) -> np.ndarray:
+        flat = np.concatenate(terms).astype(np.int64) if terms else np.zeros(0, np.int64)
+        return self._sums(flat, self.root[flat], np.r_[0, np.cumsum([len(t) for t in terms], dtype=np.int64)])
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+
+
+def _nearest(ids: np.ndarray, asked: list[np.ndarray], space: Space, tree: Tree, idf: np.ndarray, mean: float):
+    """For each asked item the K best of this partition by exact score, with their leaves."""
+
+    def run(batches):
+        found = [[] for _ in ids]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            index = Index(*_arrays(batch.column(1).to_pylist(), batch.column(2).to_pylist()), idf, mean)
+            own, leaf = batch.column(0).to_numpy(), tree.assign(_unit(space.members(index)))
+            for k, terms in enumerate(asked):
+                score = index.scores(terms)
+                score[own == ids[k]] = -1
+                best = np.argsort(-score, kind="stable")[:K]
+                found[k] = sorted(found[k] + [(-float(score[i]), int(own[i]), int(leaf[i])) for i in best if score[i] > 0])[:K]
+        rows = [(int(q), n, leaf, -s) for q, near in zip(ids, found) for s, n, leaf in near]
+        columns = list(zip(*rows)) if rows else [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.float64()))], ["q", "n", "leaf", "score"])
+
+    return run
+
+
+def nearest(items: DataFrame, asked: list, space: Space, tree: Tree, idf: np.ndarray, mean: float) -> DataFrame:
+    """``(q, n, leaf, score)``: the K best of all items for each asked row, by brute force."""
+    run = _nearest(np.array([r.doc_id for r in asked], np.int64), [np.frombuffer(r.terms, np.uint32) for r in asked], space, tree, idf, mean)
+    best = Window.partitionBy("q").orderBy(F.desc("score"), "n")
+    found = items.select("doc_id", "terms", "counts").mapInArrow(run, "q long, n long, leaf int, score double")
+    return found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= K).drop("place")
+
+
+def _placed(space: Space, tree: Tree, visits: int, idf: np.ndarray, mean: float):
+    """Each item as the member of a leaf, and each seed as a query of every leaf it visits."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            terms, counts = _arrays(batch.column("terms").to_pylist(), batch.column("counts").to_pylist())
+            leaf = tree.assign(_unit(space.members(Index(terms, counts, idf, mean))))
+            seeds = np.flatnonzero(batch.column("seed").to_numpy(zero_copy_only=False).astype(bool))
+            seen = tree.visits(_unit(space.queries([terms[i] for i in seeds])), visits) if len(seeds) else []
+            at = np.repeat(seeds, [len(x) for x in seen]).astype(np.int64)
+            n = batch.num_rows
+            query = np.r_[np.zeros(n, bool), np.ones(len(at), bool)]
+            rows = pa.array(np.r_[np.arange(n), at])
+            leaves = np.r_[leaf, np.array([y for x in seen for y in x], np.int32)].astype(np.int32)
+            held = pa.array([*batch.column("counts").to_pylist(), *([None] * len(at))], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), batch.column("n_tokens").take(rows), pa.array(leaves), pa.array(query), batch.column("terms").take(rows), held], ["doc_id", "n_tokens", "leaf", "query", "terms", "counts"])
+
+    return run
+
+
+def _block_search(space: Space, idf: np.ndarray, mean: float, capacity: int | None, k: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        members, asking = pdf[~pdf["query"]], pdf[pdf["query"]]
+        rows = []
+        if len(members) and len(asking):
+            index = Index(*_arrays(members.terms, members.counts), idf, mean)
+            near, ids, sizes = space.members(index), members.doc_id.to_numpy(), members.n_tokens.to_numpy()
+            asked = np.zeros(BINS, bool)
+            for i in range(0, len(asking), 256):
+                part = asking.iloc[i : i + 256]
+                terms = [np.frombuffer(x, np.uint32) for x in part.terms]
+                rank = space.queries(terms) @ near.T
+                for row, own, size, words in zip(rank, part.doc_id, part.n_tokens, terms):
+                    may = ids != own if capacity is None else (ids != own) & (sizes <= capacity - size)
+                    at = np.flatnonzero(may)
+                    if len(at) > DEPTH:
+                        at = at[np.argpartition(-row[at], DEPTH - 1)[:DEPTH]]
+                    if not len(at):
+                        continue
+                    asked[words] = True
+                    score = index.scores_of(at, asked)
+                    asked[words] = False
+                    rows += [(own, ids[at[j]], score[j]) for j in np.lexsort((ids[at], -score))[:k] if score[j] > 0]
+        return pd.DataFrame(rows, columns=["q", "n", "score"]).astype({"q": "int64", "n": "int64", "score": "float64"})
+
+    return run
+
+
+def searched(placed: DataFrame, space: Space, idf: np.ndarray, mean: float, capacity: int | None, k: int) -> DataFrame:
+    """``(q, n, score)``: the k best members for each query in its leaves; with a capacity only those that fit beside it."""
+    sizes = materialise(placed.where("not query").groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    spread = placed.join(F.broadcast(sizes), "leaf").withColumn("block", F.explode(F.when(F.col("query"), every).otherwise(F.array(F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")))))
+    found = spread.groupBy("leaf", "block").applyInPandas(_block_search(space, idf, mean, capacity, k), "q long, n long, score double")
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "n"))
+    return found.withColumn("place", place).where(F.col("place") <= k).drop("place")
+
+
+def _filled(batches):
+    """The items that a seed takes of those that chose it, by score as long as they fit."""
+    for batch in batches:
+        rows = []
+        for q, left, near in zip(*(c.to_pylist() for c in batch.columns)):
+            for x in near:
+                if x["size"] <= left:
+                    left -= x["size"]
+                    rows.append((q, x["n"], x["size"], -x["away"]))
+        columns = list(zip(*rows)) if rows else [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.float64()))], ["q", "n", "size", "score"])
+
+
+def gathered(edges: DataFrame, items: DataFrame, capacity: int) -> DataFrame:
+    """``(q, n, size, score)``: each item n once, under the seed q that took it; no seed that holds items is itself taken.
+
+    ``edges(q, n, score)`` are the neighbours of the seeds among ``items(doc_id, n_tokens, seed)``.
+    """
+    spark = items.sparkSession
+    taken = spark.createDataFrame([], "q long, n long, size int, score double")
+    size = items.select(F.col("doc_id").alias("n"), F.col("n_tokens").alias("size"))
+    edges = materialise(edges.join(size, "n"))
+    for number in range(ROUNDS):
+        # large items seed first; the others seed from the second round on if nobody took them
+        asks = items.where("seed" if number else F.col("n_tokens") * 2 > capacity).select(F.col("doc_id").alias("q"), "n_tokens")
+        asks = asks.join(taken.select(F.col("n").alias("q")), "q", "left_anti")
+        held = taken.groupBy("q").agg(F.sum("size").alias("held"))
+        left = asks.join(held, "q", "left").select("q", (F.lit(capacity) - F.col("n_tokens") - F.coalesce("held", F.lit(0))).cast("int").alias("left"))
+        open_ = edges.join(left, "q").where(F.col("size") <= F.col("left"))
+        open_ = open_.join(taken.select("n"), "n", "left_anti").join(asks.select(F.col("q").alias("n")), "n", "left_anti")
+        choice = open_.groupBy("n").agg(F.min(F.struct((-F.col("score")).alias("away"), "q", "left", "size")).alias("c"))
+        met = choice.groupBy("c.q", "c.left").agg(F.sort_array(F.collect_list(F.struct("c.away", "n", "c.size"))).alias("near"))
+        taken = materialise(taken.unionAll(met.select("q", "left", "near").mapInArrow(_filled, "q long, n long, size int, score double")))
+    return taken
+
 
 def packed_shard(sizes: np.ndarray, index: Index, capacity: int) -> list[list[int]]:
     """Containers of item numbers, each item once."""
@@ -122,7 +316,7 @@ def packed_shard(sizes: np.ndarray, index: Index, capacity: int) -> list[list[in
         free = order[np.searchsorted(-by_size, -left) :]
         free = free[~used[free]]
         if len(free) and left:
-            ranked = free[np.lexsort((free, -index.scores(int(seed))[free]))]
+            ranked = free[np.lexsort((free, -index.scores(index.terms[int(seed)])[free]))]
             small = int(sizes[free[-1]])
             for item in ranked:
                 size = int(sizes[item])
@@ -148,24 +342,21 @@ def packed_shard(sizes: np.ndarray, index: Index, capacity: int) -> list[list[in
 
 def _packer(capacity: int, idf: np.ndarray, mean: float, tag: str):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n_tokens", "doc_id", "start_token"], ascending=[False, True, True], ignore_index=True)
-        sizes = pdf.n_tokens.to_numpy(np.int64)
-        index = Index([np.frombuffer(x, np.uint32) for x in pdf.terms], [np.frombuffer(x, np.uint8) for x in pdf.counts], idf, mean)
-        rows = [(f"{tag}{pdf.shard[0]}-{k}", place, item) for k, held in enumerate(packed_shard(sizes, index, capacity)) for place, item in enumerate(held)]
-        names, places, items = zip(*rows)
-        out = pdf.iloc[list(items)]
+        pdf = pdf.sort_values(["n_tokens", "doc_id"], ascending=[False, True], ignore_index=True)
+        index = Index(*_arrays(pdf.terms, pdf.counts), idf, mean)
+        name = f"{tag}{pdf.leaf_group[0]}-{pdf.part[0]}"
+        rows = [(f"{name}-{k}", place, item) for k, held in enumerate(packed_shard(pdf.n_tokens.to_numpy(np.int64), index, capacity)) for place, item in enumerate(held)]
+        names, places, units = zip(*rows)
+        out = pdf.iloc[list(units)]
         filled = pd.Series(out.n_tokens.to_numpy()).groupby(list(names)).transform("sum").to_numpy()
-        return pd.DataFrame({"container_id": names, "item_pos": places, "doc_id": out.doc_id.to_numpy(), "start_token": out.start_token.to_numpy(), "n_tokens": out.n_tokens.to_numpy(), "filled": filled, "terms": out.terms.to_numpy(), "counts": out.counts.to_numpy()})
+        return pd.DataFrame({"container_id": names, "place": places, "doc_id": out.doc_id.to_numpy(), "leaf": out.leaf.to_numpy(), "n_tokens": out.n_tokens.to_numpy(), "filled": filled, "terms": out.terms.to_numpy(), "counts": out.counts.to_numpy()})
 
     return run
 
 
-def pack(texts: DataFrame, capacity: int = CAPACITY, shard_items: int = SHARD_ITEMS, vocabulary: str = tokens.VOCABULARY) -> DataFrame:
-    """``texts(key, text)`` as ``(container_id, item_pos, doc_id, start_token, n_tokens)``."""
-    if capacity < 1:
-        raise ValueError("the capacity must be at least one token")
-    items = texts.where(F.col("key").isNotNull() & (F.length("text") > 0)).select("key", "text")
-    items = materialise(items.mapInArrow(_items(capacity, vocabulary), "doc_id long, size int, terms binary, counts binary").dropDuplicates(["doc_id"]))
+def indexed(items: DataFrame, leaf_rows: int) -> tuple[np.ndarray, float, Space, Tree, int]:
+    """Weights, mean length, space and tree of ``items(doc_id, terms, counts)``, and the leaves a query must visit."""
+    spark = items.sparkSession
     frequencies = items.select("terms", "counts").mapInArrow(_frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     df, length, documents = np.zeros(BINS, np.float64), 0, 0
     for row in frequencies.toLocalIterator():  # at most BINS + 2 rows
@@ -177,19 +368,66 @@ def pack(texts: DataFrame, capacity: int = CAPACITY, shard_items: int = SHARD_IT
             documents = row.n
     idf = np.log(1 + (documents - df + 0.5) / (df + 0.5)).astype(np.float32)
     mean = max(1.0, length / max(1, documents))
-    cut = items.mapInArrow(_cut(capacity), "doc_id long, start_token int, n_tokens int, terms binary, counts binary")
-    whole = cut.where("terms is null").select(F.concat_ws("-", F.lit("w"), "doc_id", "start_token").alias("container_id"), F.lit(0).alias("item_pos"), "doc_id", "start_token", "n_tokens")
-    rest = cut.where("terms is not null")
-    shape = PACKED + ", filled long, terms binary, counts binary"
+    share = min(1.0, 1.2 * TREE_SAMPLE / max(1, documents))
+    rows = items.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1_000_000)) < int(share * 1_000_000)).select("doc_id", "terms", "counts").limit(TREE_SAMPLE).collect()
+    terms, counts = _arrays([r.terms for r in rows], [r.counts for r in rows])
+    space = Space(Index(terms[:SPACE_SAMPLE], counts[:SPACE_SAMPLE], idf, mean), df, idf)
+    leaf = max(LEAF_SAMPLE, len(rows) * leaf_rows // max(1, documents))
+    tree = fit(_unit(space.members(Index(terms, counts, idf, mean))), branches=min(24, leaf), leaf=leaf)
+    visits = 1
+    if len(tree.leaves) > 1:
+        asked = rows[:: max(1, len(rows) // CALIBRATION)][:CALIBRATION]
+        order = tree.visits(_unit(space.queries([np.frombuffer(r.terms, np.uint32) for r in asked])), len(tree.leaves))
+        at = {r.doc_id: {leaf: i for i, leaf in enumerate(x, 1)} for r, x in zip(asked, order)}
+        needed = sorted(at[r.q][r.leaf] for r in nearest(items, asked, space, tree, idf, mean).collect())  # at most K rows for each
+        visits = needed[int(np.ceil(RECALL * len(needed))) - 1] if needed else len(tree.leaves)
+    return idf, mean, space, tree, visits
+
+
+def _counted(texts: DataFrame, vocabulary: str, capacity: int) -> DataFrame:
+    items = texts.where(F.col("key").isNotNull() & (F.length("text") > 0)).select("key", "text")
+    return materialise(items.mapInArrow(_items(capacity, vocabulary), "doc_id long, size int, terms binary, counts binary").dropDuplicates(["doc_id"]))
 
-    def shards(of: DataFrame, tag: str) -> DataFrame:
-        n = max(1, -(-of.count() // shard_items))
-        return of.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(tag)), F.lit(n))).groupBy("shard").applyInPandas(_packer(capacity, idf, mean, tag), shape)
 
-    first = materialise(shards(rest, "a"))
+def pack(texts: DataFrame, capacity: int = CAPACITY, shard_items: int = SHARD_ITEMS, vocabulary: str = tokens.VOCABULARY) -> DataFrame:
+    """``texts(key, text)`` as ``(container_id, item_pos, doc_id, start_token, n_tokens)``."""
+    if capacity < 1:
+        raise ValueError("the capacity must be at least one token")
+    items = _counted(texts, vocabulary, capacity)
+    idf, mean, space, tree, visits = indexed(items, shard_items)
+    cut = items.mapInArrow(_cut(capacity), "doc_id long, start_token int, n_tokens int, terms binary, counts binary")
+    whole = cut.where("terms is null").select(F.concat_ws("-", F.lit("w"), "doc_id", "start_token").alias("container_id"), F.lit(0).alias("item_pos"), "doc_id", "start_token", "n_tokens")
+    seed = (F.col("n_tokens") * 2 > capacity) | (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(SEED_EVERY)) == 0)
+    rest = cut.where("terms is not null").withColumn("seed", seed)
+    small = materialise(rest.select("doc_id", "start_token", "n_tokens", "seed"))
+    placed = rest.select("doc_id", "n_tokens", "seed", "terms", "counts").mapInArrow(_placed(space, tree, visits, idf, mean), "doc_id long, n_tokens int, leaf int, query boolean, terms binary, counts binary")
+    edges = materialise(searched(placed, space, idf, mean, capacity, NEIGHBOURS))
+    taken = gathered(edges, small, capacity)
+
+    # units: a seed with what it took, or an item alone; the terms are those of the seed
+    more = taken.groupBy(F.col("q").alias("doc_id")).agg(F.sum("size").alias("more"))
+    members = materialise(placed.where("not query").select("doc_id", "n_tokens", "leaf", "terms", "counts"))
+    alone = members.join(taken.select(F.col("n").alias("doc_id")), "doc_id", "left_anti")
+    units = materialise(alone.join(more, "doc_id", "left").select("doc_id", (F.col("n_tokens") + F.coalesce("more", F.lit(0))).cast("int").alias("n_tokens"), "leaf", "terms", "counts"))
+    shape = "container_id string, place int, doc_id long, leaf int, n_tokens int, filled long, terms binary, counts binary"
+
+    def shards(of: DataFrame, tag: str, groups: int) -> DataFrame:
+        """Packed in shards of neighbouring leaves; a shard above ``shard_items`` is split."""
+        of = of.withColumn("leaf_group", F.floor(F.col("leaf") * F.lit(groups) / F.lit(len(tree.leaves))))
+        parts = materialise(of.groupBy("leaf_group").agg(F.ceil(F.count("*") / shard_items).alias("parts")))
+        split = of.join(F.broadcast(parts), "leaf_group").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(tag)), F.col("parts")))
+        return split.groupBy("leaf_group", "part").applyInPandas(_packer(capacity, idf, mean, tag), shape)
+
+    first = materialise(shards(units, "a", len(tree.leaves)))
+    of = small.select("doc_id", "start_token", "n_tokens").join(taken.select(F.col("n").alias("doc_id"), "q", "score"), "doc_id", "left")
+    poor = materialise(of.select("doc_id", F.coalesce("q", "doc_id").alias("unit")).join(first.where(F.col("filled") < FULL * capacity).select(F.col("doc_id").alias("unit")), "unit").select("doc_id"))
+    again = shards(members.join(poor, "doc_id"), "b", min(len(tree.leaves), max(1, -(-poor.count() // shard_items))))
+    packed = materialise(first.where(F.col("filled") >= FULL * capacity).unionByName(again).select("container_id", "place", F.col("doc_id").alias("unit")))
+    within = of.join(poor.withColumn("back", F.lit(True)), "doc_id", "left").withColumn("q", F.when(F.col("back").isNull(), F.col("q")))
+    within = within.select(F.coalesce("q", "doc_id").alias("unit"), "doc_id", "start_token", "n_tokens", F.col("q").isNotNull().alias("under"), "score").join(packed, "unit")
+    order = Window.partitionBy("container_id").orderBy("place", "under", F.desc("score"), "doc_id")
     names = [x.split()[0] for x in PACKED.split(", ")]
-    again = shards(first.where(F.col("filled") < FULL * capacity).select("doc_id", "start_token", "n_tokens", "terms", "counts"), "b")
-    return whole.unionByName(first.where(F.col("filled") >= FULL * capacity).select(names)).unionByName(again.select(names))
+    return whole.unionByName(within.withColumn("item_pos", F.row_number().over(order) - 1).select(names))
 
 
 def _texts(spark: SparkSession, folder: str) -> DataFrame:
@@ -208,4 +446,19 @@ def p7_report(spark: SparkSession, folder: str) -> DataFrame:
     return filled.agg(F.count("*").alias("n_containers"), F.sum("items").alias("n_items"), F.sum("filled").alias("n_tokens"), F.round(1 - F.sum("filled") / (F.count("*") * CAPACITY), 6).alias("unused_share"), F.max("filled").alias("most_filled"))
 
 
-QUERIES = {"p7_packed": p7_packed, "p7_report": p7_report}
+def p7_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """Share of the five best neighbours that retrieval reaches, for a bounded query set against brute force over all items."""
+    items = _counted(_texts(spark, folder), tokens.VOCABULARY, CAPACITY)
+    idf, mean, space, tree, visits = indexed(items, SHARD_ITEMS)
+    every = max(1, items.count() // 200)
+    asked = items.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(every)) == 0).limit(400).select("doc_id", "terms").collect()
+    exact = nearest(items, asked, space, tree, idf, mean)
+    wanted = spark.createDataFrame([(r.doc_id,) for r in asked], "doc_id long").withColumn("seed", F.lit(True))
+    all_items = items.join(F.broadcast(wanted), "doc_id", "left").select("doc_id", F.col("size").alias("n_tokens"), F.coalesce("seed", F.lit(False)).alias("seed"), "terms", "counts")
+    placed = all_items.mapInArrow(_placed(space, tree, visits, idf, mean), "doc_id long, n_tokens int, leaf int, query boolean, terms binary, counts binary")
+    reached = searched(placed, space, idf, mean, None, K).select("q", "n", F.lit(1).alias("hit"))
+    met = exact.join(reached, ["q", "n"], "left").agg(F.countDistinct("q").alias("n_queries"), F.round(F.avg(F.coalesce("hit", F.lit(0))), 4).alias("recall"))
+    return met.where("n_queries > 0").withColumn("leaves_visited", F.lit(visits)).withColumn("leaves", F.lit(len(tree.leaves)))
+
+
+QUERIES = {"p7_recall": p7_recall, "p7_packed": p7_packed, "p7_report": p7_report}

@@ -178,6 +178,24 @@ def test_packing_keeps_every_token(spark):
     assert packing.pack(table.limit(0)).count() == 0
 
 
+def test_packing_retrieves_over_the_whole_collection(spark):
+    # 60 themes of 5 items that just fill a container; by a random deal into shards of 20 items hardly any theme is whole
+    r = random.Random(5)
+    rows = []
+    for theme in range(60):
+        own = [f"t{theme}x{j}" for j in range(12)]
+        for k in range(5):
+            text = " ".join(r.choices(own, k=40))
+            rows.append((theme * 5 + k, text, tokens.count(text)))
+    capacity = 5 * max(n for _, _, n in rows)
+    table = spark.createDataFrame([x[:2] for x in rows], "key long, text string")
+    themes = defaultdict(set)
+    for x in packing.pack(table, capacity, 20).collect():
+        themes[x.container_id].add(x.doc_id // 5)
+    pure = sum(len(x) == 1 for x in themes.values())
+    assert pure >= 0.5 * len(themes)
+
+
 def test_mixture_reaches_its_shares(spark):
     rows, table = texts_of(spark)
     targets = spark.createDataFrame([("one", 0.5, 3), ("two", 0.3, 2), ("big", 0.1, 1), ("absent", 0.1, 2)], "source string, target_share double, max_repeats int")
