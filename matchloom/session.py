@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import zipfile
 from pathlib import Path
 
@@ -12,6 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Lets Spark delete the shuffle files of a query as soon as it has ended; what needs them again computes them again.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def get_spark(app: str = "matchloom", master: str = "local[*]", **conf: str) -> SparkSession:
     """A session with the settings the library relies on; explicit ``conf`` wins."""
     settings = {
@@ -19,13 +21,20 @@ def get_spark(app: str = "matchloom", master: str = "local[*]", **conf: str) ->
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+        CLEANUP: "true",
     } | conf
-    return SparkSession.builder.master(master).appName(app).config(map=settings).getOrCreate()
+    spark = SparkSession.builder.master(master).appName(app).config(map=settings).getOrCreate()
+    ship(spark)
+    return spark
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends the package to the executors once for each context, so that their Python workers need no installation."""
+    """Prepares a session, also one made elsewhere: sends the package to the executors once for each context, so that their
+    Python workers need no installation, and has shuffle files deleted with the query that wrote them."""
     context = spark.sparkContext
+    if spark.conf.get(CLEANUP, "false") != "true":
+        spark.conf.set(CLEANUP, "true")
     if getattr(context, "_matchloom_shipped", False):
         return
     context._matchloom_shipped = True
@@ -56,40 +65,26 @@ def shared_folder(spark: SparkSession) -> str:
     return folder or context.getCheckpointDir()
 
 
-def _shuffles(spark: SparkSession) -> int:
-    """Number of shuffles that Spark still keeps; -1 if it does not tell."""
-    try:
-        return spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses().size()
-    except Exception:  # an inner interface: without it all rounds run
-        return -1
-
-
-def release(spark: SparkSession, rounds: int = 4) -> None:
-    """Lets Spark delete the shuffle files and checkpoints of data that nothing refers to any more.
-
-    Plans hold each other in chains, of which each round of collection frees a link: the driver's Python handles, the plans
-    that these held, their shuffles. Nothing is done while no shuffle is kept.
-    """
-    for _ in range(rounds):
-        if _shuffles(spark) == 0:
-            return
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.15)
-
-
 def materialise(df: DataFrame) -> DataFrame:
-    """``df`` computed once into the shared folder, with its lineage cut; survives the loss of executors.
-
-    Files of earlier steps that are no longer referred to are given back first, so that a query needs the disk of its
-    largest step rather than of all.
-    """
-    spark = df.sparkSession
-    shared_folder(spark)
-    release(spark)
+    """``df`` computed once into the shared folder, with its lineage cut; survives the loss of executors."""
+    ship(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def discard(*steps: DataFrame) -> None:
+    """Deletes the files of materialised steps that nothing will read again, so that a query needs the disk of its largest
+    step rather than of all. Files of other steps go with the session's cleaner."""
+    for df in steps:
+        try:
+            file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        except Exception:  # an inner interface: without it the cleaner deletes the files later
+            continue
+        if file.isDefined():
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     """Hints a broadcast if ``df`` (already materialised) has at most ``rows`` rows; otherwise the join shuffles."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
