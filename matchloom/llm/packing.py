@@ -1,14 +1,14 @@
 """Problem 7: pack texts into containers of a fixed number of tokens with little unused space.
 
-Method: an inverted index with BM25 weights over all items, in leaves of a k-means tree by content. A sample gives a space
-of the leading word directions; every item is a member of one leaf, and a seed asks as many leaves, best bin first, as a
-calibration set against all items needs. A leaf ranks its members that fit by the space, and the first ``DEPTH`` of a block
-by their exact score. Seeds are the items above half the capacity and a share of the others. In each round an unused item
-goes to the seed that scores it highest, and a seed takes its items by score as long as they fit. What is gathered so, and
-the items left over, are packed as units within shards of like content: the largest unused unit seeds a container, unused
-neighbours fill it by score, and the last gap takes the unit that fits it best. Containers that stay below ``FULL`` give
-their items back, and these are packed again in shards of neighbouring leaves. ``p7_recall`` measures the neighbours
-reached against brute force.
+Method: an inverted index with BM25 weights over all items, sharded by content: the shards are leaves of a k-means tree over
+the leading word directions of a sample. Every item is a member of one shard, and a seed asks the ``VISITS`` shards nearest
+to it, best bin first; in each shard all members that fit are scored exactly. Seeds are the items above half the capacity
+and a share of the others. In each round an unused item goes to the seed that scores it highest, and a seed takes its items
+by score as long as they fit. What is gathered so, and the items left over, are packed as units within shards of like
+content: the largest unused unit seeds a container, unused neighbours fill it by score, and the last gap takes the unit that
+fits it best. Containers that stay below ``FULL`` give their items back, and these are packed again in shards of
+neighbouring leaves. The number of shards asked is fixed, so that the work grows with the items and not with their square;
+``p7_recall`` measures the neighbours reached against brute force.
 
 A text above the capacity is cut into full containers and a rest, which is packed as an item. Terms are counted in a
 hashed vocabulary of ``BINS`` entries, so that the frequencies have a fixed size wherever they are held.
@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 
 from matchloom.llm import tokens
 from matchloom.llm.neighbours import Tree, fit
-from matchloom.llm.shingles import WORD, Words
 from matchloom.session import materialise, table
 
 CAPACITY = 1_024
@@ -38,11 +37,13 @@ FULL = 0.97
 #: The space: words and documents it is fitted on, and its directions.
 SPACE_WORDS, SPACE_SAMPLE, DIRECTIONS = 4_096, 3_000, 128
 TREE_SAMPLE, LEAF_SAMPLE = 20_000, 10
-CALIBRATION, RECALL, K = 64, 0.9, 5
-BLOCK, DEPTH, NEIGHBOURS = 4_096, 128, 16
+#: Shards that a seed asks, members of a block that a task holds, neighbours kept of a seed, and those that recall is measured on.
+VISITS, BLOCK, NEIGHBOURS, K = 4, 4_096, 16, 5
 #: One in so many of the items up to half the capacity is a seed.
 SEED_EVERY = 4
 ROUNDS = 3
+#: A gap of at least 1 / GAP of the capacity is left for another item. Rounds of packing poor containers again, each in shards so many times as large.
+GAP, AGAIN, WIDER = 8, 2, 4
 PACKED = "container_id string, item_pos int, doc_id long, start_token int, n_tokens int"
 
 
@@ -50,19 +51,18 @@ def _items(capacity: int, vocabulary: str):
     """Each text's size and the counts of its hashed terms."""
 
     def run(batches):
-        words = Words()
+        pieces = tokens.Pieces(vocabulary)
         for batch in batches:
             keys, sizes, terms, counts = [], [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                n = tokens.count(text, vocabulary)
+                n, words = tokens.counted(text, pieces)
                 if not n:
                     continue
-                ids = np.array([words[x] for x in WORD.findall(text.lower())], dtype=np.uint32) & np.uint32(BINS - 1)
-                own, k = np.unique(ids, return_counts=True)
+                own, k = np.unique(words & np.uint32(BINS - 1), return_counts=True)
                 keys.append(key)
                 sizes.append(n)
                 terms.append(own.astype(np.uint32).tobytes())
-                counts.append(np.minimum(k, 255).astype(np.uint8).tobytes())
+                counts.append(k.astype(np.uint32).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(terms, pa.binary()), pa.array(counts, pa.binary())], ["doc_id", "size", "terms", "counts"])
 
     return run
@@ -74,7 +74,7 @@ def _frequencies(batches):
     for batch in batches:
         for terms, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             total[np.frombuffer(terms, np.uint32)] += 1
-            length += int(np.frombuffer(counts, np.uint8).sum(dtype=np.int64))
+            length += int(np.frombuffer(counts, np.uint32).sum(dtype=np.int64))
             documents += 1
     held = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(np.r_[held, -1, -2], pa.int64()), pa.array(np.r_[total[held], length, documents], pa.int64())], ["term", "n"])
@@ -123,11 +123,21 @@ class Index:
         at = _ranges(self.first[place], self.last[place])
         return np.bincount(self.owner[at], self.weight[at], self.n)
 
-    def scores_of(self, items: np.ndarray, asked: np.ndarray) -> np.ndarray:
-        """BM25 score of some items for the terms that are marked in ``asked``."""
-        first, last = self.start[items], self.start[items + 1]
-        at = _ranges(first, last)
-        return np.bincount(np.repeat(np.arange(len(items)), last - first), self.flat_weight[at] * asked[self.flat[at]], len(items))
+    def table(self) -> np.ndarray:
+        """The weights as a matrix of items by held terms."""
+        full = np.zeros((self.n, len(self.held)), np.float32)
+        full[np.repeat(np.arange(self.n), np.diff(self.start)), np.searchsorted(self.held, self.flat)] = self.flat_weight
+        return full
+
+    def asked(self, terms: list[np.ndarray]) -> np.ndarray:
+        """Queries as a matrix of ones at the held terms they ask for."""
+        flat = np.concatenate(terms)
+        place = np.searchsorted(self.held, flat)
+        met = place < len(self.held)
+        met[met] = self.held[place[met]] == flat[met]
+        full = np.zeros((len(terms), len(self.held)), np.float32)
+        full[np.repeat(np.arange(len(terms)), [len(t) for t in terms])[met], place[met]] = 1
+        return full
 
 
 def _ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -136,7 +146,7 @@ def _ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
 
 
 def _arrays(terms, counts) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    return [np.frombuffer(x, np.uint32) for x in terms], [np.frombuffer(x, np.uint8) for x in counts]
+    return [np.frombuffer(x, np.uint32) for x in terms], [np.frombuffer(x, np.uint32) for x in counts]
 
 
 class Space:
@@ -228,55 +238,54 @@ def _placed(space: Space, tree: Tree, visits: int, idf: np.ndarray, mean: float)
     return run
 
 
-def _block_search(space: Space, idf: np.ndarray, mean: float, capacity: int | None, k: int):
+def _block_search(idf: np.ndarray, mean: float, capacity: int | None, k: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        members, asking = pdf[~pdf["query"]], pdf[pdf["query"]]
-        rows = []
+        members, asking = pdf[~pdf["query"]].sort_values("doc_id"), pdf[pdf["query"]]
+        found = []
         if len(members) and len(asking):
             index = Index(*_arrays(members.terms, members.counts), idf, mean)
-            near, ids, sizes = space.members(index), members.doc_id.to_numpy(), members.n_tokens.to_numpy()
-            asked = np.zeros(BINS, bool)
+            weights, ids, sizes = index.table().T, members.doc_id.to_numpy(), members.n_tokens.to_numpy()
             for i in range(0, len(asking), 256):
                 part = asking.iloc[i : i + 256]
-                terms = [np.frombuffer(x, np.uint32) for x in part.terms]
-                rank = space.queries(terms) @ near.T
-                for row, own, size, words in zip(rank, part.doc_id, part.n_tokens, terms):
-                    may = ids != own if capacity is None else (ids != own) & (sizes <= capacity - size)
-                    at = np.flatnonzero(may)
-                    if len(at) > DEPTH:
-                        at = at[np.argpartition(-row[at], DEPTH - 1)[:DEPTH]]
-                    if not len(at):
-                        continue
-                    asked[words] = True
-                    score = index.scores_of(at, asked)
-                    asked[words] = False
-                    rows += [(own, ids[at[j]], score[j]) for j in np.lexsort((ids[at], -score))[:k] if score[j] > 0]
-        return pd.DataFrame(rows, columns=["q", "n", "score"]).astype({"q": "int64", "n": "int64", "score": "float64"})
+                own, size = part.doc_id.to_numpy(), part.n_tokens.to_numpy()
+                score = index.asked([np.frombuffer(x, np.uint32) for x in part.terms]) @ weights
+                score[own[:, None] == ids[None, :]] = 0
+                if capacity is not None:
+                    score[sizes[None, :] > capacity - size[:, None]] = 0
+                near = np.argpartition(-score, min(k, len(ids)) - 1, axis=1)[:, :k]
+                a, b = np.nonzero(np.take_along_axis(score, near, 1) > 0)
+                found.append(pd.DataFrame({"q": own[a], "n": ids[near[a, b]], "score": score[a, near[a, b]].astype(np.float64)}))
+        return pd.concat(found, ignore_index=True) if found else pd.DataFrame({"q": np.zeros(0, np.int64), "n": np.zeros(0, np.int64), "score": np.zeros(0)})
 
     return run
 
 
-def searched(placed: DataFrame, space: Space, idf: np.ndarray, mean: float, capacity: int | None, k: int) -> DataFrame:
+def searched(placed: DataFrame, idf: np.ndarray, mean: float, capacity: int | None, k: int) -> DataFrame:
     """``(q, n, score)``: the k best members for each query in its leaves; with a capacity only those that fit beside it."""
     sizes = materialise(placed.where("not query").groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     spread = placed.join(F.broadcast(sizes), "leaf").withColumn("block", F.explode(F.when(F.col("query"), every).otherwise(F.array(F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")))))
-    found = spread.groupBy("leaf", "block").applyInPandas(_block_search(space, idf, mean, capacity, k), "q long, n long, score double")
+    found = spread.groupBy("leaf", "block").applyInPandas(_block_search(idf, mean, capacity, k), "q long, n long, score double")
     place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "n"))
     return found.withColumn("place", place).where(F.col("place") <= k).drop("place")
 
 
-def _filled(batches):
-    """The items that a seed takes of those that chose it, by score as long as they fit."""
-    for batch in batches:
-        rows = []
-        for q, left, near in zip(*(c.to_pylist() for c in batch.columns)):
-            for x in near:
-                if x["size"] <= left:
-                    left -= x["size"]
-                    rows.append((q, x["n"], x["size"], -x["away"]))
-        columns = list(zip(*rows)) if rows else [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.float64()))], ["q", "n", "size", "score"])
+def _filled(capacity: int):
+    """The items that a seed takes of those that chose it, by score as long as they fit; the gap behind an item must be small, or hold another."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for q, left, near in zip(*(c.to_pylist() for c in batch.columns)):
+                for x in near:
+                    gap = left - x["size"]
+                    if gap >= capacity // GAP or 0 <= gap <= (1 - FULL) * capacity:
+                        left = gap
+                        rows.append((q, x["n"], x["size"], -x["away"]))
+            columns = list(zip(*rows)) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.float64()))], ["q", "n", "size", "score"])
+
+    return run
 
 
 def gathered(edges: DataFrame, items: DataFrame, capacity: int) -> DataFrame:
@@ -298,7 +307,7 @@ def gathered(edges: DataFrame, items: DataFrame, capacity: int) -> DataFrame:
         open_ = open_.join(taken.select("n"), "n", "left_anti").join(asks.select(F.col("q").alias("n")), "n", "left_anti")
         choice = open_.groupBy("n").agg(F.min(F.struct((-F.col("score")).alias("away"), "q", "left", "size")).alias("c"))
         met = choice.groupBy("c.q", "c.left").agg(F.sort_array(F.collect_list(F.struct("c.away", "n", "c.size"))).alias("near"))
-        taken = materialise(taken.unionAll(met.select("q", "left", "near").mapInArrow(_filled, "q long, n long, size int, score double")))
+        taken = materialise(taken.unionAll(met.select("q", "left", "near").mapInArrow(_filled(capacity), "q long, n long, size int, score double")))
     return taken
 
 
@@ -321,7 +330,7 @@ def packed_shard(sizes: np.ndarray, index: Index, capacity: int) -> list[list[in
             for item in ranked:
                 size = int(sizes[item])
                 # the gap behind this item must be nil, or hold another item; else the best fit below takes it
-                if size <= left and (left - size >= max(small, capacity // 8) or left == size):
+                if size <= left and (left - size >= max(small, capacity // GAP) or left == size):
                     used[item] = True
                     held.append(int(item))
                     left -= size
@@ -354,8 +363,8 @@ def _packer(capacity: int, idf: np.ndarray, mean: float, tag: str):
     return run
 
 
-def indexed(items: DataFrame, leaf_rows: int) -> tuple[np.ndarray, float, Space, Tree, int]:
-    """Weights, mean length, space and tree of ``items(doc_id, terms, counts)``, and the leaves a query must visit."""
+def indexed(items: DataFrame, leaf_rows: int) -> tuple[np.ndarray, float, Space, Tree]:
+    """Weights, mean length, space and tree of ``items(doc_id, terms, counts)``."""
     spark = items.sparkSession
     frequencies = items.select("terms", "counts").mapInArrow(_frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     df, length, documents = np.zeros(BINS, np.float64), 0, 0
@@ -374,14 +383,7 @@ def indexed(items: DataFrame, leaf_rows: int) -> tuple[np.ndarray, float, Space,
     space = Space(Index(terms[:SPACE_SAMPLE], counts[:SPACE_SAMPLE], idf, mean), df, idf)
     leaf = max(LEAF_SAMPLE, len(rows) * leaf_rows // max(1, documents))
     tree = fit(_unit(space.members(Index(terms, counts, idf, mean))), branches=min(24, leaf), leaf=leaf)
-    visits = 1
-    if len(tree.leaves) > 1:
-        asked = rows[:: max(1, len(rows) // CALIBRATION)][:CALIBRATION]
-        order = tree.visits(_unit(space.queries([np.frombuffer(r.terms, np.uint32) for r in asked])), len(tree.leaves))
-        at = {r.doc_id: {leaf: i for i, leaf in enumerate(x, 1)} for r, x in zip(asked, order)}
-        needed = sorted(at[r.q][r.leaf] for r in nearest(items, asked, space, tree, idf, mean).collect())  # at most K rows for each
-        visits = needed[int(np.ceil(RECALL * len(needed))) - 1] if needed else len(tree.leaves)
-    return idf, mean, space, tree, visits
+    return idf, mean, space, tree
 
 
 def _counted(texts: DataFrame, vocabulary: str, capacity: int) -> DataFrame:
@@ -389,19 +391,19 @@ def _counted(texts: DataFrame, vocabulary: str, capacity: int) -> DataFrame:
     return materialise(items.mapInArrow(_items(capacity, vocabulary), "doc_id long, size int, terms binary, counts binary").dropDuplicates(["doc_id"]))
 
 
-def pack(texts: DataFrame, capacity: int = CAPACITY, shard_items: int = SHARD_ITEMS, vocabulary: str = tokens.VOCABULARY) -> DataFrame:
+def pack(texts: DataFrame, capacity: int = CAPACITY, shard_items: int = SHARD_ITEMS, vocabulary: str = tokens.VOCABULARY, visits: int = VISITS) -> DataFrame:
     """``texts(key, text)`` as ``(container_id, item_pos, doc_id, start_token, n_tokens)``."""
     if capacity < 1:
         raise ValueError("the capacity must be at least one token")
     items = _counted(texts, vocabulary, capacity)
-    idf, mean, space, tree, visits = indexed(items, shard_items)
+    idf, mean, space, tree = indexed(items, shard_items)
     cut = items.mapInArrow(_cut(capacity), "doc_id long, start_token int, n_tokens int, terms binary, counts binary")
     whole = cut.where("terms is null").select(F.concat_ws("-", F.lit("w"), "doc_id", "start_token").alias("container_id"), F.lit(0).alias("item_pos"), "doc_id", "start_token", "n_tokens")
     seed = (F.col("n_tokens") * 2 > capacity) | (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(SEED_EVERY)) == 0)
     rest = cut.where("terms is not null").withColumn("seed", seed)
     small = materialise(rest.select("doc_id", "start_token", "n_tokens", "seed"))
     placed = rest.select("doc_id", "n_tokens", "seed", "terms", "counts").mapInArrow(_placed(space, tree, visits, idf, mean), "doc_id long, n_tokens int, leaf int, query boolean, terms binary, counts binary")
-    edges = materialise(searched(placed, space, idf, mean, capacity, NEIGHBOURS))
+    edges = materialise(searched(placed, idf, mean, capacity, NEIGHBOURS))
     taken = gathered(edges, small, capacity)
 
     # units: a seed with what it took, or an item alone; the terms are those of the seed
@@ -411,18 +413,25 @@ def pack(texts: DataFrame, capacity: int = CAPACITY, shard_items: int = SHARD_IT
     units = materialise(alone.join(more, "doc_id", "left").select("doc_id", (F.col("n_tokens") + F.coalesce("more", F.lit(0))).cast("int").alias("n_tokens"), "leaf", "terms", "counts"))
     shape = "container_id string, place int, doc_id long, leaf int, n_tokens int, filled long, terms binary, counts binary"
 
-    def shards(of: DataFrame, tag: str, groups: int) -> DataFrame:
-        """Packed in shards of neighbouring leaves; a shard above ``shard_items`` is split."""
+    def shards(of: DataFrame, tag: str, most: int) -> DataFrame:
+        """Packed in shards of neighbouring leaves; a shard above ``most`` items is split."""
+        groups = min(len(tree.leaves), max(1, -(-of.count() // most)))
         of = of.withColumn("leaf_group", F.floor(F.col("leaf") * F.lit(groups) / F.lit(len(tree.leaves))))
-        parts = materialise(of.groupBy("leaf_group").agg(F.ceil(F.count("*") / shard_items).alias("parts")))
+        parts = materialise(of.groupBy("leaf_group").agg(F.ceil(F.count("*") / most).alias("parts")))
         split = of.join(F.broadcast(parts), "leaf_group").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(tag)), F.col("parts")))
-        return split.groupBy("leaf_group", "part").applyInPandas(_packer(capacity, idf, mean, tag), shape)
+        return materialise(split.groupBy("leaf_group", "part").applyInPandas(_packer(capacity, idf, mean, tag), shape))
 
-    first = materialise(shards(units, "a", len(tree.leaves)))
+    good = F.col("filled") >= FULL * capacity
+    now = shards(units, "a", shard_items)
     of = small.select("doc_id", "start_token", "n_tokens").join(taken.select(F.col("n").alias("doc_id"), "q", "score"), "doc_id", "left")
-    poor = materialise(of.select("doc_id", F.coalesce("q", "doc_id").alias("unit")).join(first.where(F.col("filled") < FULL * capacity).select(F.col("doc_id").alias("unit")), "unit").select("doc_id"))
-    again = shards(members.join(poor, "doc_id"), "b", min(len(tree.leaves), max(1, -(-poor.count() // shard_items))))
-    packed = materialise(first.where(F.col("filled") >= FULL * capacity).unionByName(again).select("container_id", "place", F.col("doc_id").alias("unit")))
+    # what a poor container of units holds is packed again item by item
+    poor = materialise(of.select("doc_id", F.coalesce("q", "doc_id").alias("unit")).join(now.where(~good).select(F.col("doc_id").alias("unit")), "unit").select("doc_id"))
+    packed = now.where(good)
+    for number in range(1, AGAIN + 1):
+        todo = members.join(poor, "doc_id") if number == 1 else now.where(~good).select("doc_id", "n_tokens", "leaf", "terms", "counts")
+        now = shards(todo, f"{chr(97 + number)}", shard_items * WIDER ** (number - 1))
+        packed = packed.unionByName(now if number == AGAIN else now.where(good))
+    packed = materialise(packed.select("container_id", "place", F.col("doc_id").alias("unit")))
     within = of.join(poor.withColumn("back", F.lit(True)), "doc_id", "left").withColumn("q", F.when(F.col("back").isNull(), F.col("q")))
     within = within.select(F.coalesce("q", "doc_id").alias("unit"), "doc_id", "start_token", "n_tokens", F.col("q").isNotNull().alias("under"), "score").join(packed, "unit")
     order = Window.partitionBy("container_id").orderBy("place", "under", F.desc("score"), "doc_id")
@@ -449,16 +458,16 @@ def p7_report(spark: SparkSession, folder: str) -> DataFrame:
 def p7_recall(spark: SparkSession, folder: str) -> DataFrame:
     """Share of the five best neighbours that retrieval reaches, for a bounded query set against brute force over all items."""
     items = _counted(_texts(spark, folder), tokens.VOCABULARY, CAPACITY)
-    idf, mean, space, tree, visits = indexed(items, SHARD_ITEMS)
+    idf, mean, space, tree = indexed(items, SHARD_ITEMS)
     every = max(1, items.count() // 200)
     asked = items.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(every)) == 0).limit(400).select("doc_id", "terms").collect()
     exact = nearest(items, asked, space, tree, idf, mean)
     wanted = spark.createDataFrame([(r.doc_id,) for r in asked], "doc_id long").withColumn("seed", F.lit(True))
     all_items = items.join(F.broadcast(wanted), "doc_id", "left").select("doc_id", F.col("size").alias("n_tokens"), F.coalesce("seed", F.lit(False)).alias("seed"), "terms", "counts")
-    placed = all_items.mapInArrow(_placed(space, tree, visits, idf, mean), "doc_id long, n_tokens int, leaf int, query boolean, terms binary, counts binary")
-    reached = searched(placed, space, idf, mean, None, K).select("q", "n", F.lit(1).alias("hit"))
+    placed = all_items.mapInArrow(_placed(space, tree, VISITS, idf, mean), "doc_id long, n_tokens int, leaf int, query boolean, terms binary, counts binary")
+    reached = searched(placed, idf, mean, None, K).select("q", "n", F.lit(1).alias("hit"))
     met = exact.join(reached, ["q", "n"], "left").agg(F.countDistinct("q").alias("n_queries"), F.round(F.avg(F.coalesce("hit", F.lit(0))), 4).alias("recall"))
-    return met.where("n_queries > 0").withColumn("leaves_visited", F.lit(visits)).withColumn("leaves", F.lit(len(tree.leaves)))
+    return met.where("n_queries > 0").withColumn("leaves_visited", F.lit(min(VISITS, len(tree.leaves)))).withColumn("leaves", F.lit(len(tree.leaves)))
 
 
 QUERIES = {"p7_recall": p7_recall, "p7_packed": p7_packed, "p7_report": p7_report}
