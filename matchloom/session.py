@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -10,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_written: list[tuple[SparkSession, str]] = []
 #: Lets Spark delete the shuffle files of a query as soon as it has ended; what needs them again computes them again.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -72,17 +75,46 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as a compressed table into the shared folder and read again. Unlike ``materialise`` it keeps no
+    partitioning, but takes less disk and gives back only the columns that are used."""
+    spark = df.sparkSession
+    ship(spark)
+    path = f"{shared_folder(spark)}/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _written.append((spark, path))
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@atexit.register
+def _delete_written() -> None:
+    for spark, path in _written:
+        try:
+            _delete(spark, path)
+        except Exception:  # the session has been stopped
+            return
+
+
 def discard(*steps: DataFrame) -> None:
     """Deletes the files of materialised steps that nothing will read again, so that a query needs the disk of its largest
     step rather than of all. Files of other steps go with the session's cleaner."""
     for df in steps:
+        if hasattr(df, "_stored_at"):
+            _delete(df.sparkSession, df._stored_at)
+            continue
         try:
             file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
         except Exception:  # an inner interface: without it the cleaner deletes the files later
             continue
         if file.isDefined():
-            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
-            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(df.sparkSession, file.get())
 
 
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
