@@ -78,10 +78,20 @@ def test_site_lines_equal_brute_force(spark, monkeypatch, held):
 
 
 def test_templates_get_slots():
-    found: list = []
-    for line in ("share with a friend today", "share with a colleague today", "quite another line is here"):
-        site_lines.grown(found, line.split(), 1)
-    assert [(" ".join(t), n) for t, n in found] == [("share with a <*> today", 2), ("quite another line is here", 1)]
+    tree = site_lines.Templates(0.6)
+    at = [tree.add(line) for line in ("share with a friend today", "share with a colleague today", "quite another line is here")]
+    assert at == [0, 0, 1] and [tree.text(k) for k in (0, 1)] == ["share with a <*> today", "quite another line is here"]
+    strict = site_lines.Templates(1.0)
+    assert [strict.add(x) for x in ("share with a friend", "share with a colleague", "share with a friend")] == [0, 1, 0]
+
+
+def test_templates_count_documents_once(spark):
+    rows = [(f"d{i}", "one", "share this page with a friend today\nshare this page with a colleague today") for i in range(3)]
+    rows += [(f"e{i}", "one", "share this page with a neighbour today") for i in range(2)]
+    table = spark.createDataFrame(rows, "document_id string, source string, text string")
+    assert site_lines.repeated_lines(table, similar=0.6)[1].count() == 0
+    found, templates = site_lines.repeated_lines(table, 5, 0.05, 0.6)
+    assert [tuple(r) for r in templates.collect()] == [("one", "share this page with a <*> today", 5)] and found.count() == 8
 
 
 def test_folding_is_blind_to_look_alikes():
