@@ -3,8 +3,12 @@
 Method: a hierarchical k-means tree is fitted to a bounded sample (``SAMPLE`` vectors of a collection) and every vector is
 put into a leaf. A query visits leaves best bin first: a priority queue holds the nodes by their distance to the query, the
 nearest is taken, an inner node adds its children and a leaf is visited. The number of leaves visited is widened on a
-calibration set (``CALIBRATION`` vectors against all) until the wanted recall is reached there. Leaves hold members in
-blocks of ``BLOCK`` and are searched by matrix products, so that no task holds an unbounded leaf.
+calibration set (``CALIBRATION`` vectors against all) until the wanted recall is reached there.
+
+Neighbouring leaves travel together as buckets of about ``BUCKET`` members, and a leaf above that as several buckets. The
+queries of one bucket visit another as a group: a query is sent once to each bucket in which it visits leaves, a bucket once
+to each group that visits it, and only the visited leaves are compared, by matrix products. Each task keeps the k nearest of
+a query, with ties, so that at most that many rows leave it.
 
 A collection of which only neighbours above a similarity matter is calibrated on those, and needs few leaves. ``p3_recall``
 measures the recall against brute force on a query set of every fiftieth vector.
@@ -29,16 +33,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from matchloom.llm.near_copies import spelled
-from matchloom.session import materialise, table
+from matchloom.session import discard, materialise, table
 
 DIMENSIONS, K = 64, 5
-SAMPLE, CALIBRATION = 20_000, 2_000
-BRANCHES, LEAF_SAMPLE, ROUNDS = 24, 50, 8
-#: Rows that a leaf is meant to hold: large leaves need few visits, and visits are what the shuffle carries.
-LEAF_ROWS = 4_000
-BLOCK, QUERY_BLOCK = 4_096, 8_192
-RECALL, CLOSE_RECALL = 0.95, 0.98
+SAMPLE, CALIBRATION = 50_000, 2_000
+BRANCHES, LEAF_SAMPLE, ROUNDS = 24, 25, 8
+#: Rows that a leaf is meant to hold; it holds more once the sample has too few rows for so many leaves.
+LEAF_ROWS = 1_000
+BUCKET = 16_384
+RECALL, CLOSE_RECALL = 0.95, 0.995
 CLOSE = 0.90
+#: Neighbours above the wanted similarity that a calibration needs; with fewer it goes by the nearest of any similarity.
+LEAST_CALIBRATION = 50
 
 
 @dataclass
@@ -120,10 +126,14 @@ def fit(sample: np.ndarray, branches: int = BRANCHES, leaf: int = LEAF_SAMPLE, s
     return tree
 
 
+def raw(column) -> np.ndarray:
+    """The vectors of a binary column of 32-bit floats."""
+    return np.frombuffer(b"".join(column.to_pylist() if hasattr(column, "to_pylist") else column), np.float32).reshape(-1, DIMENSIONS)
+
+
 def units(column) -> np.ndarray:
     """Unit vectors of a binary column of 32-bit floats."""
-    raw = np.frombuffer(b"".join(column.to_pylist() if hasattr(column, "to_pylist") else column), np.float32).reshape(-1, DIMENSIONS)
-    wide = raw.astype(np.float64)
+    wide = raw(column).astype(np.float64)
     return (wide / np.linalg.norm(wide, axis=1, keepdims=True)).astype(np.float32)
 
 
@@ -142,62 +152,132 @@ def valid(vectors: DataFrame) -> DataFrame:
     return used.mapInArrow(_packed, "key string, same binary, vec binary").dropDuplicates(["key"])
 
 
-def _placed(tree: Tree, visits: int):
-    """Each vector as the member of a leaf, and as a query of each leaf it visits."""
+@dataclass
+class Buckets:
+    """Buckets of leaves: the first bucket of each leaf and the number of buckets it is spread over."""
+
+    first: np.ndarray
+    parts: np.ndarray
+
+    @staticmethod
+    def of(sizes: np.ndarray, room: int) -> Buckets:
+        """Runs of neighbouring leaves that together hold at most ``room`` members; a larger leaf has several of its own."""
+        first, parts, now, held = np.zeros(len(sizes), np.int32), np.ones(len(sizes), np.int32), 0, 0
+        for leaf, size in enumerate(sizes.tolist()):
+            if held and held + size > room:
+                now, held = now + 1, 0
+            first[leaf] = now
+            if size > room:
+                parts[leaf] = -(-size // room)
+                now += int(parts[leaf])
+            else:
+                held += size
+        return Buckets(first, parts)
+
+
+def _mixed(ids: np.ndarray) -> np.ndarray:
+    x = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (x >> np.uint64(33)).astype(np.int64)
+
+
+def _leaves(tree: Tree):
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(tree.assign(units(batch.column(0))) if batch.num_rows else np.zeros(0, np.int32))], ["leaf"])
+
+    return run
+
+
+def _placed(tree: Tree, buckets: Buckets, visits: int):
+    """Each vector as the member of a bucket, and, if asked, as a query of each bucket in which it visits leaves."""
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            unit = units(batch.column(1))
-            own, seen = tree.assign(unit), tree.visits(unit, visits)
-            at = np.repeat(np.arange(len(unit)), [len(x) for x in seen])
-            rows = np.r_[np.arange(len(unit)), at]
-            leaf = np.r_[own, np.array([y for x in seen for y in x], np.int32)]
-            query = np.r_[np.zeros(len(unit), bool), np.ones(len(at), bool)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(leaf.astype(np.int32)), pa.array(query), batch.column(1).take(pa.array(rows))], ["id", "leaf", "query", "vec"])
+            unit, ids = units(batch.column(1)), batch.column(0).to_numpy()
+            own, asked = tree.assign(unit), np.flatnonzero(batch.column(2).to_numpy(zero_copy_only=False).astype(bool))
+            home = buckets.first[own] + (_mixed(ids) % buckets.parts[own]).astype(np.int32)
+            at, where, seen = [], [], []
+            for i, leaves in zip(asked.tolist(), tree.visits(unit[asked], visits) if len(asked) else []):
+                by: dict[int, list[int]] = {}
+                for leaf in leaves:
+                    for part in range(int(buckets.parts[leaf])):
+                        by.setdefault(int(buckets.first[leaf]) + part, []).append(leaf)
+                at += [i] * len(by)
+                where += by.keys()
+                seen += [np.array(x, np.int32).tobytes() for x in by.values()]
+            n, rows = batch.num_rows, pa.array(np.r_[np.arange(batch.num_rows), np.array(at, np.int64)])
+            columns = [batch.column(0).take(rows), pa.array(np.r_[home, np.array(where, np.int32)].astype(np.int32)), pa.array(np.r_[home, home[at]].astype(np.int32)), pa.array(np.r_[own, np.full(len(at), -1)].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([None] * n + seen, pa.binary()), batch.column(1).take(rows)], ["id", "bucket", "home", "leaf", "visited", "vec"])
 
     return run
 
 
-def _leaf_search(k: int, least: float):
+PLACED = "id long, bucket int, home int, leaf int, visited binary, vec binary"
+
+
+def _bucket_search(k: int, least: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        members, asking = pdf[~pdf["query"]], pdf[pdf["query"]]
+        members, asking = pdf[pdf["leaf"] >= 0].sort_values(["leaf", "id"]), pdf[pdf["leaf"] < 0].sort_values("id")
         empty = pd.DataFrame({"q": np.zeros(0, np.int64), "n": np.zeros(0, np.int64), "similarity": np.zeros(0)})
         if not len(members) or not len(asking):
             return empty
-        m, q = units(members.vec), units(asking.vec)
-        mid, qid = members.id.to_numpy(), asking.id.to_numpy()
-        found = []
-        for i in range(0, len(q), 512):
-            s = q[i : i + 512] @ m.T
-            s[qid[i : i + 512, None] == mid[None, :]] = -2
-            bar = np.full(len(s), least - 1e-6, np.float32)
-            if s.shape[1] > k and least < 0.8:
-                np.maximum(bar, np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] - np.float32(1e-6), out=bar)
-            a, b = np.nonzero(s >= np.maximum(bar, -1.5)[:, None])
-            x, y = q[i + a].astype(np.float64), m[b].astype(np.float64)
+        m, q, mid, qid = units(members.vec), units(asking.vec), members.id.to_numpy(), asking.id.to_numpy()
+        raw_m, raw_q = raw(members.vec), raw(asking.vec)
+        seen = [np.frombuffer(x, np.int32) for x in asking.visited]
+        owner, leaf_of = np.repeat(np.arange(len(q)), [len(x) for x in seen]), np.concatenate(seen)
+        order = np.argsort(leaf_of, kind="stable")
+        owner, leaf_of, leaves = owner[order], leaf_of[order], members.leaf.to_numpy()
+        kth = np.full((len(q), k), -2, np.float32)
+        steps = []
+        for leaf in np.unique(leaves):
+            a, b = np.searchsorted(leaves, [leaf, leaf + 1])
+            c, d = np.searchsorted(leaf_of, [leaf, leaf + 1])
+            steps += [(owner[x : min(x + 512, d)], slice(y, min(y + 8_192, b))) for x in range(c, d, 512) for y in range(a, b, 8_192)]
+
+        def scores(rows, part):
+            found = q[rows] @ m[part].T
+            found[qid[rows, None] == mid[None, part]] = -2
+            return found
+
+        for rows, part in steps:  # the k best similarities of each query
+            found = scores(rows, part)
+            if found.shape[1] > k:
+                found = -np.partition(-found, k - 1, axis=1)[:, :k]
+            kth[rows] = -np.sort(-np.concatenate([kth[rows], found], axis=1), axis=1)[:, :k]
+        bar, out = np.maximum(np.maximum(kth[:, k - 1], least) - np.float32(2e-6), -1.5), []
+        for rows, part in steps:  # and who reaches them, ties included
+            if (kth[rows, 0] < bar[rows]).all():
+                continue
+            a, b = np.nonzero(scores(rows, part) >= bar[rows, None])
+            # unit vectors of 32 bits rank the candidates; the similarity itself comes from the vectors as given
+            x, y = raw_q[rows[a]].astype(np.float64), raw_m[part][b].astype(np.float64)
             exact = np.einsum("ij,ij->i", x, y) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1))
-            found.append(pd.DataFrame({"q": qid[i + a], "n": mid[b], "similarity": exact}))
-        out = pd.concat(found, ignore_index=True)
-        return out[out.similarity >= least - 1e-9]
+            out.append(pd.DataFrame({"q": qid[rows[a]], "n": mid[part][b], "similarity": np.round(exact, 9)}))
+        if not out:
+            return empty
+        found = pd.concat(out, ignore_index=True)
+        found = found[found.similarity >= least - 1e-9]
+        return found[found.groupby("q").similarity.rank(method="min", ascending=False) <= k]
 
     return run
 
 
-def searched(placed: DataFrame, k: int, least: float) -> DataFrame:
-    """``(q, n, similarity)`` of ``placed(id, leaf, query, vec)``: the k nearest members of each query in its leaves, ties included."""
-    sizes = placed.groupBy("leaf").agg(F.count_if(~F.col("query")).alias("m"), F.count_if("query").alias("a"))
-    sizes = materialise(sizes.select("leaf", F.greatest(F.lit(1), F.ceil(F.col("m") / BLOCK)).cast("int").alias("nm"), F.greatest(F.lit(1), F.ceil(F.col("a") / QUERY_BLOCK)).cast("int").alias("nq")))
-    spread = placed.join(F.broadcast(sizes) if sizes.count() <= 100_000 else sizes, "leaf")
-    mark = F.xxhash64("id")
-    own_m, own_q = F.pmod(mark, F.col("nm")).cast("int"), F.pmod(mark, F.col("nq")).cast("int")
-    every_m, every_q = F.sequence(F.lit(0), F.col("nm") - 1), F.sequence(F.lit(0), F.col("nq") - 1)
-    spread = spread.withColumn("mb", F.explode(F.when(F.col("query"), every_m).otherwise(F.array(own_m)))).withColumn("qb", F.explode(F.when(F.col("query"), F.array(own_q)).otherwise(every_q)))
-    found = spread.select("leaf", "mb", "qb", "id", "query", "vec").groupBy("leaf", "mb", "qb").applyInPandas(_leaf_search(k, least), "q long, n long, similarity double")
-    found = found.withColumn("similarity", F.round("similarity", 9)).groupBy("q", "n").agg(F.max("similarity").alias("similarity"))
+def searched(firsts: DataFrame, tree: Tree, visits: int, k: int, least: float) -> DataFrame:
+    """``(q, n, similarity, place)``: for the rows of ``firsts(id, vec, asked)`` that are asked, the k nearest in the leaves they visit, ties included."""
+    sizes = np.zeros(len(tree.leaves), np.int64)
+    for row in firsts.select("vec").mapInArrow(_leaves(tree), "leaf int").groupBy("leaf").count().collect():  # one row for each leaf, of which the sample bounds the number
+        sizes[row["leaf"]] = row["count"]
+    placed = materialise(firsts.select("id", "vec", "asked").mapInArrow(_placed(tree, Buckets.of(sizes, BUCKET), visits), PLACED))
+    asking = placed.where("leaf < 0")
+    groups = asking.select("bucket", "home").distinct()
+    members = placed.where("leaf >= 0").drop("home").join(groups, "bucket").select(asking.columns)
+    found = asking.unionAll(members).groupBy("bucket", "home").applyInPandas(_bucket_search(k, least), "q long, n long, similarity double")
     place = F.rank().over(Window.partitionBy("q").orderBy(F.desc("similarity")))
-    return found.withColumn("place", place).where(F.col("place") <= k)
+    found = materialise(found.withColumn("place", place).where(F.col("place") <= k))
+    discard(placed)
+    return found
 
 
 def _nearest_of_sample(ids: np.ndarray, sample: np.ndarray, tree: Tree, k: int):
@@ -234,9 +314,11 @@ def calibrated(firsts: DataFrame, tree: Tree, n: int, k: int, least: float, reca
     ids, sample = np.array([r.id for r in rows]), units([bytes(r.vec) for r in rows])
     near = firsts.select("id", "vec").mapInArrow(_nearest_of_sample(ids, sample, tree, k), "at long, similarity double, leaf int")
     place = F.row_number().over(Window.partitionBy("at").orderBy(F.desc("similarity"), "leaf"))
-    near = near.where(F.col("similarity") >= least).withColumn("place", place).where(F.col("place") <= k).collect()  # at most k rows for each sample vector
+    near = near.withColumn("place", place).where(F.col("place") <= k).collect()  # at most k rows for each sample vector
     order = [{leaf: i for i, leaf in enumerate(x, 1)} for x in tree.visits(sample, len(tree.leaves))]
-    needed = sorted(order[r["at"]][r["leaf"]] for r in near)
+    needed = sorted(order[r["at"]][r["leaf"]] for r in near if r["similarity"] >= least)
+    if len(needed) < LEAST_CALIBRATION:
+        needed = sorted(order[r["at"]][r["leaf"]] for r in near if r["similarity"] >= least or r["place"] == 1)
     if not needed:
         return min(3, len(tree.leaves))
     return max(min(2, len(tree.leaves)), needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)])
@@ -264,7 +346,7 @@ def neighbours(vectors: DataFrame, k: int = K, least: float = -1.0, recall: floa
     """
     firsts, membership, tree, n = prepared(vectors)
     visits = calibrated(firsts, tree, n, k, least, recall)
-    found = searched(firsts.select("id", "vec").mapInArrow(_placed(tree, visits), "id long, leaf int, query boolean, vec binary"), k, least)
+    found = searched(firsts.withColumn("asked", F.lit(True)), tree, visits, k, least)
     names = firsts.select("id", "key", "copies")
     named = found.join(names.toDF("q", "lo", "copies_lo"), "q").join(names.toDF("n", "hi", "copies_hi"), "n")
     better = Window.partitionBy("lo").orderBy(F.desc("similarity")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
@@ -319,11 +401,9 @@ def p3_recall(spark: SparkSession, folder: str) -> DataFrame:
     for field, vectors in _collections(spark, folder).items():
         firsts, _, tree, n = prepared(vectors)
         visits = calibrated(firsts, tree, n, K, -1.0, RECALL)
-        asked = firsts.where(F.pmod(F.xxhash64("key"), F.lit(50)) == 0)
-        placed = firsts.select("id", "vec").mapInArrow(_placed(tree, visits), "id long, leaf int, query boolean, vec binary")
-        by_tree = searched(placed.join(asked.withColumn("asked", F.lit(True)).select("id", "asked"), "id", "left").where("not query or asked").drop("asked"), K, -1.0)
-        flat = firsts.select("id", F.lit(0).alias("leaf"), F.lit(False).alias("query"), "vec").unionAll(asked.select("id", F.lit(0), F.lit(True), "vec"))
-        exact = searched(flat, K, -1.0)
+        asked = firsts.withColumn("asked", F.pmod(F.xxhash64("key"), F.lit(50)) == 0)
+        by_tree = searched(asked, tree, visits, K, -1.0)
+        exact = searched(asked, Tree(np.zeros((0, DIMENSIONS), np.float32), {}, {-1: 0}), 1, K, -1.0)
         met = exact.select("q", "n").join(by_tree.select("q", "n", F.lit(1).alias("hit")), ["q", "n"], "left")
         parts.append(materialise(met.agg(F.lit(field).alias("field"), F.countDistinct("q").alias("n_queries"), F.round(F.coalesce(F.avg(F.coalesce("hit", F.lit(0))), F.lit(1.0)), 4).alias("recall"), F.lit(visits).alias("leaves_visited"), F.lit(len(tree.leaves)).alias("leaves"))))
     return parts[0].unionAll(parts[1])
