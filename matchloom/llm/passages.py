@@ -8,6 +8,11 @@ extents overlap by at least the passage: one hash function finds every shared pa
 verbatim spans. Windows are joined by hash and by the overlap of their extents, and each match is verified on the texts,
 from the centre outwards.
 
+Equal grams at a fixed distance of at most ``GRAM`` (dot leaders, rules, repeated patterns) are one window, a run, so that a
+periodic text has few windows. Two runs are matched by sliding the shorter along the longer in steps of its own length, from
+the first to the last place: the spans found so cover whatever the two have in common, though not each of the many ways in
+which it can be laid over itself.
+
 Texts with equal content form a class whose least key stands for it. A hash above ``BLOCK`` windows is cut into blocks that
 meet pairwise in different tasks. Pairs within a class are written out in full up to ``SPELLED`` members; in a larger one
 each member is paired with the representative.
@@ -27,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchloom.llm.near_copies import spelled
-from matchloom.session import materialise, table
+from matchloom.session import discard, materialise, stored, table
 
 LEAST, GRAM = 240, 120
 BLOCK = 256
@@ -66,39 +71,64 @@ def gram_hashes(points: np.ndarray, gram: int, powers: Powers) -> np.ndarray:
     return value
 
 
-def windows(hashes: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """(left, centre, right) of the Cartesian tree's subtrees with at least ``least`` tokens; the first of equal minima is the root."""
-    found, open_ = [], [(0, len(hashes))]
+def tied(hashes: np.ndarray, least: int):
+    """(left, centres, right) of the Cartesian tree's subtrees with at least ``least`` tokens; equal minima are centres of one."""
+    open_ = [(0, len(hashes))]
     while open_:
         left, end = open_.pop()
         if end - left < least:
             continue
-        centre = left + int(hashes[left:end].argmin())
-        found.append((left, centre, end - 1))
-        open_.append((left, centre))
-        open_.append((centre + 1, end))
+        part = hashes[left:end]
+        centres = left + np.flatnonzero(part == part.min())
+        yield left, centres, end - 1
+        starts, ends = np.r_[left, centres + 1], np.r_[centres, end]
+        room = ends - starts >= least
+        open_ += zip(starts[room].tolist(), ends[room].tolist())
+
+
+def windows(hashes: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """(left, centre, right) of every window, the centres of a run one by one."""
+    return [(left, int(c), right) for left, centres, right in tied(hashes, least) for c in centres]
+
+
+def runs(centres: np.ndarray, most_step: int) -> list[tuple[int, int, int]]:
+    """(first, count, step) of the stretches of rising positions at one distance of at most ``most_step``."""
+    if len(centres) == 1:
+        return [(int(centres[0]), 1, 0)]
+    steps = np.diff(centres)
+    cut = np.flatnonzero(np.r_[True, (steps[1:] != steps[:-1]) | (steps[1:] > most_step)])
+    found, used = [], 0
+    for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(steps)]):
+        # positions a to b stand at one distance; the first may belong to the stretch before
+        first = max(a, used)
+        if steps[a] <= most_step and b - first >= 1:
+            found.append((int(centres[first]), b - first + 1, int(steps[a])))
+            used = b + 1
+        else:
+            found += [(int(centres[k]), 1, 0) for k in range(first, b)]
+            used = max(used, b)
+    found += [(int(centres[k]), 1, 0) for k in range(used, len(centres))]
     return found
 
 
 def _windows(least: int, gram: int):
     def run(batches):
-        powers = Powers()
+        powers, span = Powers(), least - gram + 1
         for batch in batches:
-            hashes, keys, places = [], [], []
+            hashes, keys, rows = [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if len(text) < least:
                     continue
                 value = gram_hashes(codes(text), gram, powers)
-                found = windows(value, least - gram + 1)
-                places += found
+                found = [(left, *x, right) for left, centres, right in tied(value, span) for x in runs(centres, gram)]
+                rows += found
                 keys += [key] * len(found)
-                hashes.append(value[[c for _, c, _ in found]])
-            left, centre, right = np.array(places, dtype=np.int64).reshape(-1, 3).T
-            # extents count up to the passage's length only, and travel in one number with the centre
-            span = least - gram + 1
-            place = (centre * (span + 1) + np.minimum(centre - left, span)) * (span + 1) + np.minimum(right - centre, span)
-            columns = [pa.array(np.concatenate(hashes).view(np.int64) if hashes else np.zeros(0, np.int64)), pa.array(keys, pa.int64()), pa.array(place)]
-            yield pa.RecordBatch.from_arrays(columns, ["hash", "key", "place"])
+                hashes.append(value[[x[1] for x in found]])
+            left, first, count, step, right = np.array(rows, dtype=np.int64).reshape(-1, 5).T
+            # extents, the widest of a run, count up to the passage's length only, and travel in one number with the centre
+            place = (first * (span + 1) + np.minimum(first + (count - 1) * step - left, span)) * (span + 1) + np.minimum(right - first, span)
+            columns = [pa.array(np.concatenate(hashes).view(np.int64) if hashes else np.zeros(0, np.int64)), pa.array(keys, pa.int64()), pa.array(place), pa.array(count * (gram + 1) + step)]
+            yield pa.RecordBatch.from_arrays(columns, ["hash", "key", "place", "run"])
 
     return run
 
@@ -115,7 +145,7 @@ def _packed(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([zlib.compress(x.encode("utf-8", "surrogatepass"), 1) for x in batch.column(1).to_pylist()], pa.binary())], ["key", "text"])
 
 
-def _joined(found: DataFrame, copies: DataFrame, least_tokens: int) -> DataFrame:
+def _joined(found: DataFrame, copies: DataFrame, least_tokens: int, gram: int) -> DataFrame:
     """Pairs of windows of different documents, other than ``copies(key)``, with equal hash whose extents overlap by enough tokens."""
     sizes = found.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
     members = found.join(sizes, "hash").join(copies, "key", "left_anti").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
@@ -123,14 +153,26 @@ def _joined(found: DataFrame, copies: DataFrame, least_tokens: int) -> DataFrame
     members = members.withColumns({"after": F.col("place") % base, "before": F.expr(f"place div {least_tokens + 1} % {least_tokens + 1}"), "centre": F.expr(f"cast(place div {(least_tokens + 1) ** 2} as int)")})
     members = members.withColumn("own", F.pmod(F.xxhash64("key", "centre"), F.col("blocks")).cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    window = F.struct("key", "centre", "before", "after", "own")
+    members = members.withColumns({"count": F.expr(f"cast(run div {gram + 1} as int)"), "step": F.expr(f"cast(run % {gram + 1} as int)")})
+    window = F.struct("key", "centre", "before", "after", "own", "count", "step")
     # by block, not only by hash, so that the blocks of a hot hash meet in different tasks
     members = members.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).repartition("hash", "i", "j")
     met = members.groupBy("hash", "i", "j").agg(F.sort_array(F.collect_list(window)).alias("them")).where(F.size("them") > 1)
     met = met.select("i", "j", "them", F.posexplode("them").alias("at", "x")).select("i", "j", "x", F.explode(F.slice("them", F.col("at") + 2, F.size("them"))).alias("y"))
     overlap = F.least("x.before", "y.before") + F.least("x.after", "y.after") + 1
     met = met.where((F.col("x.key") != F.col("y.key")) & (overlap >= least_tokens) & ((F.col("i") == F.col("j")) | (F.col("x.own") != F.col("y.own"))))
-    return met.select(F.col("x.key").alias("lo"), F.col("y.key").alias("hi"), F.col("x.centre").alias("at_lo"), F.col("y.centre").alias("at_hi"))
+    single = F.array(F.struct(F.col("x.centre").alias("at_lo"), F.col("y.centre").alias("at_hi")))
+    # a run slides along the longer one in steps of its own length, and along one of another step from place to place
+    slides = F.expr("""
+      transform(array_distinct(array_append(sequence(0, abs(x.count - y.count), if(x.step = y.step or least(x.count, y.count) = 1, least(x.count, y.count), 1)), abs(x.count - y.count))),
+        k -> struct(x.centre + if(x.count > y.count, k * x.step, 0) as at_lo, y.centre + if(x.count > y.count, 0, k * y.step) as at_hi))""")
+    unlike = F.expr("""
+      if(x.step <> y.step and x.count > 1 and y.count > 1, concat(
+        transform(sequence(0, x.count - 1), k -> struct(x.centre + k * x.step as at_lo, y.centre as at_hi)),
+        transform(sequence(0, y.count - 1), k -> struct(x.centre as at_lo, y.centre + k * y.step as at_hi)),
+        array(struct(x.centre + (x.count - 1) * x.step as at_lo, y.centre + (y.count - 1) * y.step as at_hi))), null)""")
+    both = F.when((F.col("x.count") == 1) & (F.col("y.count") == 1), single).otherwise(F.coalesce(unlike, slides))
+    return met.select(F.col("x.key").alias("lo"), F.col("y.key").alias("hi"), F.explode(both).alias("at")).select("lo", "hi", "at.at_lo", "at.at_hi")
 
 
 def extended(x: np.ndarray, y: np.ndarray, i: int, j: int) -> tuple[int, int]:
@@ -182,10 +224,10 @@ def shared_spans(texts: DataFrame, least: int = LEAST, gram: int = GRAM) -> tupl
     same = texts.mapInArrow(classes, "key long, same binary").distinct()
     roots = same.groupBy("same").agg(F.min("key").alias("root"), F.count("*").alias("n")).where("n > 1")
     membership = materialise(same.join(roots, "same").select("key", "root"))
-    found = texts.mapInArrow(_windows(least, gram), "hash long, key long, place long")
+    found = stored(texts.mapInArrow(_windows(least, gram), "hash long, key long, place long, run long"))
     copies = membership.where("key <> root").select("key")
-    anchors = materialise(_joined(found, copies, least - gram + 1).groupBy("lo", "hi").agg(F.collect_set(F.struct("at_lo", "at_hi")).alias("anchors")))
-    del found
+    anchors = materialise(_joined(found, copies, least - gram + 1, gram).groupBy("lo", "hi").agg(F.collect_set(F.struct("at_lo", "at_hi")).alias("anchors")))
+    discard(found)
     ends = anchors.select(F.col("lo").alias("key")).unionAll(anchors.select("hi")).distinct()
     wanted = texts.mapInArrow(_packed, "key long, text binary").join(ends, "key", "left_semi").dropDuplicates(["key"])
     met = anchors.join(wanted.toDF("lo", "text_lo"), "lo").join(wanted.toDF("hi", "text_hi"), "hi").select("lo", "hi", "text_lo", "text_hi", "anchors")
