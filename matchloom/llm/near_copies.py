@@ -6,7 +6,9 @@ the connected components of the links, found by alternating large-star and small
 no band with probability 0.0002.
 
 Texts with equal shingle sets form a class whose least key stands for it, so that copies never meet in a band. A bucket
-above ``BLOCK`` members is cut into blocks that meet pairwise in different tasks. Within a class, exact copies of a text
+above ``BLOCK`` members is cut into blocks that meet pairwise in different tasks; of the pairs of a block only those leave
+it whose brief signatures allow the threshold. The exact check compares sets of 32-bit shingle hashes, made once for each
+text that has a candidate; two different shingles of a pair of texts of a thousand words collide with probability 0.0002. Within a class, exact copies of a text
 form a group of copies. Pairs of different texts are written out in full, those of a class in blocks. More than
 ``SPELLED`` exact copies of one text are each linked to the least key of the copies, which carries their links to other
 texts; up to that number every copy carries them.
@@ -25,11 +27,11 @@ from pyspark.sql import functions as F
 
 from matchloom.llm.components import components
 from matchloom.llm.shingles import Words, minima, permutations, shingles
-from matchloom.session import materialise, table
+from matchloom.session import discard, materialise, table
 
 WIDTH, LEAST_WORDS, THRESHOLD = 3, 20, 0.7
 BANDS, ROWS = 32, 4
-BLOCK, SPELLED = 256, 64
+BLOCK, SPELLED = 1_024, 64
 #: Minima of the first, coarse look at a candidate's signatures; most candidates need no more.
 BRIEF = 32
 #: Standard deviations of the signature's estimate below the threshold at which a candidate is dropped.
@@ -66,24 +68,63 @@ def _signer(width: int, least_words: int):
 
 
 def signatures(texts: DataFrame, width: int = WIDTH, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``texts(key, text)`` as ``(key, same, exact, sign, bands)``; one row for each key with enough words."""
+    """``texts(key, text)`` as ``(id, key, same, exact, sign, bands)``; one row for each row with enough words."""
     signed = texts.select("key", "text").where("key is not null and text is not null").mapInArrow(_signer(width, least_words), "key string, same binary, exact binary, sign binary, bands array<long>")
-    return signed.dropDuplicates(["key"])
+    return signed.withColumn("id", F.monotonically_increasing_id())
+
+
+def _block_pairs(bar: float):
+    """Pairs of a bucket's block, or of two blocks, whose brief signatures agree in enough minima; the rows come in order of band and blocks."""
+
+    def met(rows: pa.Table) -> pa.RecordBatch:
+        same = np.ones(max(0, rows.num_rows - 1), bool)
+        for name in ("band", "i", "j"):
+            column = rows[name].to_numpy()
+            same &= column[1:] == column[:-1]
+        run = np.r_[0, np.cumsum(~same)][: rows.num_rows]
+        own, cross, ids = rows["own"].to_numpy(), rows["i"].to_numpy() != rows["j"].to_numpy(), rows["id"].to_numpy()
+        sign = np.frombuffer(b"".join(rows["sign"].to_pylist()), np.uint8).reshape(rows.num_rows, -1)
+        lo, hi = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        at = np.arange(rows.num_rows)
+        for step in range(1, rows.num_rows):
+            at = at[at + step < rows.num_rows]
+            at = at[run[at] == run[at + step]]
+            if not len(at):
+                break
+            for part in np.array_split(at, -(-len(at) // 65_536)):
+                part = part[~cross[part] | (own[part] != own[part + step])]
+                near = part[(sign[part] == sign[part + step]).sum(axis=1) >= bar]
+                lo.append(np.minimum(ids[near], ids[near + step]))
+                hi.append(np.maximum(ids[near], ids[near + step]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(lo)), pa.array(np.concatenate(hi))], ["lo", "hi"])
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if rest is None else pa.concat_tables([rest, rows]).combine_chunks()
+            # the last block may go on in the next batch; a block has a bounded size
+            last = rows.num_rows and int(np.argmax(np.logical_and.reduce([rows[x].to_numpy() == rows[x][-1].as_py() for x in ("band", "i", "j")])))
+            yield met(rows.slice(0, last))
+            rest = rows.slice(last)
+        if rest is not None:
+            yield met(rest)
+
+    return run
 
 
-def candidates(bands: DataFrame) -> DataFrame:
-    """``(lo, hi)`` of the keys that share a band of ``bands(band, key)``, each pair once."""
+def candidates(first: DataFrame, threshold: float) -> DataFrame:
+    """``(lo, hi)`` of the rows of ``first(id, sign, bands)`` that share a band and whose brief signatures may reach the threshold, each pair once."""
+    bands = first.select("id", F.explode("bands").alias("band"))
     sizes = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     members = bands.join(sizes, "band").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    members = members.withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    members = members.join(first.select("id", F.substring("sign", 1, BRIEF).alias("sign")), "id")
+    members = members.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    # by block, not only by band, so that the blocks of a hot band meet in different tasks
-    members = members.select("band", "key", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).repartition("band", "i", "j")
-    met = members.groupBy("band", "i", "j").agg(F.sort_array(F.collect_list(F.struct("key", "own"))).alias("them")).where(F.size("them") > 1)
-    across = F.when((F.col("i") == F.col("j")) | (F.col("x.own") != F.col("y.own")), F.struct(F.least("x.key", "y.key").alias("lo"), F.greatest("x.key", "y.key").alias("hi")))
-    met = met.select("i", "j", "them", F.posexplode("them").alias("at", "x"))
-    met = met.select("i", "j", "x", F.explode(F.slice("them", F.col("at") + 2, F.size("them"))).alias("y"))
-    return met.select(across.alias("p")).where("p is not null").select("p.lo", "p.hi").distinct()
+    members = members.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "sign")
+    bar = BRIEF * (1 / 256 + (1 - 1 / 256) * (threshold - SLACK * (threshold * (1 - threshold) / BRIEF) ** 0.5))
+    ordered = members.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    return ordered.mapInArrow(_block_pairs(bar), "lo long, hi long").distinct()
 
 
 def _estimate(batches):
@@ -94,12 +135,12 @@ def _estimate(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((share - 1 / 256) / (1 - 1 / 256), pa.float64())], ["lo", "hi", "estimate"])
 
 
-def estimated(pairs: DataFrame, signed: DataFrame, minima_used: int, threshold: float) -> DataFrame:
-    """The pairs that may reach the threshold by the first ``minima_used`` minima of their signatures."""
-    sign = signed.select("key", F.substring("sign", 1, minima_used).alias("sign"))
+def estimated(pairs: DataFrame, first: DataFrame, threshold: float) -> DataFrame:
+    """The pairs that may reach the threshold by their whole signatures."""
+    sign = first.select("id", "sign")
     met = pairs.join(sign.toDF("lo", "sign_lo"), "lo").join(sign.toDF("hi", "sign_hi"), "hi").select("lo", "hi", "sign_lo", "sign_hi")
-    least = threshold - SLACK * (threshold * (1 - threshold) / minima_used) ** 0.5
-    return met.mapInArrow(_estimate, "lo string, hi string, estimate double").where(F.col("estimate") >= least).select("lo", "hi")
+    least = threshold - SLACK * (threshold * (1 - threshold) / (BANDS * ROWS)) ** 0.5
+    return met.mapInArrow(_estimate, "lo long, hi long, estimate double").where(F.col("estimate") >= least).select("lo", "hi")
 
 
 def _sets(width: int, least_words: int):
@@ -107,7 +148,8 @@ def _sets(width: int, least_words: int):
         words = Words()
         for batch in batches:
             found = [shingles(x, width, least_words, words) for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([None if x is None else x.tobytes() for x in found], pa.binary())], ["lo", "hi", "values"])
+            found = [None if x is None or xxhash.xxh3_128_digest(x.tobytes()) != same else x.tobytes() for x, same in zip(found, batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["id", "values"])
 
     return run
 
@@ -126,20 +168,30 @@ def _jaccard(batches):
 def similar(texts: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, least_words: int = LEAST_WORDS) -> tuple[DataFrame, DataFrame]:
     """Links ``(lo, hi, similarity)`` between class representatives of ``texts(key, text)``, and the membership ``(key, root, copy)``; ``copy`` is the least key of the same text."""
     signed = materialise(signatures(texts, width, least_words))
-    roots = signed.groupBy("same").agg(F.min("key").alias("root"), F.count("*").alias("n"))
-    within = signed.select("key", "same", "exact").join(roots.where("n > 1"), "same")
+    # of repeated rows of a key the least counts; only narrow rows are grouped
+    names = materialise(signed.groupBy("key").agg(F.min(F.struct("same", "exact", "id")).alias("s")).select("key", "s.*"))
+    classes = names.groupBy("same").agg(F.min(F.struct("key", "id")).alias("r"), F.count("*").alias("n"))
+    classes = materialise(classes.select("same", F.col("r.key").alias("root"), F.col("r.id").alias("id"), "n"))
+    within = names.select("key", "same", "exact").join(classes.where("n > 1").select("same", "root"), "same")
     least = within.groupBy("same", "exact").agg(F.min("key").alias("copy"))
     membership = materialise(within.join(least, ["same", "exact"]).select("key", "root", "copy"))
-    copies = membership.where("key <> root").select("key")
-    first = signed.join(copies, "key", "left_anti")
-    pairs = candidates(first.select("key", F.explode("bands").alias("band")))
-    pairs = materialise(estimated(estimated(pairs, signed, BRIEF, threshold), signed, BANDS * ROWS, threshold))
-    del signed, first, copies, within, least
-    ends = pairs.select(F.col("lo").alias("key"), "lo", "hi").unionAll(pairs.select(F.col("hi").alias("key"), "lo", "hi"))
-    sides = ends.join(texts.where("text is not null").select("key", "text"), "key").select("lo", "hi", "text").mapInArrow(_sets(width, least_words), "lo string, hi string, values binary")
-    met = sides.groupBy("lo", "hi").agg(F.min("values").alias("x"), F.max("values").alias("y"))
-    links = met.mapInArrow(_jaccard, "lo string, hi string, similarity double").where(F.col("similarity") >= threshold - 1e-12)
-    return materialise(links), membership
+    first = materialise(signed.select("id", "sign", "bands").join(classes.select("id"), "id", "left_semi"))
+    discard(signed, names)
+    met = materialise(candidates(first, threshold))
+    pairs = materialise(estimated(met, first, threshold))
+    discard(first, met)
+    ends = pairs.select(F.col("lo").alias("id")).unionAll(pairs.select("hi")).distinct()
+    wanted = classes.join(ends, "id", "left_semi").select("id", "same", F.col("root").alias("key"))
+    # a key may stand in several rows; the text that counts is the one of its class
+    held = texts.where("text is not null").select("key", "text").join(wanted, "key").select("id", "same", "text").mapInArrow(_sets(width, least_words), "id long, values binary")
+    held = materialise(held.where("values is not null").dropDuplicates(["id"]))
+    both = pairs.join(held.toDF("lo", "x"), "lo").join(held.toDF("hi", "y"), "hi").select("lo", "hi", "x", "y")
+    links = both.mapInArrow(_jaccard, "lo long, hi long, similarity double").where(F.col("similarity") >= threshold - 1e-12)
+    roots = classes.select("id", "root")
+    named = links.join(roots.toDF("lo", "a"), "lo").join(roots.toDF("hi", "b"), "hi")
+    links = materialise(named.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), "similarity"))
+    discard(pairs, held, classes)
+    return links, membership
 
 
 def spelled(links: DataFrame, membership: DataFrame) -> DataFrame:

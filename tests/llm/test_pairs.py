@@ -79,9 +79,11 @@ def test_differing_texts_of_one_shingle_set_keep_every_pair(spark, monkeypatch):
 
 def test_blocks_keep_every_pair(spark, monkeypatch):
     monkeypatch.setattr(near_copies, "BLOCK", 4)
-    bands = spark.createDataFrame([(1, f"{i:02}") for i in range(30)] + [(2, "00"), (2, "01"), (3, "07")], "band long, key string")
-    got = [tuple(r) for r in near_copies.candidates(bands).collect()]
-    assert sorted(got) == list(itertools.combinations([f"{i:02}" for i in range(30)], 2))
+    sign = bytes(128)
+    rows = [(i, sign, [1, 2] if i < 2 else [1]) for i in range(30)] + [(40, sign, [3]), (41, bytes(range(1, 129)), [1])]
+    first = spark.createDataFrame(rows, "id long, sign binary, bands array<long>")
+    got = [tuple(r) for r in near_copies.candidates(first, 0.7).collect()]
+    assert sorted(got) == list(itertools.combinations(range(30), 2))
 
 
 def test_components(spark):
@@ -150,6 +152,29 @@ def test_passages_of_copies_and_nothing(spark):
     assert passages.shared_spans(rows.limit(0))[0].count() == 0
 
 
+def test_periodic_texts_have_few_windows(spark):
+    dots = passages.gram_hashes(passages.codes("." * 1_000_000), 120, passages.Powers())
+    (left, centres, right), = passages.tied(dots, 121)
+    assert (left, right, len(centres)) == (0, len(dots) - 1, len(dots)) and passages.runs(centres, 120) == [(0, len(dots), 1)]
+    assert passages.runs(np.array([1, 2, 3, 4, 10, 16, 22, 300, 900]), 120) == [(1, 4, 1), (10, 3, 6), (300, 1, 0), (900, 1, 0)]
+    assert passages.runs(np.array([1, 2, 4, 6, 8]), 120) == [(1, 2, 1), (4, 3, 2)]
+    r = random.Random(6)
+    noise = ["".join(r.choices("abcdefgh ", k=200)) for _ in range(6)]
+    texts = {1: noise[0] + "." * 300, 2: "." * 1200 + noise[1], 3: noise[2] + "ab" * 200 + noise[0][:130], 4: "ab" * 125 + noise[3], 5: "." * 200 + noise[4], 6: noise[5] + "." * 239}
+    texts |= {7: "." * 150 + noise[4], 8: "xy" * 60 + noise[3] + "." * 100_000, 9: "." * 50_000}
+    spans, membership = passages.shared_spans(spark.createDataFrame(list(texts.items()), "key long, text string"))
+    found = spans.collect()
+    assert {(s.lo, s.hi) for s in found} == brute_passages({k: t[:2_000] for k, t in texts.items()}, 240)
+    for s in found:
+        assert texts[s.lo][s.start_lo : s.start_lo + s.length] == texts[s.hi][s.start_hi : s.start_hi + s.length] and s.length >= 240
+    covered = sorted((s.start_lo, s.start_lo + s.length) for s in found if (s.lo, s.hi) == (8, 9))
+    reach = covered[0][0]
+    for a, b in covered:
+        assert a <= reach
+        reach = max(reach, b)
+    assert reach == len(texts[8])
+
+
 def test_extension():
     x, y = passages.codes("aaXhello worldY" * 3), passages.codes("bbXhello worldZ")
     assert passages.extended(x, y, 5, 5) == (3, 9) and passages.extended(x, x, 0, 0) == (0, len(x))
@@ -172,6 +197,25 @@ def test_neighbours_with_ties_and_dirt(spark):
     assert got == {tuple(sorted((f"v{a:03}", f"v{b:03}"))) for a, b in zip(*np.nonzero((sims >= 0.9) & (sims >= kth[:, None])))}
 
 
+def test_dense_leaves_send_k_rows(spark, monkeypatch):
+    """Vectors that are all near each other: at most k rows and ties leave a task for each, in every split into buckets."""
+    monkeypatch.setattr(neighbours, "BUCKET", 300)
+    random_ = np.random.default_rng(5)
+    data = (np.ones((1_000, 64)) + random_.normal(size=(1_000, 64)) * 0.05).astype(np.float32)
+    rows = spark.createDataFrame([(f"v{i:04}", v.tolist()) for i, v in enumerate(data)], "key string, vec array<float>")
+    links, _ = neighbours.neighbours(rows, 5, 0.9, 1.0)
+    unit = data.astype(float) / np.linalg.norm(data.astype(float), axis=1, keepdims=True)
+    sims = unit @ unit.T
+    np.fill_diagonal(sims, -2)
+    expected = {(f"v{a:04}", f"v{b:04}") for a in range(1_000) for b in np.argsort(-sims[a])[:5]}
+    assert {(r.lo, r.hi) for r in links.collect()} == expected
+
+
+def test_buckets_hold_neighbouring_leaves():
+    found = neighbours.Buckets.of(np.array([10, 20, 80, 5, 250, 40, 30]), 100)
+    assert found.first.tolist() == [0, 0, 1, 1, 2, 5, 5] and found.parts.tolist() == [1, 1, 1, 1, 3, 1, 1]
+
+
 def test_tree_visits_are_best_first():
     data = np.random.default_rng(4).normal(size=(900, 64)).astype(np.float32)
     data /= np.linalg.norm(data, axis=1, keepdims=True)
