@@ -1,10 +1,14 @@
 """Problem 4: repair of texts extracted from scanned pages.
 
 Method: lines at the edges of pages are removed: page numbers by their form and their sequence, running headers by their
-recurrence within the document once look-alike characters are folded together. The words of all texts are counted. A rare
-word is joined in SQL to frequent words whose anagram hash (the sum of the fifth powers of the character codes) differs
-from its own by the hash difference of one or two known confusions, whatever their place; candidates whose folded spellings
-agree are ranked by frequency, and the best is the correction. A word broken at a line's end is joined with or without its
+recurrence within the document once look-alike characters are folded together. The words of all texts are counted. The
+corpus itself tells which strings are taken for which: taking one or two characters away from a word leaves a difference of
+its anagram hash (the sum of the fifth powers of the character codes), and a rare and a frequent word that are left with the
+same difference at the same place differ in those characters alone. Every such pair is evidence that the frequent word's
+characters are read as the rare one's; confusions are ranked by the distinct frequent words that show them, and those with
+enough are kept, whatever characters they hold. A rare word is then joined in SQL to frequent words whose anagram hash
+differs from its own by the hash difference of one or two kept confusions; candidates that these confusions turn into each
+other are ranked by frequency, and the best is the correction. A word broken at a line's end is joined with or without its
 hyphen by which form the corpus holds more often.
 
 The marks of words that need a correction are held in each task as a bitmap of fixed size; the exact words are joined by
@@ -27,19 +31,20 @@ from pyspark.sql import functions as F
 
 from matchloom.session import materialise, table
 
-#: Look-alikes (as read, as printed): those that occur in this project's scans, found by aligning rare with frequent words.
-CONFUSIONS = [
-    ("@", "a"), ("0", "o"), ("1", "l"), ("1", "i"), ("!", "i"), ("5", "s"), ("6", "b"), ("(", "c"),
-    ("c", "e"), ("f", "t"), ("q", "g"), ("y", "v"), ("b", "h"),
-    ("rn", "m"), ("m", "rn"), ("cl", "d"), ("d", "cl"), ("ri", "n"), ("ii", "u"), ("vv", "w"),
-]
-#: A frequent word must be this many times as frequent as its misreading, for readings with a sign no word holds, and others.
+#: Distinct frequent words that must show a confusion, in all and as a share of the confusion that most words show.
+LEAST_SUPPORT, LEAST_SUPPORT_SHARE = 3, 0.01
+#: Lines of running text after a broken word among which the one that goes on is looked for.
 GO_ON_LINES = 3
+#: Characters without which a line is no header, and above which one (white space counted once) is no page number of any form.
+LEAST_HEADER, MOST_PAGE_NUMBER = 8, 24
+#: A frequent word must be this many times as frequent as its misreading, for readings with a sign no word holds, and others.
 ODD_RATIO, PLAIN_RATIO = 2, 15
 LEAST_FREQUENT = 3
 BITS = 1 << 22
-#: Character codes are taken modulo this, so that sums of fifth powers stay within 64 bits for words of any usual length.
-CODES = 1 << 9
+#: Character codes are taken modulo the first, sums of fifth powers modulo the second number, which keeps them within 64 bits.
+CODES, WRAP = 1 << 12, 1 << 61
+#: Signs other than letters that are found in words as misreadings.
+SIGNS = "0-9@!($|€£"
 HYPHENS = "-‐‑\xac\xad"
 
 _N = r"[0-9lio!|]{1,4}"
@@ -47,16 +52,16 @@ _PAGE = r"(?:p[a@][gq][ec]|pg|p)"
 STRONG = re.compile(rf"(?:{_PAGE}[\s.]*{_N}(?:\s*[o0][ft]\s*{_N}|\s*/\s*{_N})?|\[\s*{_N}\s*\]|[-–—~]\s*{_N}\s*[-–—~]|{_N}\s*\|\s*p\s*[a@]\s*[gq]\s*[ec])")
 WEAK = re.compile(r"[0-9]{1,4}|\([0-9]{1,4}\)|[ivxlc]{1,7}|[0-9]{1,4}\s*(?:of|/)\s*[0-9]{1,4}")
 PAGE_PART = re.compile(rf"\s+{_PAGE}\.?\s*{_N}(?:\s*[o0][ft]\s*{_N})?\s*$|^\s*{_PAGE}\.?\s*{_N}(?:\s*[o0][ft]\s*{_N})?\s+(?=\S)")
-#: Every character as the string that it shares with its look-alikes; a look-alike of two characters spells both out.
+#: For headers, which are compared before any word is counted: every character as the string that it shares with its look-alikes; a look-alike of two characters spells both out.
 _ALIKE = str.maketrans({
-    "0": "o", "1": "l", "i": "l", "!": "l", "|": "l", "5": "s", "@": "a", "(": "c", "e": "c", "6": "b", "h": "b", "f": "t", "q": "g", "y": "v",
+    "0": "o", "1": "l", "i": "l", "!": "l", "|": "l", "5": "s", "@": "a", "(": "c", "e": "c", "6": "b", "h": "b", "f": "t", "7": "t", "8": "b", "q": "g", "y": "v",
     "w": "vv", "d": "cl", "u": "ll", "n": "rl", "m": "rrl",
 })
 GO_ON = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
 REFERENCE = re.compile(r"[^\W\d_]{2,}[0-9lIO]*[-/][-/0-9lIOSo]{2,}")
 ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100}
 LEAD, TRAIL = "\"'[{<|“‘*", "\"')]}>|.,;:?!”’*"
-WORDISH = re.compile(r"(?=[0-9@!(-]*[^\W\d_])(?:[^\W\d_]|[0-9@!(-])+")
+WORDISH = re.compile(rf"(?=[{SIGNS}-]*[^\W\d_])(?:[^\W\d_]|[{SIGNS}-])+")
 
 
 def folded(text: str) -> str:
@@ -80,24 +85,27 @@ def furniture(lines: list[str]) -> dict[int, str]:
     marks = [i for i, x in enumerate(lines) if "\x0c" in x]
     for i, line in enumerate(lines):
         short = line.strip()
-        if 0 < len(short) <= 24:
+        if len(short) > MOST_PAGE_NUMBER and "  " in short:
+            short = " ".join(short.split())
+        if 0 < len(short) <= MOST_PAGE_NUMBER:
             low = short.lower()
             if STRONG.fullmatch(low):
                 found[i] = "page_no"
             elif WEAK.fullmatch(low):
                 weak.append((i, number(low), low[0].isdigit() or low[0] == "("))
-    for k, (i, value, arabic) in enumerate(weak):
-        near = [w for w in weak if w[2] == arabic and w[0] != i]
-        if any(v == value + 1 and j > i + 2 or v == value - 1 and j < i - 2 for j, v, _ in near):
+    first = {(value, arabic): i for i, value, arabic in reversed(weak)}
+    last = {(value, arabic): i for i, value, arabic in weak}
+    for i, value, arabic in weak:
+        if last.get((value + 1, arabic), i) > i + 2 or first.get((value - 1, arabic), i) < i - 2:
             found[i] = "page_no"
     seen: dict[str, list[int]] = defaultdict(list)
     part: set[int] = set()
     plain = Counter(x.strip() for x in lines if len(x) > 9)
-    if not found and not marks and not any(n > 1 for n in plain.values()) and not any(PAGE_PART.search(x.lower()) for x in lines if 12 < len(x) < 200):
+    if not found and not marks and not any(n > 1 for n in plain.values()) and not any(PAGE_PART.search(x.lower()) for x in lines if len(x) > 12 and ("p" in x or "P" in x)):
         return found
     for i, line in enumerate(lines):
         short = " ".join(line.split()).lower()
-        if i in found or len(short) < 8 or len(line) > 200:
+        if i in found or len(short) < LEAST_HEADER:
             continue
         bare = PAGE_PART.sub("", line.lower()) if "p" in short else line.lower()
         if len(bare) != len(line):
@@ -114,7 +122,7 @@ def furniture(lines: list[str]) -> dict[int, str]:
     beside |= set(marks)
     opening = {folded(w) for line in [x for x in lines if x.strip()][:6] for w in GO_ON.findall(line)}
     for key, places in seen.items():
-        if len(places) < 2 or sum(c.isalnum() for c in key) < 8:
+        if len(places) < 2 or sum(c.isalnum() for c in key) < LEAST_HEADER:
             continue
         line = " ".join(lines[places[0]].split())
         at_edge = sum(i in beside or i in part for i in places)
@@ -150,20 +158,13 @@ def broken_end(line: str) -> tuple[int, str] | None:
 def breaks(lines: list[str], gone: dict[int, str]) -> list[tuple[int, str, str, int, int]]:
     """(line index, left part, right part, index of the line that may go on, its rank) of words broken at a line's end, in lower case."""
     found = []
-    for i, line in enumerate(lines):
-        left = None if i in gone else broken_end(line)
-        if not left:
-            continue
-        rank = 0
-        for j in range(i + 1, min(i + 9, len(lines))):
-            if j in gone or not lines[j].strip():
-                continue
+    running = [i for i, line in enumerate(lines) if i not in gone and line.strip()]
+    for k, i in enumerate(running):
+        left = broken_end(lines[i])
+        for rank, j in enumerate(running[k + 1 : k + 1 + GO_ON_LINES] if left else ()):
             right = GO_ON.match(lines[j].lstrip())
             if right:
                 found.append((i, left[1].lower(), right[0].lower(), j, rank))
-            rank += 1
-            if rank == GO_ON_LINES:
-                break
     return found
 
 
@@ -271,7 +272,7 @@ def _located(bits: np.ndarray):
 
 def anagram(word: Column) -> Column:
     """Sum of the fifth powers of the character codes: equal for anagrams."""
-    return F.aggregate(F.split(word, ""), F.lit(0).cast("long"), lambda a, x: a + _fifth(F.ascii(x).cast("long") % CODES))
+    return F.aggregate(F.split(word, ""), F.lit(0).cast("long"), lambda a, x: (a + _fifth(F.ascii(x).cast("long") % CODES)) % WRAP)
 
 
 def _fifth(c: Column) -> Column:
@@ -279,28 +280,87 @@ def _fifth(c: Column) -> Column:
 
 
 def _value(text: str) -> int:
-    return sum((ord(c) % CODES) ** 5 for c in text)
+    return sum((ord(c) % CODES) ** 5 for c in text) % WRAP
+
+
+def _differences(words: DataFrame) -> DataFrame:
+    """``words`` with a row for each one or two neighbouring characters ``taken`` away at ``at``: the hash that is left."""
+    places = lambda n: F.transform(F.when(F.length("word") >= n, F.sequence(F.lit(1), F.length("word") - (n - 1))).otherwise(F.array().cast("array<int>")), lambda i: F.struct(i.alias("at"), F.substring(F.col("word"), i, F.lit(n)).alias("taken")))
+    taken = words.withColumn("x", F.explode(F.concat(places(1), places(2)))).select(*words.columns, "x.at", "x.taken")
+    return taken.withColumn("left", F.pmod(F.col("hash") - anagram(F.col("taken")), F.lit(WRAP)))
+
+
+def _ratio() -> Column:
+    """How many times as frequent as its misreading a word must be."""
+    return F.when(F.col("odd"), ODD_RATIO).otherwise(PLAIN_RATIO)
+
+
+def vocabulary(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The words of ``counts(word, n)`` that may be misread, and those that are frequent enough to be what was printed."""
+    frequent = counts.where((F.col("n") >= LEAST_FREQUENT) & F.col("word").rlike(r"^\p{L}[\p{L}-]*\p{L}$")).select("word", F.col("n").alias("n_printed"))
+    rare = counts.withColumn("odd", F.col("word").rlike(f"[{SIGNS}]")).where(F.col("odd") | (F.length("word") >= 3))
+    return rare.withColumn("hash", anagram(F.col("word"))), frequent.withColumn("hash", anagram(F.col("word")))
+
+
+def confusions(rare: DataFrame, frequent: DataFrame) -> list[tuple[str, str]]:
+    """The confusions (as read, as printed) that enough of the corpus' words show."""
+    read = _differences(rare).select("left", "at", "word", "n", "odd", F.col("taken").alias("read"))
+    right = _differences(frequent).select("left", "at", F.col("word").alias("printed"), "n_printed", F.col("taken").alias("print"))
+    tail = lambda word, taken: F.substring(F.col(word), F.col("at") + F.length(taken), F.length(word))
+    met = read.join(right, ["left", "at"]).where((F.col("word") != F.col("printed")) & (F.col("n_printed") >= F.col("n") * _ratio()))
+    met = met.where((F.substring(F.col("word"), F.lit(1), F.col("at") - 1) == F.substring(F.col("printed"), F.lit(1), F.col("at") - 1)) & (tail("word", "read") == tail("printed", "print")))
+    # one of the two is a single character that the other does not hold, else less would do
+    met = met.where((F.least(F.length("read"), F.length("print")) == 1) & ~F.contains("read", "print") & ~F.contains("print", "read"))
+    best = met.groupBy("word").agg(F.max(F.struct("n_printed", "printed", "read", "print")).alias("b")).select("word", "b.printed", "b.read", "b.print")
+    best = materialise(best)
+    sound = best.join(best.select(F.col("word").alias("printed")), "printed", "left_anti")
+    support = sound.groupBy("read", "print").agg(F.countDistinct("printed").alias("words")).where(F.col("words") >= LEAST_SUPPORT)
+    shown = {(r["read"], r["print"]): r["words"] for r in support.collect()}  # pairs of one and one or two characters
+    return sorted(pair for pair, words in shown.items() if words >= LEAST_SUPPORT_SHARE * max(shown.values()))
+
+
+def explained(word: str, printed: str, known: dict[str, list[tuple[str, str]]], most: int = 2) -> bool:
+    """True if ``word`` is ``printed`` with at most ``most`` of the confusions ``known`` (by the first character read)."""
+    open_ = [(0, 0, most)]
+    while open_:
+        i, j, left = open_.pop()
+        while True:
+            if left:
+                open_ += [(i + len(a), j + len(b), left - 1) for a, b in known.get(word[i : i + 1], ()) if word.startswith(a, i) and printed.startswith(b, j)]
+            if i < len(word) and j < len(printed) and word[i] == printed[j]:
+                i, j = i + 1, j + 1
+                continue
+            break
+        if i == len(word) and j == len(printed):
+            return True
+    return False
 
 
-def _agree(batches):
-    for batch in batches:
-        same = [folded(a) == folded(b) for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-        yield batch.filter(pa.array(same))
+def _agree(pairs: list[tuple[str, str]]):
+    def run(batches):
+        known = defaultdict(list)
+        for a, b in pairs:
+            known[a[0]].append((a, b))
+        for batch in batches:
+            yield batch.filter(pa.array([explained(a, b, known) for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())], pa.bool_()))
+
+    return run
 
 
 def corrections(counts: DataFrame, joined: DataFrame) -> DataFrame:
     """``(word, printed)``: the correction of each misread word of ``counts(word, n)`` and of the joined words ``joined(word)``."""
-    pairs = [(b, "", False, _value(a) - _value(b)) for a, b in CONFUSIONS]
-    pairs += [(b, d, True, _value(a) - _value(b) + _value(c) - _value(d)) for k, (a, b) in enumerate(CONFUSIONS) for c, d in CONFUSIONS[k:] if (a, b) != (d, c)]
-    fixed = F.array(*[F.struct(F.lit(a).alias("one"), F.lit(b).alias("two"), F.lit(twice).alias("twice"), F.lit(d).cast("long").alias("difference")) for a, b, twice, d in pairs])
-    frequent = counts.where((F.col("n") >= LEAST_FREQUENT) & F.col("word").rlike(r"^\p{L}[\p{L}-]*\p{L}$") & (F.length("word") <= 64)).select(F.col("word").alias("printed"), F.col("n").alias("n_printed"))
-    frequent = frequent.withColumn("hash", anagram(F.col("printed")))
-    likely = frequent.select("*", F.explode(F.filter(fixed, lambda x: F.contains("printed", x["one"]) & F.contains("printed", x["two"]))).alias("x"))
-    likely = likely.select("printed", "n_printed", (F.col("hash") + F.col("x.difference")).alias("hash"), F.col("x.twice").alias("twice"))
-    rare = counts.select("word", "n").unionAll(joined.select("word", F.lit(1).cast("long"))).groupBy("word").agg(F.max("n").alias("n"))
-    rare = rare.where(F.length("word") <= 64).withColumn("odd", F.col("word").rlike(r"[0-9@!(]")).where(F.col("odd") | (F.length("word") >= 3)).withColumn("hash", anagram(F.col("word")))
-    met = rare.join(likely, "hash").where((F.col("word") != F.col("printed")) & (F.col("n_printed") >= F.col("n") * F.when(F.col("odd"), ODD_RATIO).otherwise(PLAIN_RATIO)))
-    met = met.select("word", "printed", "n_printed", "twice", "n").mapInArrow(_agree, "word string, printed string, n_printed long, twice boolean, n long")
+    every = counts.select("word", "n").unionAll(joined.select("word", F.lit(1).cast("long"))).groupBy("word").agg(F.max("n").alias("n"))
+    rare, frequent = (materialise(x) for x in vocabulary(counts))
+    held = confusions(rare, frequent)
+    rare = vocabulary(every)[0]
+    pairs = [(b, "", False, _value(a) - _value(b)) for a, b in held]
+    pairs += [(b, d, True, _value(a) - _value(b) + _value(c) - _value(d)) for k, (a, b) in enumerate(held) for c, d in held[k:] if (a, b) != (d, c)]
+    kind = "array<struct<one: string, two: string, twice: boolean, difference: bigint>>"
+    fixed = F.array(*[F.struct(F.lit(a).alias("one"), F.lit(b).alias("two"), F.lit(twice).alias("twice"), F.lit(d).cast("long").alias("difference")) for a, b, twice, d in pairs]).cast(kind)
+    likely = frequent.select(F.col("word").alias("printed"), "n_printed", "hash", F.explode(F.filter(fixed, lambda x: F.contains("word", x["one"]) & F.contains("word", x["two"]))).alias("x"))
+    likely = likely.select("printed", "n_printed", F.pmod(F.col("hash") + F.col("x.difference"), F.lit(WRAP)).alias("hash"), F.col("x.twice").alias("twice"))
+    met = rare.join(likely, "hash").where((F.col("word") != F.col("printed")) & (F.col("n_printed") >= F.col("n") * _ratio()))
+    met = met.select("word", "printed", "n_printed", "twice", "n").mapInArrow(_agree(held), "word string, printed string, n_printed long, twice boolean, n long")
     # a bracket before a frequent word is a bracket
     bare = counts.select(F.concat(F.lit("("), "word").alias("word"), F.col("n").alias("n_bare"))
     met = met.join(bare, "word", "left").where(F.coalesce("n_bare", F.lit(0)) * 5 <= F.greatest(F.col("n") * 6, F.col("n_printed") / 10))
@@ -309,11 +369,11 @@ def corrections(counts: DataFrame, joined: DataFrame) -> DataFrame:
 
 
 def defects(texts: DataFrame) -> DataFrame:
-    """``(record_key, line_no, defect, repaired)`` of ``texts(record_key, text)``."""
+    """``(record_key, line_no, defect, repaired, read)`` of ``texts(record_key, text)``; ``read`` is the word as it stands in the text, without a break."""
     texts = texts.where(F.col("record_key").isNotNull() & (F.length("text") > 0)).select("record_key", "text")
     seen = materialise(texts.mapInArrow(_examined, SHAPE))
     counts = materialise(seen.where("kind = 'w'").groupBy(F.col("a").alias("word")).agg(F.sum("n").alias("n")))
-    lines = seen.where("kind = 'f'").select("record_key", "line_no", F.col("a").alias("defect"), F.lit("").alias("repaired"))
+    lines = seen.where("kind = 'f'").select("record_key", "line_no", F.col("a").alias("defect"), F.lit("").alias("repaired"), F.lit("").alias("read"))
     broken = seen.where("kind = 'h'").select("record_key", "line_no", F.concat("a", "b").alias("joined"), F.concat_ws("-", "a", "b").alias("kept"), F.col("n").alias("rank")).distinct()
     fixes = materialise(corrections(counts, broken.select(F.col("joined").alias("word")).unionAll(broken.select("kept")).distinct()))
 
@@ -324,8 +384,8 @@ def defects(texts: DataFrame) -> DataFrame:
         tried = tried.join(counts.toDF(f"{name}_form", f"n_{name}"), f"{name}_form", "left")
     n_kept, n_joined = F.coalesce("n_kept", F.lit(0)), F.coalesce("n_joined", F.lit(0))
     tried = tried.select("joined", "kept", F.when(n_kept > n_joined, F.col("kept_form")).otherwise(F.col("joined_form")).alias("whole"), (F.greatest(n_kept, n_joined) >= 2).alias("known"))
-    words = broken.join(tried, ["joined", "kept"]).groupBy("record_key", "line_no").agg(F.max(F.struct("known", (-F.col("rank")).alias("rank"), "whole")).alias("w"))
-    words = words.select("record_key", "line_no", F.lit("hyphen").alias("defect"), F.col("w.whole").alias("repaired"))
+    words = broken.join(tried, ["joined", "kept"]).groupBy("record_key", "line_no").agg(F.max(F.struct("known", (-F.col("rank")).alias("rank"), "whole", "joined")).alias("w"))
+    words = words.select("record_key", "line_no", F.lit("hyphen").alias("defect"), F.col("w.whole").alias("repaired"), F.col("w.joined").alias("read"))
 
     # the marks of words to correct, in a bitmap of fixed size
     marks = fixes.select(F.expr(f"xxhash64(word) & {BITS - 1}").alias("place"))
@@ -334,7 +394,7 @@ def defects(texts: DataFrame) -> DataFrame:
     for row in marks.groupBy("at").agg(F.bit_or("mark").alias("mark")).toLocalIterator():  # at most BITS / 32 rows
         bits[row["at"]] = row["mark"]
     at = texts.mapInArrow(_located(bits.view(np.uint8)), SHAPE).select("record_key", "line_no", F.col("a").alias("word"))
-    misread = at.join(fixes, "word").select("record_key", "line_no", F.lit("char").alias("defect"), F.col("printed").alias("repaired"))
+    misread = at.join(fixes, "word").select("record_key", "line_no", F.lit("char").alias("defect"), F.col("printed").alias("repaired"), F.col("word").alias("read"))
     return lines.unionByName(words).unionByName(misread).distinct()
 
 
@@ -345,7 +405,7 @@ def _texts(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every defect of every text."""
-    return defects(_texts(spark, folder))
+    return defects(_texts(spark, folder)).select("record_key", "line_no", "defect", "repaired").distinct()
 
 
 def repaired(text: str, found: list) -> str:
@@ -353,13 +413,14 @@ def repaired(text: str, found: list) -> str:
     lines = text.split("\n")
     gone = {d["line_no"] - 1 for d in found if d["defect"] in ("header", "page_no")}
     whole = {d["line_no"] - 1: d["repaired"] for d in found if d["defect"] == "hyphen"}
-    right: dict[int, set[str]] = defaultdict(set)
+    joined = {d["line_no"] - 1: d["read"] for d in found if d["defect"] == "hyphen"}
+    right: dict[int, dict[str, str]] = defaultdict(dict)
     for d in found:
         if d["defect"] == "char":
-            right[d["line_no"] - 1].add(d["repaired"])
+            right[d["line_no"] - 1][d["read"]] = d["repaired"]
     skip = {}
     for i, left, part, j, _ in reversed(breaks(lines, {i: "" for i in gone})):
-        if folded(left + part).replace("-", "") == folded(whole.get(i, "")).replace("-", ""):
+        if left + part == joined.get(i):
             skip[j] = len(part)
     paragraphs, now = [], []
     for i, line in enumerate(lines):
@@ -371,11 +432,11 @@ def repaired(text: str, found: list) -> str:
         tokens = line.split()
         for k, token in enumerate(tokens):
             for word in forms(token.lower()) if right.get(i) else ():
-                for printed in right[i]:
-                    if word != printed and folded(word) == folded(printed):
-                        at = token.lower().find(word)
-                        cased = printed.upper() if token.isupper() and len(printed) > 1 else printed.capitalize() if token[at : at + 1].isupper() else printed
-                        tokens[k] = token[:at] + cased + token[at + len(word) :]
+                printed = right[i].get(word)
+                if printed:
+                    at = token.lower().find(word)
+                    cased = printed.upper() if token.isupper() and len(printed) > 1 else printed.capitalize() if token[at : at + 1].isupper() else printed
+                    tokens[k] = token[:at] + cased + token[at + len(word) :]
         line = " ".join(tokens)
         if i in whole:
             before = broken_end(line)
@@ -396,7 +457,7 @@ def repaired(text: str, found: list) -> str:
 def p4_repaired(spark: SparkSession, folder: str) -> DataFrame:
     """Every text as continuous paragraphs without the defects."""
     texts = _texts(spark, folder).where(F.col("record_key").isNotNull()).dropDuplicates(["record_key"])
-    found = defects(texts).groupBy("record_key").agg(F.sort_array(F.collect_set(F.struct("line_no", "defect", "repaired"))).alias("found"))
+    found = defects(texts).groupBy("record_key").agg(F.sort_array(F.collect_set(F.struct("line_no", "defect", "repaired", "read"))).alias("found"))
 
     def run(batches):
         for batch in batches:

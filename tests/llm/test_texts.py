@@ -1,9 +1,11 @@
 """Pieces, site lines, scans, canonical values, packing and mixing."""
 
 import random
+import time
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -95,7 +97,7 @@ def test_templates_count_documents_once(spark):
 
 
 def test_folding_is_blind_to_look_alikes():
-    for read, printed in scans.CONFUSIONS:
+    for read, printed in [("@", "a"), ("0", "o"), ("1", "l"), ("1", "i"), ("5", "s"), ("6", "b"), ("8", "b"), ("7", "t"), ("(", "c"), ("c", "e"), ("f", "t"), ("q", "g"), ("y", "v"), ("b", "h"), ("rn", "m"), ("cl", "d"), ("ri", "n"), ("ii", "u"), ("vv", "w")]:
         assert scans.folded(f"xx{read}yy") == scans.folded(f"xx{printed}yy"), (read, printed)
 
 
@@ -115,12 +117,14 @@ Page 3 of 3"""
 
 def scanned(spark, extra=()):
     common = "the paying authority shall check the insulated cables of the depot without delay and carry the heavy-duty pumps shall depot " * 30
-    rows = [("s", SCAN), ("s", SCAN), ("c1", common), ("c2", common), ("n", None), ("e", ""), (None, SCAN), *extra]
+    # the evidence: three words and more in which the corpus shows each of two confusions
+    shown = "authorify becomes autho1rity in no text but insu1ated cab1es de1ay sha1l and cabIes do not; chcck dclay hcavy thc"
+    rows = [("s", SCAN), ("s", SCAN), ("c1", common), ("c2", common), ("v", shown), ("n", None), ("e", ""), (None, SCAN), *extra]
     return spark.createDataFrame([(k, t, "x") for k, t in rows], "record_key string, text string, word string")
 
 
 def test_scan_defects(spark):
-    found = {tuple(r)[1:] for r in scans.defects(scanned(spark)).where("record_key = 's'").collect()}
+    found = {tuple(r)[1:4] for r in scans.defects(scanned(spark)).where("record_key = 's'").collect()}
     assert found == {
         (2, "hyphen", "insulated"), (3, "hyphen", "without"), (6, "hyphen", "heavy-duty"), (4, "page_no", ""), (9, "page_no", ""), (12, "page_no", ""),
         (5, "header", ""), (10, "header", ""), (11, "char", "shall"), (11, "char", "depot"),
@@ -128,8 +132,32 @@ def test_scan_defects(spark):
     assert scans.defects(scanned(spark).limit(0)).count() == 0
 
 
+PRINTED = "engine bridge drainage garden gravel bargain harbour market timber number member summer camp hammer helmet channel chapter hospital anchor".split()
+
+
+def test_confusions_come_from_the_corpus(spark):
+    rows = [(f"c{k}", " ".join(PRINTED)) for k in range(40)]
+    wrong = {(f"w{k}-{a}{b}", w.replace(a, b, 1), w) for k, w in enumerate(PRINTED) for a, b in (("g", "9"), ("m", "nn"), ("h", "li"), ("e", "€")) if a in w}
+    rows += [(key, read) for key, read, _ in wrong] + [("odd", "gardon anehor"), ("two", "bar9€in 9ard€n")]
+    found = {tuple(r) for r in scans.defects(spark.createDataFrame(rows, "record_key string, text string")).select("record_key", "repaired").collect()}
+    # two confusions in one word are repaired too; a letter that only one word shows is no confusion
+    assert found == {(key, w) for key, _, w in wrong} | {("two", "garden")}
+
+
+def test_breaks_go_on_behind_any_number_of_empty_lines():
+    lines = ["the insu-", *[""] * 40, "lated cables", "and a depot with-", "out delay"]
+    assert [x[:4] for x in scans.breaks(lines, {})] == [(0, "insu", "lated", 41), (0, "insu", "and", 42), (0, "insu", "out", 43), (42, "with", "out", 43)]
+
+
+def test_long_tables_of_numbers_take_linear_time():
+    lines = [str(k % 900) for k in range(60_000)]
+    began = time.time()
+    scans.furniture(lines)
+    assert time.time() - began < 10
+
+
 def test_scan_repair():
-    found = [dict(line_no=a, defect=b, repaired=c) for a, b, c in ((2, "hyphen", "insulated"), (3, "hyphen", "without"), (4, "page_no", ""), (5, "header", ""), (11, "char", "shall"), (6, "hyphen", "heavy-duty"), (9, "page_no", ""), (10, "header", ""), (12, "page_no", ""), (11, "char", "depot"))]
+    found = [dict(line_no=a, defect=b, repaired=c, read=d) for a, b, c, d in ((2, "hyphen", "insulated", "insulated"), (3, "hyphen", "without", "without"), (4, "page_no", "", ""), (5, "header", "", ""), (11, "char", "shall", "sha1l"), (6, "hyphen", "heavy-duty", "heavyduty"), (9, "page_no", "", ""), (10, "header", "", ""), (12, "page_no", "", ""), (11, "char", "depot", "dcpot"))]
     text = scans.repaired(SCAN, found)
     assert text == "Repair of cables at Northport The paying authority shall check the insulated cables of the depot without delay and carry the heavy-duty pumps. 2020. The wo1kers shall carry the pumps to the depot."
 
@@ -140,9 +168,37 @@ def test_page_numbers_need_a_form_or_a_sequence():
     assert set(scans.furniture(["text", "- 4 -", "text", "[5]", "p. 6", "Pagc l of 9", "7 | P a g e"])) == {1, 3, 4, 5, 6}
 
 
-@pytest.mark.parametrize(("a", "b", "edits"), [("large", "lagre", 1), ("small", "smaall", 1), ("abc", "abc", 0), ("scada", "sacda", 1), ("scada", "sda", 2), ("abc", "xyz", 3), ("a", "abcdefgh", 4)])
-def test_edits(a, b, edits):
-    assert canonical.osa(a, b, 3) == edits
+def osa(a: str, b: str) -> int:
+    """Edits with swaps of neighbours, by the textbook's table."""
+    d = {(i, 0): i for i in range(len(a) + 1)} | {(0, j): j for j in range(len(b) + 1)}
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a), len(b)]
+
+
+def test_edits_and_deletion_neighbourhoods(spark):
+    r = random.Random(8)
+    pairs = [("large", "lagre"), ("small", "smaall"), ("abc", "abc"), ("scada", "sacda"), ("scada", "sda"), ("abc", "xyz"), ("a", "abcdefgh"), ("", "ab"), ("x", "")]
+    for _ in range(400):
+        a = "".join(r.choices("abcd", k=r.randrange(1, 14)))
+        b = list(a)
+        for _ in range(r.randrange(4)):
+            k, what = r.randrange(len(b) + 1), r.randrange(4)
+            b[k:k] = r.choice("abcd") if what == 0 else ""
+            b[k : k + 1] = [r.choice("abcd")] if what == 1 else b[k : k + 1] if what else []
+            b[k : k + 2] = b[k : k + 2][::-1] if what == 3 else b[k : k + 2]
+        pairs.append((a, "".join(b)))
+    table = spark.createDataFrame(pairs, "a string, b string")
+    found = table.select("a", "b", canonical.edits(F.col("a"), F.col("b")).alias("n"), F.arrays_overlap(canonical.deletions(F.col("a")), canonical.deletions(F.col("b"))).alias("meet")).collect()
+    for x in found:
+        true = osa(x.a, x.b)
+        # in sequences that need three swaps or edit a swapped letter again the two may differ by one
+        assert x.n == true or abs(x.n - true) <= 1 and true >= 2, x
+        assert x.meet or true > 3, x
+    assert sum(x.n == osa(x.a, x.b) for x in found) >= 0.97 * len(found)
 
 
 CASES = [
