@@ -1,10 +1,12 @@
 """Problem 2: freely typed values mapped to the entries of a reference list.
 
 Method: the distinct tokens of the values are joined to the tokens of the reference forms of their kind (canonical names and
-short forms) by edit distance, insertions, deletions, replacements and swaps of neighbours counting one each. Each repaired
-token then contributes to the soft TF-IDF similarity of its value to every form that holds it. The best form wins if all of
-its tokens are met, its numbers exactly, within a budget of edits that grows with its length. A value and a form without
-white space count as one token more, which finds values run together or spelled letter by letter.
+short forms) by edit distance, insertions, deletions, replacements and swaps of neighbours counting one each (two swaps in a
+word at most). The join goes by deletion neighbourhoods: two tokens within ``EDITS`` edits agree in a string that is left when
+so many letters at most are deleted from the first ``PREFIX`` of each. Entries all of whose tokens are met, numbers exactly,
+within a budget of edits that grows with their length, are ranked by soft TF-IDF: the sum over the corrected tokens of their
+weight in the value, their weight in the form and their likeness, with both weights of unit length. A value and a form
+without white space count as one token more, which finds values run together or spelled letter by letter.
 
 Defined cases: null and blank values are not listed; a value without letters or digits, or with no form near enough, gets
 -1; equal scores go to the fewer edits and then to the lower id; repeated rows count once; a list with no entry of a kind
@@ -13,7 +15,6 @@ leaves its values unmatched.
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +34,7 @@ EMPTY_WORDS = ["a", "an", "the", "of", "and", "in", "on", "at", "near", "for", "
 LEAST_SCORE = 0.35
 PREFIX_SIMILARITY, BARE_SIMILARITY = 0.85, 0.8
 LEAST_PREFIX = 3
+EDITS, PREFIX = 3, 7
 
 
 def words(value: Column) -> Column:
@@ -53,52 +55,53 @@ def whole(value: Column) -> Column:
     return F.concat(F.lit("="), F.array_join(words(value), ""))
 
 
-def osa(a: str, b: str, most: int) -> int:
-    """Edits between two tokens, a swap of neighbours counting one; ``most + 1`` if there are more."""
-    if a == b:
-        return 0
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    before, last = [], list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        now = [i]
-        for j, y in enumerate(b, 1):
-            d = min(last[j] + 1, now[j - 1] + 1, last[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                d = min(d, before[j - 2] + 1)
-            now.append(d)
-        if min(now) > most:
-            return most + 1
-        before, last = last, now
-    return min(last[-1], most + 1)
-
-
-def _edits(batches):
-    for batch in batches:
-        found = [osa(a, b, 3) for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int32())], ["kind", "token", "form_token", "edits"])
+def deletions(token: Column, most: int = EDITS, prefix: int = PREFIX) -> Column:
+    """The strings left when up to ``most`` letters are deleted from the first ``prefix`` of a token."""
+    whole = last = F.array(F.substring(token, 1, prefix))
+    for _ in range(most):
+        shorter = F.transform(last, lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1))), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.lit(prefix)))))
+        last = F.array_distinct(F.flatten(shorter))
+        whole = F.array_union(whole, last)
+    return whole
+
+
+def edits(token: Column, other: Column) -> Column:
+    """Edits between two tokens, a swap of neighbours counting one; at most two swaps are looked for."""
+
+    def swapped(x: Column, i: Column) -> Column:
+        return F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.lit(1)), F.substring(x, i, F.lit(1)), F.substring(x, i + 2, F.length(x)))
+
+    last = F.length(token) - 1
+    places = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+    one = F.transform(places, lambda i: F.levenshtein(swapped(token, i), other) + 1)
+    later = lambda i: F.when(i + 2 <= last, F.sequence(i + 2, last)).otherwise(F.array().cast("array<int>"))
+    two = F.flatten(F.transform(places, lambda i: F.transform(later(i), lambda j: F.levenshtein(swapped(swapped(token, i), j), other) + 2)))
+    plain = F.levenshtein(token, other)
+    # a swap can pay only where plain edits count at least two
+    return F.when(plain <= 1, plain).otherwise(F.least(plain, F.array_min(one), F.array_min(two)))
 
 
 def token_matches(typed: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """``(kind, token, form_token, edits, alike)``: the form tokens that each typed token may stand for."""
-    near = vocabulary.select("kind", "form_token", F.explode(F.sequence(F.greatest(F.lit(1), F.length("form_token") - 3), F.length("form_token") + 3)).alias("n"))
-    met = typed.select("kind", "token", F.length("token").alias("n")).join(near, ["kind", "n"])
+    near = vocabulary.select("kind", "form_token", F.explode(deletions(F.col("form_token"))).alias("left"))
+    met = typed.select("kind", "token", F.explode(deletions(F.col("token"))).alias("left")).join(near, ["kind", "left"]).select("kind", "token", "form_token").distinct()
     numeric = F.regexp_replace("token", r"[^\p{N}]", "") == F.regexp_replace("form_token", r"[^\p{N}]", "")
     plain = F.col("token").startswith("=") == F.col("form_token").startswith("=")
-    room = F.least(F.lit(6), F.greatest(F.lit(2), F.length("form_token") - 2))
-    met = met.where(numeric & plain & (F.levenshtein("token", "form_token", 6) >= 0) & (F.levenshtein("token", "form_token", 6) <= room)).select("kind", "token", "form_token")
+    met = met.where(numeric & plain & (F.abs(F.length("token") - F.length("form_token")) <= EDITS))
     size = F.greatest(F.length("token"), F.length("form_token"))
-    edited = met.mapInArrow(_edits, "kind string, token string, form_token string, edits int").where((F.col("edits") == 0) | ((F.col("edits") <= 3) & (F.col("edits") < F.length("form_token")) & ~F.col("form_token").rlike(r"^\p{N}+$") & (F.length("form_token") >= 3)))
+    edited = met.withColumn("edits", edits(F.col("token"), F.col("form_token"))).where((F.col("edits") == 0) | ((F.col("edits") <= EDITS) & (F.col("edits") < F.length("form_token")) & ~F.col("form_token").rlike(r"^\p{N}+$") & (F.length("form_token") >= 3)))
     edited = edited.withColumn("alike", 1 - F.col("edits") / size)
-    prefix = typed.where((F.length("token") >= LEAST_PREFIX) & ~F.col("token").startswith("=")).withColumn("head", F.substring("token", 1, LEAST_PREFIX))
-    heads = vocabulary.where(~F.col("form_token").startswith("=")).withColumn("head", F.substring("form_token", 1, LEAST_PREFIX))
-    prefixed = prefix.join(heads, ["kind", "head"]).where(F.col("form_token").startswith(F.col("token")) & (F.length("token") < F.length("form_token")) & ~F.col("token").rlike(r"\p{N}"))
+    # a shortened word: the beginnings of the form's tokens are the keys
+    begun = vocabulary.where(~F.col("form_token").startswith("=") & (F.length("form_token") > LEAST_PREFIX))
+    begun = begun.select("kind", "form_token", F.explode(F.transform(F.sequence(F.lit(LEAST_PREFIX), F.length("form_token") - 1), lambda n: F.substring(F.col("form_token"), F.lit(1), n))).alias("token"))
+    prefixed = typed.where(~F.col("token").startswith("=") & ~F.col("token").rlike(r"\p{N}")).join(begun, ["kind", "token"])
     prefixed = prefixed.select("kind", "token", "form_token", F.lit(0).alias("edits"), F.lit(PREFIX_SIMILARITY).alias("alike"))
     # a token without vowels stands for a word that holds its letters in order, from the first to the last
-    bare = typed.where((F.length("token") >= LEAST_PREFIX) & F.col("token").rlike(r"^[^aeiou\W\d_]+$")).withColumn("head", F.substring("token", 1, 1))
-    firsts = vocabulary.where(~F.col("form_token").startswith("=")).withColumn("head", F.substring("form_token", 1, 1))
+    ends = lambda x: F.concat(F.substring(x, 1, 1), F.substring(x, -1, 1)).alias("ends")
+    bare = typed.where((F.length("token") >= LEAST_PREFIX) & F.col("token").rlike(r"^[^aeiou\W\d_]+$")).select("kind", "token", ends("token"))
+    firsts = vocabulary.where(~F.col("form_token").startswith("=")).select("kind", "form_token", ends("form_token"))
     inside = F.expr("form_token rlike concat('^', array_join(filter(split(token, ''), x -> x <> ''), '.*'), '$')")
-    bared = bare.join(firsts, ["kind", "head"]).where(inside & (F.length("token") < F.length("form_token")))
+    bared = bare.join(firsts, ["kind", "ends"]).where(inside & (F.length("token") < F.length("form_token")))
     prefixed = prefixed.unionByName(bared.select("kind", "token", "form_token", F.lit(0).alias("edits"), F.lit(BARE_SIMILARITY).alias("alike")))
     return edited.unionByName(prefixed).groupBy("kind", "token", "form_token").agg(F.max(F.struct("alike", -F.col("edits"))).alias("best")).select("kind", "token", "form_token", (-F.col("best.col2")).alias("edits"), F.col("best.alike").alias("alike"))
 
@@ -130,12 +133,12 @@ def mapped(values: DataFrame, entries: DataFrame) -> DataFrame:
     met = weighed.join(matches, ["kind", "token"]).join(held, ["kind", "form_token"])
     met = met.groupBy("kind", "raw_value", "canonical_id", "form", "letters", "n", one.alias("one"), "form_token").agg(F.max(F.struct("alike", (-F.col("edits")).alias("kept"), "weight", "form_weight")).alias("m"))
     scored = met.groupBy("kind", "raw_value", "canonical_id", "form", "letters", "n", "one").agg(
-        F.count("*").alias("found"), F.sum(-F.col("m.kept")).alias("edits"), F.sum(F.col("m.alike") * F.col("m.form_weight") * F.col("m.form_weight")).alias("dot"),
-        F.max((F.col("m.alike") == 1).cast("int")).alias("exact"), F.min("m.alike").alias("least"),
+        F.count("*").alias("found"), F.sum(-F.col("m.kept")).alias("edits"), F.sum(F.col("m.alike") * F.col("m.weight") * F.col("m.form_weight")).alias("dot"),
+        F.min("m.alike").alias("least"),
     )
     scored = scored.join(norms, ["kind", "raw_value"], "left").join(form_norms, ["kind", "form", "canonical_id", "one"])
     budget = F.when(F.col("letters") <= 3, 0).when(F.col("letters") <= 5, 1).when(F.col("letters") <= 7, 2).otherwise(3)
-    cosine = F.col("dot") / (F.col("form_norm") * F.greatest("form_norm", F.coalesce("norm", "form_norm")))
+    cosine = F.col("dot") / (F.col("form_norm") * F.coalesce("norm", "form_norm"))
     score = F.when(F.col("one"), F.col("least")).otherwise(cosine)
     scored = scored.where((F.col("found") == F.col("n")) & (F.col("edits") <= budget)).withColumn("score", score).where(F.col("score") >= LEAST_SCORE)
     best = scored.groupBy("kind", "raw_value").agg(F.max(F.struct(F.round("score", 9).alias("score"), (-F.col("edits")).alias("kept"), (-F.col("canonical_id")).alias("id"))).alias("b"))
