@@ -228,12 +228,34 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
-    """One row for each document in a group of near copies: its group's least key, and its number of links to other texts and copies."""
+    """One row for each document in a group of near copies: its group's least key, and the number of documents it is similar to.
+
+    The number is counted over classes, whose members are not paired: those of the own class and of each linked one.
+    """
     links, membership = similar(_texts(spark, folder))
+    sizes = membership.groupBy("root").agg(F.count("*").alias("n"))
+    arcs = links.select("lo", "hi").unionAll(links.select("hi", "lo")).toDF("root", "other")
+    linked = arcs.join(sizes.toDF("other", "n"), "other", "left").groupBy("root").agg(F.sum(F.coalesce("n", F.lit(1))).alias("linked"))
     stars = membership.where("key <> root").select(F.col("root").alias("lo"), F.col("key").alias("hi"))
-    every = links.select("lo", "hi").unionAll(stars)
-    ends = every.select(F.col("lo").alias("node")).unionAll(every.select("hi")).groupBy("node").agg(F.count("*").alias("n_links"))
-    return components(every).join(ends, "node").select(F.col("node").alias("document_id"), F.col("root").alias("group_id"), "n_links")
+    groups = components(links.select("lo", "hi").unionAll(stars)).toDF("document_id", "group_id")
+    own = groups.join(membership.select(F.col("key").alias("document_id"), F.col("root").alias("class")), "document_id", "left").withColumn("root", F.coalesce("class", "document_id"))
+    counted = own.join(sizes, "root", "left").join(linked, "root", "left")
+    return counted.select("document_id", "group_id", (F.coalesce("n", F.lit(1)) - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
 
 
 QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups}
+#: Pairs by the prefix filter: of two sets that similar, the rarest shingles must meet.
+_PAIRS = f"""docs AS (SELECT DISTINCT document_id, text FROM docling_outputs WHERE document_id IS NOT NULL AND text IS NOT NULL),
+words AS (SELECT document_id, regexp_extract_all(lower(text), '[\\pL\\pN]+') AS w FROM docs),
+sets AS (SELECT document_id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: hash(w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS s FROM words WHERE len(w) >= {LEAST_WORDS}),
+flat AS (SELECT document_id, unnest(s) AS h, len(s) AS n FROM sets),
+often AS (SELECT h, count(*) AS f FROM flat GROUP BY h),
+ranked AS (SELECT document_id, h, n, row_number() OVER (PARTITION BY document_id ORDER BY f, h) AS k FROM flat JOIN often USING (h)),
+rare AS (SELECT * FROM ranked WHERE k <= n - ceil({THRESHOLD} * n) + 1),
+met AS (SELECT DISTINCT a.document_id AS x, b.document_id AS y FROM rare a JOIN rare b USING (h) WHERE a.document_id < b.document_id AND least(a.n, b.n) >= {THRESHOLD} * greatest(a.n, b.n) - 1e-9),
+both_ AS (SELECT x, y, len(a.s) + len(b.s) AS total, len(list_intersect(a.s, b.s)) AS common FROM met JOIN sets a ON a.document_id = x JOIN sets b ON b.document_id = y),
+pairs AS (SELECT x, y FROM both_ WHERE common / (total - common) >= {THRESHOLD} - 1e-12)"""
+ORACLE = {
+    "p1_found": f"WITH {_PAIRS} SELECT x AS doc_lo, y AS doc_hi FROM pairs",
+    "p1_groups": f"WITH RECURSIVE {_PAIRS}, arcs AS (SELECT x, y FROM pairs UNION SELECT y, x FROM pairs), reached(id, other) AS (SELECT DISTINCT x, x FROM arcs UNION SELECT r.id, a.y FROM reached r JOIN arcs a ON a.x = r.other) SELECT id AS document_id, min(other) AS group_id, any_value(n) AS n_links FROM reached JOIN (SELECT x AS id, count(*) AS n FROM arcs GROUP BY 1) USING (id) GROUP BY id",
+}
