@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.session import materialise, table
+from matchloom.session import materialise, stored, table
 
 #: Path of each field and the kind of its entries.
 FIELDS = {
@@ -78,18 +78,27 @@ def edits(token: Column, other: Column) -> Column:
     two = F.flatten(F.transform(places, lambda i: F.transform(later(i), lambda j: F.levenshtein(swapped(swapped(token, i), j), other) + 2)))
     plain = F.levenshtein(token, other)
     # a swap can pay only where plain edits count at least two
-    return F.when(plain <= 1, plain).otherwise(F.least(plain, F.array_min(one), F.array_min(two)))
+    return F.when(plain <= 1, plain).when(plain == 2, F.least(plain, F.array_min(one))).otherwise(F.least(plain, F.array_min(one), F.array_min(two)))
+
+
+def room(form_token: Column) -> Column:
+    """Edits that a form's token allows: none below three letters, then one for every two letters, ``EDITS`` at most."""
+    n = F.length(form_token)
+    return F.when(n < 3, 0).otherwise(F.least(F.lit(EDITS), F.floor((n - 1) / 2).cast("int")))
 
 
 def token_matches(typed: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """``(kind, token, form_token, edits, alike)``: the form tokens that each typed token may stand for."""
+    # a form's token gives only the strings left after as many deletions as it may have edits, so that no short string gathers all
     near = vocabulary.select("kind", "form_token", F.explode(deletions(F.col("form_token"))).alias("left"))
+    near = near.where(F.length("left") >= F.least(F.length("form_token"), F.lit(PREFIX)) - room(F.col("form_token")))
     met = typed.select("kind", "token", F.explode(deletions(F.col("token"))).alias("left")).join(near, ["kind", "left"]).select("kind", "token", "form_token").distinct()
     numeric = F.regexp_replace("token", r"[^\p{N}]", "") == F.regexp_replace("form_token", r"[^\p{N}]", "")
     plain = F.col("token").startswith("=") == F.col("form_token").startswith("=")
-    met = met.where(numeric & plain & (F.abs(F.length("token") - F.length("form_token")) <= EDITS))
+    met = met.where(numeric & plain & (F.abs(F.length("token") - F.length("form_token")) <= room(F.col("form_token"))) & (F.levenshtein("token", "form_token") <= room(F.col("form_token")) + 2))
     size = F.greatest(F.length("token"), F.length("form_token"))
-    edited = met.withColumn("edits", edits(F.col("token"), F.col("form_token"))).where((F.col("edits") == 0) | ((F.col("edits") <= EDITS) & (F.col("edits") < F.length("form_token")) & ~F.col("form_token").rlike(r"^\p{N}+$") & (F.length("form_token") >= 3)))
+    # written, so that no later filter computes the edits again
+    edited = stored(met.withColumn("edits", edits(F.col("token"), F.col("form_token")))).where((F.col("edits") == 0) | ((F.col("edits") <= room(F.col("form_token"))) & ~F.col("form_token").rlike(r"^\p{N}+$")))
     edited = edited.withColumn("alike", 1 - F.col("edits") / size)
     # a shortened word: the beginnings of the form's tokens are the keys
     begun = vocabulary.where(~F.col("form_token").startswith("=") & (F.length("form_token") > LEAST_PREFIX))

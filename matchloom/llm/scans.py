@@ -8,7 +8,7 @@ same difference at the same place differ in those characters alone. Every such p
 characters are read as the rare one's; confusions are ranked by the distinct frequent words that show them, and those with
 enough are kept, whatever characters they hold. A rare word is then joined in SQL to frequent words whose anagram hash
 differs from its own by the hash difference of one or two kept confusions; candidates that these confusions turn into each
-other are ranked by frequency, and the best is the correction. A word broken at a line's end is joined with or without its
+other are ranked by the evidence for the confusions (its order of magnitude) and by frequency, and the best is the correction. A word broken at a line's end is joined with or without its
 hyphen by which form the corpus holds more often.
 
 The marks of words that need a correction are held in each task as a bitmap of fixed size; the exact words are joined by
@@ -302,8 +302,8 @@ def vocabulary(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rare.withColumn("hash", anagram(F.col("word"))), frequent.withColumn("hash", anagram(F.col("word")))
 
 
-def confusions(rare: DataFrame, frequent: DataFrame) -> list[tuple[str, str]]:
-    """The confusions (as read, as printed) that enough of the corpus' words show."""
+def confusions(rare: DataFrame, frequent: DataFrame) -> dict[tuple[str, str], int]:
+    """The confusions (as read, as printed) that enough of the corpus' words show, with the number of words."""
     read = _differences(rare).select("left", "at", "word", "n", "odd", F.col("taken").alias("read"))
     right = _differences(frequent).select("left", "at", F.col("word").alias("printed"), "n_printed", F.col("taken").alias("print"))
     tail = lambda word, taken: F.substring(F.col(word), F.col("at") + F.length(taken), F.length(word))
@@ -316,33 +316,40 @@ def confusions(rare: DataFrame, frequent: DataFrame) -> list[tuple[str, str]]:
     sound = best.join(best.select(F.col("word").alias("printed")), "printed", "left_anti")
     support = sound.groupBy("read", "print").agg(F.countDistinct("printed").alias("words")).where(F.col("words") >= LEAST_SUPPORT)
     shown = {(r["read"], r["print"]): r["words"] for r in support.collect()}  # pairs of one and one or two characters
-    return sorted(pair for pair, words in shown.items() if words >= LEAST_SUPPORT_SHARE * max(shown.values()))
+    return {pair: words for pair, words in sorted(shown.items()) if words >= LEAST_SUPPORT_SHARE * max(shown.values())}
 
 
-def explained(word: str, printed: str, known: dict[str, list[tuple[str, str]]], most: int = 2) -> bool:
-    """True if ``word`` is ``printed`` with at most ``most`` of the confusions ``known`` (by the first character read)."""
-    open_ = [(0, 0, most)]
+def explained(word: str, printed: str, known: dict[str, list[tuple[str, str, int]]], most: int = 2) -> int:
+    """How well ``word`` is explained as ``printed`` with one to ``most`` of the confusions ``known`` (by the first character read).
+
+    The words that show the rarest confusion used, of the best way if there are several; 0 if there is none.
+    """
+    open_, best = [(0, 0, most, 1 << 30)], 0
     while open_:
-        i, j, left = open_.pop()
+        i, j, left, least = open_.pop()
         while True:
             if left:
-                open_ += [(i + len(a), j + len(b), left - 1) for a, b in known.get(word[i : i + 1], ()) if word.startswith(a, i) and printed.startswith(b, j)]
+                open_ += [(i + len(a), j + len(b), left - 1, min(least, n)) for a, b, n in known.get(word[i : i + 1], ()) if word.startswith(a, i) and printed.startswith(b, j)]
             if i < len(word) and j < len(printed) and word[i] == printed[j]:
                 i, j = i + 1, j + 1
                 continue
             break
-        if i == len(word) and j == len(printed):
-            return True
-    return False
+        if i == len(word) and j == len(printed) and left < most:
+            best = max(best, least)
+    return best
+
 
+def _agree(held: dict[tuple[str, str], int]):
+    """The pairs that confusions explain, with the order of magnitude of the evidence."""
 
-def _agree(pairs: list[tuple[str, str]]):
     def run(batches):
         known = defaultdict(list)
-        for a, b in pairs:
-            known[a[0]].append((a, b))
+        for (a, b), n in held.items():
+            known[a[0]].append((a, b, n))
         for batch in batches:
-            yield batch.filter(pa.array([explained(a, b, known) for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())], pa.bool_()))
+            support = np.array([explained(a, b, known) for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())], np.int64)
+            digits = pa.array([len(str(n)) for n in support.tolist()], pa.int32())
+            yield batch.append_column("support", digits).filter(pa.array(support > 0))
 
     return run
 
@@ -354,17 +361,17 @@ def corrections(counts: DataFrame, joined: DataFrame) -> DataFrame:
     held = confusions(rare, frequent)
     rare = vocabulary(every)[0]
     pairs = [(b, "", False, _value(a) - _value(b)) for a, b in held]
-    pairs += [(b, d, True, _value(a) - _value(b) + _value(c) - _value(d)) for k, (a, b) in enumerate(held) for c, d in held[k:] if (a, b) != (d, c)]
+    pairs += [(b, d, True, _value(a) - _value(b) + _value(c) - _value(d)) for k, (a, b) in enumerate(held) for c, d in [*held][k:] if (a, b) != (d, c)]
     kind = "array<struct<one: string, two: string, twice: boolean, difference: bigint>>"
     fixed = F.array(*[F.struct(F.lit(a).alias("one"), F.lit(b).alias("two"), F.lit(twice).alias("twice"), F.lit(d).cast("long").alias("difference")) for a, b, twice, d in pairs]).cast(kind)
     likely = frequent.select(F.col("word").alias("printed"), "n_printed", "hash", F.explode(F.filter(fixed, lambda x: F.contains("word", x["one"]) & F.contains("word", x["two"]))).alias("x"))
     likely = likely.select("printed", "n_printed", F.pmod(F.col("hash") + F.col("x.difference"), F.lit(WRAP)).alias("hash"), F.col("x.twice").alias("twice"))
     met = rare.join(likely, "hash").where((F.col("word") != F.col("printed")) & (F.col("n_printed") >= F.col("n") * _ratio()))
-    met = met.select("word", "printed", "n_printed", "twice", "n").mapInArrow(_agree(held), "word string, printed string, n_printed long, twice boolean, n long")
+    met = met.select("word", "printed", "n_printed", "twice", "n").mapInArrow(_agree(held), "word string, printed string, n_printed long, twice boolean, n long, support int")
     # a bracket before a frequent word is a bracket
     bare = counts.select(F.concat(F.lit("("), "word").alias("word"), F.col("n").alias("n_bare"))
     met = met.join(bare, "word", "left").where(F.coalesce("n_bare", F.lit(0)) * 5 <= F.greatest(F.col("n") * 6, F.col("n_printed") / 10))
-    best = F.max(F.struct((~F.col("twice")).alias("once"), "n_printed", "printed"))
+    best = F.max(F.struct((~F.col("twice")).alias("once"), "support", "n_printed", "printed"))
     return met.groupBy("word").agg(best.alias("b")).select("word", F.col("b.printed").alias("printed"))
 
 
