@@ -104,10 +104,23 @@ def parsed_chunk_id(identifier: Column, kind: str = "tender") -> Column:
 
 
 def resolved(base: Column, link: Column) -> Column:
-    """An absolute link as it is; else under the base's host, or folder."""
-    host = F.regexp_extract(base, r"^(https?://[^/]+)", 1)
-    folder = F.regexp_replace(base, r"[^/]*$", "")
-    return F.when(link.rlike("(?i)^https?://"), link).when(link.startswith("/"), F.concat(host, link)).otherwise(F.concat(folder, link))
+    """A link as the URL it means on the page ``base``, by the rules of RFC 3986; an empty link means the page itself."""
+    parts = r"^([A-Za-z][A-Za-z0-9+.-]*:)?(//[^/?#]*)?([^?#]*)(\?[^#]*)?(#.*)?$"
+    part = lambda text, n: F.regexp_extract(text, parts, n)
+    scheme, host, path, query = (part(base, n) for n in (1, 2, 3, 4))
+    own_host, own_path, own_query, rest = part(link, 2), part(link, 3), part(link, 4), F.concat(part(link, 4), part(link, 5))
+    under = F.when((host != "") & (path == ""), F.concat(F.lit("/"), own_path)).otherwise(F.concat(F.regexp_replace(path, r"[^/]*$", ""), own_path))
+    relative = F.when(own_path == "", F.concat(scheme, host, path, F.when(own_query == "", query).otherwise(own_query), part(link, 5)))
+    relative = relative.when(own_path.startswith("/"), F.concat(scheme, host, without_dots(own_path), rest)).otherwise(F.concat(scheme, host, without_dots(under), rest))
+    return F.when(part(link, 1) != "", link).when(own_host != "", F.concat(scheme, link)).when(link == "", base).otherwise(relative)
+
+
+def without_dots(path: Column) -> Column:
+    """A path whose segments ``.`` and ``..`` are carried out."""
+    step = lambda done, x: F.when(x == ".", done).when((x == "..") & (F.size(done) > 1), F.slice(done, 1, F.size(done) - 1)).when(x == "..", done).otherwise(F.array_append(done, x))
+    kept = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step)
+    ends = F.element_at(F.split(path, "/"), -1).isin(".", "..")
+    return F.when(path.contains("./") | path.endswith("/.") | path.endswith("/..") | path.isin(".", ".."), F.array_join(F.when(ends, F.array_append(kept, F.lit(""))).otherwise(kept), "/")).otherwise(path)
 
 
 def base_name(path: Column) -> Column:

@@ -2,6 +2,8 @@
 
 import re
 
+from urllib.parse import urljoin
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -55,6 +57,15 @@ def test_ids_links_and_strip(spark):
     assert tuple(row) == ("tender:d:3", "d", None, None, "https://h.example/c/d.pdf", "https://h.example/a/d.pdf", "c.pdf", "x")
 
 
+LINKS = ["a.pdf", "../a.pdf", "../../../a.pdf", "./a.pdf", "/x/../a.pdf", "//c.example/a.pdf", "?q=1", "#top", "", "https://o.example/z", "mailto:x@y.example", "d/", "..", "a.pdf?x=../y#z"]
+
+
+@pytest.mark.parametrize("base", ["https://host.example", "https://host.example/", "https://host.example/list/page/index.html?p=2#f", "https://host.example/a/b/"])
+def test_links_resolve_by_the_standard(spark, base):
+    rows = spark.createDataFrame([(x,) for x in LINKS], "link string").select("link", text.resolved(F.lit(base), F.col("link")).alias("full")).collect()
+    assert {r.link: r.full for r in rows} == {x: urljoin(base, x) for x in LINKS}
+
+
 def test_filters(spark):
     rows = spark.createDataFrame([("Works Dept", "t"), (None, "works"), (None, None), ("other", "works")], "a string, b string")
     kept = rows.where(text.filters_pass({"source": "WORKS", "title": "", "unknown": "x", "none": None}, {"source": F.col("a")}, {"source": F.col("b")}))
