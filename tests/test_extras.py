@@ -5,8 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from matchloom.functions.sql import register
-from matchloom.operators.approximate import approximately_nearest
+from matchloom.operators import approximate
+from matchloom.operators.approximate import approximately_nearest, inverted
 from matchloom.operators.state import swept
+from matchloom.operators.vectors import nearest
 from matchloom.streaming.progress import observed
 
 
@@ -22,8 +24,22 @@ def test_approximate_neighbours(spark):
     data = np.repeat(centres, 8, axis=0) + random.normal(size=(80, 16)) * 0.05
     corpus = spark.createDataFrame([(f"c{i:02}", v.tolist()) for i, v in enumerate(data)], "id string, vector array<double>")
     asked = spark.createDataFrame([(f"q{i}", v.tolist()) for i, v in enumerate(centres)] + [("null", None)], "qid string, vector array<double>")
-    found = approximately_nearest(asked, corpus, 5).collect()
+    index = inverted(corpus, 5)
+    found = approximately_nearest(asked, index, 5).collect()
     assert len(found) == 50 and all(int(r.id[1:]) // 8 == int(r.qid[1:]) for r in found)
+    assert approximately_nearest(asked, inverted(corpus.limit(0)), 5).count() == 0
+
+
+def test_inverted_file_visits_few_cells_and_finds_most(spark, monkeypatch):
+    monkeypatch.setattr(approximate, "CELL_ROWS", 50)
+    monkeypatch.setattr(approximate, "BLOCK", 40)
+    random = np.random.default_rng(2)
+    data = np.repeat(random.normal(size=(60, 16)), 30, axis=0) + random.normal(size=(1_800, 16)) * 0.2
+    corpus = spark.createDataFrame([(f"c{i:04}", v.tolist()) for i, v in enumerate(data)], "id string, vector array<double>")
+    asked = corpus.where(F.col("id").substr(2, 4).cast("int") % 20 == 0).withColumnRenamed("id", "qid")
+    index = inverted(corpus, 5, 0.97)
+    met = nearest(asked, corpus, 5).select("qid", "id").join(approximately_nearest(asked, index, 5).select("qid", "id", F.lit(1).alias("hit")), ["qid", "id"], "left")
+    assert len(index.centres) == 36 and index.visits < 12 and met.agg(F.avg(F.coalesce("hit", F.lit(0)))).first()[0] >= 0.95
 
 
 def test_observed_counts(spark):
