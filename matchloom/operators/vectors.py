@@ -76,8 +76,12 @@ def scored(found: DataFrame, weight: float) -> DataFrame:
     return found.withColumn("score", F.round(similarity(F.col("distance")) * weight, 9))
 
 
-def multi_vector_similarity(pairs: DataFrame, keys: list[str], how: str = "max") -> DataFrame:
-    """Similarity of a profile's vectors to a query from ``keys`` and ``similarity`` rows: max, mean or weighted by squares."""
+def multi_vector_similarity(pairs: DataFrame, keys: list[str], how: str = "max", means: DataFrame | None = None) -> DataFrame:
+    """Similarity of a profile's vectors to a query from ``keys`` and ``similarity`` rows: max, mean or weighted by squares.
+
+    ``means``, of the same columns, stands in for keys without any row.
+    """
     s = F.col("similarity")
     agg = {"mean": F.avg(s), "weighted": F.sum(s * s * s) / F.greatest(F.sum(s * s), F.lit(1e-10))}.get(how, F.max(s))
-    return pairs.groupBy(*keys).agg(agg.alias("similarity"))
+    found = pairs.groupBy(*keys).agg(agg.alias("similarity"))
+    return found if means is None else found.unionByName(means.join(found, keys, "left_anti").select(*keys, "similarity"))

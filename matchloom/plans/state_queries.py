@@ -64,7 +64,7 @@ def cache_lookup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def upsert_tenders(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "raw_tenders").where("source is not null and tender_ref_no is not null").select("source", "tender_ref_no", "updated_at", "created_at", "expires_at")
+    rows = table(spark, folder, "raw_tenders").select("source", "tender_ref_no", "updated_at", "created_at", "expires_at")
     return state.upserted(rows, ["source", "tender_ref_no"], "updated_at", ["created_at", "expires_at"]).withColumn("minted_expiry", state.expiry(F.col("created_at")))
 
 
@@ -134,8 +134,7 @@ ORACLE = {
     "cached_status_mark": f"SELECT c.profile_id, c.file_hash, CASE WHEN k.file_hash IS NULL THEN 'pending' ELSE 'cached' END AS status FROM (SELECT _id AS profile_id, unnest(file_hashes) AS file_hash FROM {_CP}) c LEFT JOIN (SELECT DISTINCT file_hash FROM company_profile_embeddings) k USING (file_hash)",
     "reuse_hits": f"SELECT o.file_hash, CASE WHEN len(e.representative_embeddings) > 0 THEN 1 ELSE 0 END AS hit FROM {_CPO} o LEFT JOIN {_CPE} e USING (file_hash)",
     "cache_lookup": f"WITH a AS (SELECT file_hash FROM company_profile_embeddings GROUP BY 1 HAVING max(indexed_at) + INTERVAL 168 HOUR > TIMESTAMP '{NOW}'), b AS (SELECT file_hash FROM {_CPO} WHERE length(text) > 0) SELECT coalesce(a.file_hash, b.file_hash) AS file_hash, CASE WHEN a.file_hash IS NOT NULL THEN 'cache' ELSE 'stored' END AS found_in FROM a FULL JOIN b USING (file_hash)",
-    "upsert_tenders": "SELECT source, tender_ref_no, max(updated_at) AS updated_at, min_by(created_at, (updated_at, created_at, expires_at)) AS created_at, min_by(expires_at, (updated_at, created_at, expires_at)) AS expires_at, min_by(created_at, (updated_at, created_at, expires_at)) + INTERVAL 15 DAY AS minted_expiry FROM raw_tenders WHERE source IS NOT NULL AND tender_ref_no IS NOT NULL GROUP BY 1, 2",
-    "upsert_documents": f"WITH t AS {_TD}, a AS (SELECT tender_id, document_name, min(_id) AS o FROM t WHERE tender_id IS NOT NULL AND document_name IS NOT NULL GROUP BY 1, 2), b AS (SELECT source, tender_ref_no, min(_id) AS o FROM t WHERE source IS NOT NULL AND tender_ref_no IS NOT NULL GROUP BY 1, 2) SELECT least(coalesce(a.o, t._id), coalesce(b.o, t._id)) AS owner, count(*) AS n_rows FROM t LEFT JOIN a ON a.tender_id = t.tender_id AND a.document_name = t.document_name LEFT JOIN b ON b.source = t.source AND b.tender_ref_no = t.tender_ref_no GROUP BY 1",
+    "upsert_tenders": "SELECT source, tender_ref_no, max(updated_at) AS updated_at, min_by(created_at, (updated_at, created_at, expires_at)) AS created_at, min_by(expires_at, (updated_at, created_at, expires_at)) AS expires_at, min_by(created_at, (updated_at, created_at, expires_at)) + INTERVAL 15 DAY AS minted_expiry FROM raw_tenders WHERE source IS NOT NULL AND tender_ref_no IS NOT NULL GROUP BY 1, 2 UNION ALL SELECT source, tender_ref_no, updated_at, created_at, expires_at, created_at + INTERVAL 15 DAY FROM raw_tenders WHERE source IS NULL OR tender_ref_no IS NULL",
     "reset_flags": f"SELECT false AS indexed, 'rebuild' AS index_status, count(*) AS n_rows FROM {_OUT} WHERE doc_type = 'tender'",
     "orphan_chunk_replace": "SELECT document_id, greatest(CASE WHEN count(*) > 1 THEN max_by(chunk_count, extracted_at) ELSE min_by(chunk_count, extracted_at) END, 1)::BIGINT AS n_chunks FROM docling_outputs WHERE chunk_count IS NOT NULL GROUP BY 1",
     "chunk_ids": f"SELECT doc_type || ':' || document_id || ':' || i AS id, CASE WHEN doc_type = 'tender' THEN document_id END AS tender_document FROM (SELECT document_id, doc_type, unnest(range(chunk_count)) AS i FROM {_OUT} WHERE chunk_count > 0)",

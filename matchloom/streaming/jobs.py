@@ -38,22 +38,32 @@ def run_available(jobs: DataFrame, handlers: dict[str, Handler], target: str, ch
     """Runs all jobs at hand through their handlers and appends ``(job_id, type, status, error)`` to ``target``.
 
     A micro-batch is written under its number, so that one that is repeated after a failure replaces its own rows. A
-    handler that fails marks its jobs as failed and does not stop the stream.
+    handler takes all jobs of its type at once, and none if there are none. Where it fails, its jobs are run one by one, so
+    that only those that fail by themselves are marked as failed; the stream goes on.
     """
 
+    def attempt(handle: Handler, own: DataFrame, place: str) -> str | None:
+        try:
+            handle(own).write.mode("overwrite").parquet(place)
+            return None
+        except Exception as failure:  # a job's failure is its status
+            return str(failure)[:500]
+
     def each(batch: DataFrame, number: int) -> None:
         batch = batch.withColumn("route", routed(F.col("type"), list(handlers))).persist()
         try:
             parts = [batch.where("route = 'failed'").select("job_id", "type", F.lit("failed").alias("status"), F.lit("unknown type").alias("error"))]
             for name, handle in handlers.items():
                 own = batch.where(F.col("route") == name)
-                try:
-                    done = handle(own)
-                    done.write.mode("overwrite").parquet(f"{target}/results/{name}/batch={number}")
-                    status, error = "done", None
-                except Exception as failure:  # a job's failure is its status
-                    status, error = "failed", str(failure)[:500]
-                parts.append(own.select("job_id", "type", F.lit(status).alias("status"), F.lit(error).cast("string").alias("error")))
+                if own.isEmpty():
+                    continue
+                if attempt(handle, own, f"{target}/results/{name}/batch={number}") is None:
+                    parts.append(own.select("job_id", "type", F.lit("done").alias("status"), F.lit(None).cast("string").alias("error")))
+                    continue
+                ids = [r.job_id for r in own.select("job_id").distinct().toLocalIterator()]  # the jobs of one type in one micro-batch
+                errors = [(x, attempt(handle, own.where(F.col("job_id") == x), f"{target}/results/{name}/batch={number}/job={k}")) for k, x in enumerate(ids)]
+                told = batch.sparkSession.createDataFrame(errors, "job_id string, error string")
+                parts.append(own.select("job_id", "type").join(told, "job_id").select("job_id", "type", F.when(F.col("error").isNull(), "done").otherwise("failed").alias("status"), "error"))
             every = parts[0]
             for part in parts[1:]:
                 every = every.unionByName(part)
@@ -65,6 +75,21 @@ def run_available(jobs: DataFrame, handlers: dict[str, Handler], target: str, ch
     query.awaitTermination()
 
 
+def document_state(known: Column, text: Column) -> Column:
+    """``queued`` before there is an output, ``failed`` for one without text, ``done`` else."""
+    return F.when(~F.coalesce(known, F.lit(False)), "queued").when(F.length(F.trim(F.coalesce(text, F.lit("")))) == 0, "failed").otherwise("done")
+
+
+def job_state(n_done: Column, n_failed: Column, n_all: Column) -> Column:
+    """A job's state by its documents: it runs from the first ended document to the last, and fails only if all fail."""
+    return F.when(n_all == 0, "done").when(n_done + n_failed == 0, "queued").when(n_done + n_failed < n_all, "running").when(n_done == 0, "failed").otherwise("done")
+
+
+def gate(known: Column, status: Column) -> Column:
+    """Whether a profile may be searched: 200 once it is ready, 409 before, 404 if there is none, 400 for a blank id."""
+    return F.when(known.isNull(), 404).when(F.lower(F.trim(status)).eqNullSafe("ready"), 200).otherwise(409)
+
+
 def latest_status(log: DataFrame, keys: list[str], at: str, order: str) -> DataFrame:
     """The last entry of each key in a status log."""
     others = [c for c in log.columns if c not in keys]

@@ -85,3 +85,34 @@ def test_merge(spark):
     found = {r.profile: r for r in merged(rows, "profile").collect()}
     assert found["p"].text == "short\n\n---\n\nsecond" and found["p"].document_count == 2 and found["p"].file_hashes == "h1,h2" and found["p"].n_tables == 1
     assert not found["q"].success and found["q"].text == ""
+
+
+def test_owners_of_owners_are_resolved(spark):
+    rows = [("e", "t1", "n1", None, None), ("d", "t1", "n1", "s", "r1"), ("c", None, None, "s", "r1"), ("b", "t2", "n2", "s", "r1"), ("a", "t2", "n2", None, None), ("x", None, "n2", "s", None), ("y", "t3", "n3", "s", "r3")]
+    rows += [(f"k{i:02}", f"t{i // 2}k", "n", "s", f"r{(i + 1) // 2}k") for i in range(30)]
+    table = spark.createDataFrame(rows, "_id string, tender_id string, document_name string, source string, tender_ref_no string")
+    found = {r._id: r.owner for r in state.matched_by_either(table, "_id", ["tender_id", "document_name"], ["source", "tender_ref_no"]).collect()}
+    assert found == {x: "a" for x in "abcde"} | {"x": "x", "y": "y"} | {f"k{i:02}": "k00" for i in range(30)}
+    assert state.matched_by_either(table.limit(0), "_id", ["tender_id", "document_name"], ["source", "tender_ref_no"]).count() == 0
+
+
+def test_latest_rows_are_always_the_same(spark):
+    rows = [("a", 1, f"v{i}") for i in range(20)] + [("b", None, "x"), ("b", 0, "y")]
+    table = spark.createDataFrame(rows, "key string, at int, value string")
+    found = [{r.key: r.value for r in state.latest(table.repartition(n), ["key"], "at").collect()} for n in (1, 3, 7)]
+    assert found[0] == found[1] == found[2] and found[0]["b"] == "y"
+
+
+def test_caches(spark):
+    cache = spark.createDataFrame([("a", "1"), ("b", "2")], "key string, value string")
+    cache = state.cache_set(cache, spark.createDataFrame([("b", "3"), ("c", "4")], "key string, value string"))
+    assert {tuple(r) for r in cache.collect()} == {("a", "1"), ("b", "3"), ("c", "4")}
+    assert {r.key for r in state.cache_delete(cache, spark.createDataFrame([("a",), ("a",), ("z",)], "key string")).collect()} == {"b", "c"}
+    left, gone = state.cache_clear(cache)
+    assert left.count() == 0 and gone.first().removed == 3
+
+
+def test_mean_vector_stands_in(spark):
+    pairs = spark.createDataFrame([("p", 0.5), ("p", 0.9)], "profile string, similarity double")
+    means = spark.createDataFrame([("p", 0.1), ("q", 0.2)], "profile string, similarity double")
+    assert {tuple(r) for r in multi_vector_similarity(pairs, ["profile"], "max", means).collect()} == {("p", 0.9), ("q", 0.2)}
