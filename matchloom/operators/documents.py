@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.config import DEFAULTS
+from matchloom.config import DEFAULTS, Config
 from matchloom.functions.extract import combined_text, relevant_text
 from matchloom.functions.text import chunk_id, chunk_text
 from matchloom.operators.embed import HashingEmbedder, embedded
@@ -31,16 +31,16 @@ def embedded_chunks(chunks: DataFrame, make: type = HashingEmbedder) -> DataFram
     return chunks.withColumn("vector", embedded(F.col("document"), make))
 
 
-def tender_chunks(outputs: DataFrame, documents: DataFrame, now: Column) -> DataFrame:
+def tender_chunks(outputs: DataFrame, documents: DataFrame, now: Column, config: Config = DEFAULTS) -> DataFrame:
     """Chunks of the tender outputs that are ready to be indexed: text and tables, 500 characters, 80 of overlap."""
     ready = index_status(outputs.where("doc_type = 'tender'"), documents, now).where("index_status = 'ready'")
-    return chunk_table(ready, "tender", "document_id", combined_text(F.col("text"), F.col("tables")), DEFAULTS.tender_chunk, DEFAULTS.tender_overlap, ("tender_id",))
+    return chunk_table(ready, "tender", "document_id", combined_text(F.col("text"), F.col("tables")), config.tender_chunk, config.tender_overlap, ("tender_id",))
 
 
-def profile_chunks(outputs: DataFrame) -> DataFrame:
+def profile_chunks(outputs: DataFrame, config: Config = DEFAULTS) -> DataFrame:
     """Chunks of profile outputs: the relevant text if there is any, else text and tables; 800 characters, 100 of overlap."""
     text = F.coalesce(F.when(F.col("relevant_text") != "", F.col("relevant_text")), combined_text(F.col("text"), F.col("tables")))
-    return chunk_table(outputs, "profile", "file_hash", text, DEFAULTS.profile_chunk, DEFAULTS.profile_overlap)
+    return chunk_table(outputs, "profile", "file_hash", text, config.profile_chunk, config.profile_overlap)
 
 
 def smart_text(rows: DataFrame) -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
@@ -50,6 +50,28 @@ class HashingEmbedder:
         return found
 
 
+#: Models by name with a test whether they can be used here, in the order in which ``auto`` tries them.
+BACKENDS: dict[str, tuple[type, Callable[[], bool]]] = {"hashing": (HashingEmbedder, lambda: True)}
+
+
+def register(name: str, make: type, usable: Callable[[], bool] = lambda: True) -> None:
+    """Adds a model; it is tried before those known already."""
+    known = {k: v for k, v in BACKENDS.items() if k != name}
+    BACKENDS.clear()
+    BACKENDS.update({name: (make, usable), **known})
+
+
+def backend(name: str = "auto") -> type:
+    """The model of a name, or with ``auto`` the first that can be used."""
+    if name != "auto":
+        if name not in BACKENDS:
+            raise LookupError(f"no model {name}; known are {', '.join(BACKENDS)}")
+        if not BACKENDS[name][1]():
+            raise RuntimeError(f"the model {name} cannot be used here")
+        return BACKENDS[name][0]
+    return next(make for make, usable in BACKENDS.values() if usable())
+
+
 def embedded(text: Column, make: type = HashingEmbedder, **settings) -> Column:
     """Vectors of a text column; null for null and blank texts."""
 

@@ -7,9 +7,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchloom.config import DEFAULTS
+from matchloom.config import DEFAULTS, Config
 from matchloom.functions.text import filters_pass, keyword_boost, overlap_score, snippet, token_set, tokenize
 from matchloom.functions.vectors import combined
+from matchloom.operators.approximate import Inverted, approximately_nearest
 from matchloom.operators.state import live
 from matchloom.operators.vectors import fused, nearest, scored
 
@@ -23,6 +24,8 @@ class Corpus:
     chunks: DataFrame
     documents: DataFrame
     tenders: DataFrame
+    #: An inverted file over the chunks makes the search approximate, and its cost independent of most chunks.
+    index: Inverted | None = None
 
 
 @dataclass
@@ -36,38 +39,43 @@ class Profiles:
     filters: Filters = field(default_factory=dict)
 
 
-def multi_vector_scores(vectors: DataFrame, chunks: DataFrame, n: int, weight: float = DEFAULTS.weight_multi) -> DataFrame:
+def _near(queries: DataFrame, chunks: DataFrame, n: int, index: Inverted | None) -> DataFrame:
+    return nearest(queries, chunks.select("id", "vector"), n) if index is None else approximately_nearest(queries, index, n)
+
+
+def multi_vector_scores(vectors: DataFrame, chunks: DataFrame, n: int, weight: float = DEFAULTS.weight_multi, index: Inverted | None = None) -> DataFrame:
     """``(profile, id, score)``: the best weighted similarity over a profile's vectors, of the n nearest chunks of each."""
-    found = nearest(vectors.select(F.concat_ws("|", "profile", "nth").alias("qid"), "vector"), chunks.select("id", "vector"), n)
-    found = scored(found, weight).withColumn("profile", F.substring_index("qid", "|", 1))
+    found = _near(vectors.select(F.concat_ws("|", "nth", "profile").alias("qid"), "vector"), chunks, n, index)
+    found = scored(found, weight).withColumn("profile", F.expr("substring(qid, instr(qid, '|') + 1)"))
     return fused(found.select("profile", "id", "score"), keys=["profile", "id"])
 
 
-def single_vector_scores(means: DataFrame, chunks: DataFrame, n: int, weight: float) -> DataFrame:
+def single_vector_scores(means: DataFrame, chunks: DataFrame, n: int, weight: float, index: Inverted | None = None) -> DataFrame:
     """``(profile, id, score)`` of the n nearest chunks of each profile's single vector."""
-    found = nearest(means.select(F.col("profile").alias("qid"), "vector"), chunks.select("id", "vector"), n)
+    found = _near(means.select(F.col("profile").alias("qid"), "vector"), chunks, n, index)
     return scored(found, weight).select(F.col("qid").alias("profile"), "id", "score")
 
 
 def _with_documents(found: DataFrame, corpus: Corpus, now: Column, filters: Filters) -> DataFrame:
-    """Inner join to live documents, left join to their tenders, and the filters."""
-    documents = corpus.documents.select(F.col("_id").alias("owner"), "tender_id", "pdf_url", "local_path", F.col("source").alias("doc_source"), "document_type", "document_name", "expires_at").where(live(now))
-    tenders = corpus.tenders.select(F.col("_id").alias("tender_id"), "title", F.col("tender_ref_no").alias("ref_no"), "duration", F.col("source").alias("tender_source"))
+    """Inner join to live documents, left join to their tenders, and the filters, each on any column of either, the document's first."""
+    asked = [name for name, value in filters.items() if value is not None and value != ""]
+    first = {n: F.col(f"_d_{n}") for n in asked if n in corpus.documents.columns}
+    second = {n: F.col(f"_t_{n}") for n in asked if n in corpus.tenders.columns}
+    documents = corpus.documents.select(F.col("_id").alias("owner"), "tender_id", "pdf_url", "local_path", F.col("source").alias("doc_source"), "expires_at", *[F.col(n).cast("string").alias(f"_d_{n}") for n in first]).where(live(now))
+    tenders = corpus.tenders.select(F.col("_id").alias("tender_id"), "title", F.col("tender_ref_no").alias("ref_no"), "duration", *[F.col(n).cast("string").alias(f"_t_{n}") for n in second])
     joined = found.join(documents, "owner").join(tenders, "tender_id", "left")
-    first = {"source": F.col("doc_source"), "document_type": F.col("document_type"), "document_name": F.col("document_name")}
-    second = {"source": F.col("tender_source"), "title": F.col("title"), "duration": F.col("duration"), "tender_ref_no": F.col("ref_no")}
-    return joined.where(filters_pass(filters, first, second))
+    return joined.where(filters_pass(filters, first, second)).drop(*[f"_d_{n}" for n in first], *[f"_t_{n}" for n in second])
 
 
-def hybrid(corpus: Corpus, profiles: Profiles, now: Column, k: int = 10) -> DataFrame:
+def hybrid(corpus: Corpus, profiles: Profiles, now: Column, k: int = 10, config: Config = DEFAULTS) -> DataFrame:
     """The k best documents of each profile: vectors and means (and queries) fused, filtered, one chunk a document, boosted.
 
     The k are chosen by their base score; the keyword boost only orders them.
     """
     k = max(1, k)
-    parts = [multi_vector_scores(profiles.vectors, corpus.chunks, 6 * k), single_vector_scores(profiles.means, corpus.chunks, 2 * k, DEFAULTS.weight_mean)]
+    parts = [multi_vector_scores(profiles.vectors, corpus.chunks, 6 * k, config.weight_multi, corpus.index), single_vector_scores(profiles.means, corpus.chunks, 2 * k, config.weight_mean, corpus.index)]
     if profiles.queries is not None:
-        parts.append(single_vector_scores(profiles.queries.select("profile", "vector"), corpus.chunks, 2 * k, DEFAULTS.weight_query))
+        parts.append(single_vector_scores(profiles.queries.select("profile", "vector"), corpus.chunks, 2 * k, config.weight_query, corpus.index))
     scores = fused(*parts, keys=["profile", "id"])
     best = Window.partitionBy("profile").orderBy(F.desc("score"), "id")
     scores = scores.withColumn("place", F.row_number().over(best)).where(F.col("place") <= 5 * k)
@@ -82,17 +90,24 @@ def hybrid(corpus: Corpus, profiles: Profiles, now: Column, k: int = 10) -> Data
     if profiles.queries is not None:
         kept = kept.join(profiles.queries.select("profile", "query"), "profile", "left")
         words = F.array_union(words, token_set(F.col("query")))
-    text = snippet(F.col("document"), DEFAULTS.boost_chars)
+    text = snippet(F.col("document"), config.boost_chars)
     boost = keyword_boost(words, text)
     matched = F.slice(F.array_sort(F.array_intersect(words, tokenize(text))), 1, 10)
     return kept.select(
         "profile", "tender_id", F.col("owner").alias("document_id"), F.col("id").alias("chunk_id"), F.round("score", 4).alias("score"), F.round(boost, 4).alias("keyword_boost"),
         F.round(F.col("score") + boost, 4).alias("final_score"), "pdf_url", "local_path", F.col("doc_source").alias("source"), "title", F.col("ref_no").alias("tender_ref_no"), "duration",
-        snippet(F.col("document")).alias("tender_snippet"), F.array_join(matched, "|").alias("matched_keywords"),
+        snippet(F.col("document"), config.snippet_chars).alias("tender_snippet"), F.array_join(matched, "|").alias("matched_keywords"),
     )
 
 
-def legacy(corpus: Corpus, profiles: Profiles, now: Column, k: int = 5) -> DataFrame:
+def with_reasons(found: DataFrame) -> DataFrame:
+    """Results with their snippet and matched keywords as one field ``because``, beside the profile's snippet if it has been added."""
+    words = F.filter(F.split("matched_keywords", r"\|"), lambda x: x != "")
+    reasons = [F.col(c) for c in ("tender_snippet", "profile_snippet") if c in found.columns]
+    return found.withColumn("because", F.struct(*reasons, words.alias("matched_keywords"))).drop("tender_snippet", "profile_snippet", "matched_keywords")
+
+
+def legacy(corpus: Corpus, profiles: Profiles, now: Column, k: int = 5, config: Config = DEFAULTS) -> DataFrame:
     """The k best chunks of each profile's single vector, mixed with its query's if there is one; several chunks of a document may stay.
 
     With a query the score is blended with the share of its words in the chunk.
@@ -103,16 +118,16 @@ def legacy(corpus: Corpus, profiles: Profiles, now: Column, k: int = 5) -> DataF
         asked = asked.join(profiles.queries.select("profile", "query", F.col("vector").alias("query_vector")), "profile", "left")
         asked = asked.select("profile", "query", combined(F.col("vector"), F.col("query_vector")).alias("vector"))
     n = max(50, k) if profiles.queries is not None else k
-    found = scored(nearest(asked.select(F.col("profile").alias("qid"), "vector"), corpus.chunks.select("id", "vector"), n), 1.0)
+    found = scored(_near(asked.select(F.col("profile").alias("qid"), "vector"), corpus.chunks, n, corpus.index), 1.0)
     found = found.select(F.col("qid").alias("profile"), "id", F.round("score", 4).alias("score")).join(corpus.chunks.select("id", F.col("owner").alias("own"), F.col("tender_id").alias("chunk_tender"), "chunk_index", "document"), "id")
     # the document of the chunk's tender, of several the least id; else the chunk's own
     by_tender = corpus.documents.where("tender_id is not null").groupBy(F.col("tender_id").alias("chunk_tender")).agg(F.min("_id").alias("theirs"))
     found = found.join(by_tender, "chunk_tender", "left").withColumn("owner", F.coalesce("theirs", "own"))
-    kept = _with_documents(found, corpus, now, profiles.filters).withColumn("tender_snippet", snippet(F.col("document")))
+    kept = _with_documents(found, corpus, now, profiles.filters).withColumn("tender_snippet", snippet(F.col("document"), config.snippet_chars))
     rerank = F.col("score")
     if profiles.queries is not None:
         kept = kept.join(profiles.queries.select("profile", "query"), "profile", "left")
-        words = F.round(overlap_score(F.col("query"), F.col("tender_snippet")) * DEFAULTS.weight_keyword + F.col("score") * DEFAULTS.weight_vector, 4)
+        words = F.round(overlap_score(F.col("query"), F.col("tender_snippet")) * config.weight_keyword + F.col("score") * config.weight_vector, 4)
         rerank = F.when(F.trim(F.coalesce("query", F.lit(""))) != "", words).otherwise(F.col("score"))
     kept = kept.withColumn("rerank_score", rerank)
     kept = kept.withColumn("place", F.row_number().over(Window.partitionBy("profile").orderBy(F.desc("rerank_score"), "id"))).where(F.col("place") <= k)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from matchloom.functions import profiles, vectors as algebra
 from matchloom.operators import cluster, search
+from matchloom.operators.approximate import approximately_nearest, inverted
 from matchloom.operators.documents import embedded_chunks
 from matchloom.operators.embed import embedded
 from matchloom.operators.vectors import fused, multi_vector_similarity, nearest, pooled, scored
@@ -171,6 +172,33 @@ def filtered_search(spark: SparkSession, folder: str) -> DataFrame:
     return search.hybrid(_corpus(spark, folder), _asking(spark, folder, filters={"source": "WORKS", "location": "anywhere", "title": ""}), tables.now(), K).select(_SHOWN)
 
 
+def filtered_search_fields(spark: SparkSession, folder: str) -> DataFrame:
+    """Filters on fields of both tables: a reference, which both have, and a type, which only documents have."""
+    return search.hybrid(_corpus(spark, folder), _asking(spark, folder, filters=FIELD_FILTERS), tables.now(), K).select(_SHOWN)
+
+
+def search_results(spark: SparkSession, folder: str) -> DataFrame:
+    """The five best of each profile with the reasons for them."""
+    return search.with_reasons(search.hybrid(_corpus(spark, folder), _asking(spark, folder), tables.now(), K)).select("profile", "document_id", "final_score", F.col("because.tender_snippet").alias("tender_snippet"), F.array_join("because.matched_keywords", "|").alias("matched_keywords"))
+
+
+def multi_vector_similarity_fallback(spark: SparkSession, folder: str) -> DataFrame:
+    """Similarity of each profile to the labels by its representatives, or by its mean vector if it has none."""
+    labels = materialise(pooled(_base(spark, folder), ["label"]).select(F.col("label").alias("id"), "vector"))
+    means = nearest(tables.profile_means(spark, folder).select(F.col("profile").alias("qid"), "vector"), labels, 1_000)
+    means = means.select(F.col("qid").alias("profile"), F.col("id").alias("label"), (1 - F.col("distance")).alias("similarity"))
+    return multi_vector_similarity(_similarities(spark, folder), ["profile", "label"], "max", means).withColumn("similarity", F.round("similarity", 6))
+
+
+def approximate_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the inverted file reaches its recall: for a query set of every fiftieth vector against all, by brute force."""
+    base = materialise(_base(spark, folder).select("id", "vector"))
+    asked = base.where(F.col("id").cast("long") % 50 == 0).withColumnRenamed("id", "qid")
+    found = approximately_nearest(asked, inverted(base, K, 0.97), K).select("qid", "id", F.lit(1).alias("hit"))
+    met = nearest(asked, base, K).select("qid", "id").join(found, ["qid", "id"], "left")
+    return met.agg(F.countDistinct("qid").alias("n_queries"), (F.coalesce(F.avg(F.coalesce("hit", F.lit(0))), F.lit(1.0)) >= 0.95).alias("reached"))
+
+
 def legacy_search(spark: SparkSession, folder: str) -> DataFrame:
     return search.legacy(_corpus(spark, folder), _asking(spark, folder), tables.now(), K).drop("place")
 
@@ -188,7 +216,7 @@ def profile_snippet(spark: SparkSession, folder: str) -> DataFrame:
     return search.profile_snippets(asked, own, owners).select("profile", "profile_snippet")
 
 
-QUERIES = {f.__name__: f for f in (vector_norms, normalised_vectors, label_mean_vector, label_max_vector, mean_of_means, profile_representatives, first_profile_data, representatives_given_labels, kmeans_representatives, knn_top5, knn_per_representative, embed_chunks, query_search_weighted, combined_vectors, fuse_max, hybrid_search, hybrid_search_with_query, filtered_search, legacy_search, legacy_search_with_query, profile_snippet)}
+QUERIES = {f.__name__: f for f in (vector_norms, normalised_vectors, label_mean_vector, label_max_vector, mean_of_means, profile_representatives, first_profile_data, representatives_given_labels, kmeans_representatives, knn_top5, knn_per_representative, embed_chunks, query_search_weighted, combined_vectors, fuse_max, hybrid_search, hybrid_search_with_query, filtered_search, filtered_search_fields, search_results, approximate_recall, multi_vector_similarity_fallback, legacy_search, legacy_search_with_query, profile_snippet)}
 QUERIES |= {"mean_search_weighted": mean_search_weighted} | {f"multi_vector_similarity_{how}": _multi(how) for how in ("max", "mean", "weighted")}
 
 _BASE = "base AS (SELECT lpad(CAST(vec_id AS VARCHAR), 12, '0') AS id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
@@ -273,6 +301,10 @@ ORACLE = {
     "hybrid_search": _hybrid(False),
     "hybrid_search_with_query": _hybrid(True),
     "filtered_search": _hybrid(False, "(coalesce(d.source, r.source) IS NULL OR contains(lower(coalesce(d.source, r.source)), 'works'))"),
+    "filtered_search_fields": _hybrid(False, "(coalesce(d.tender_ref_no, r.tender_ref_no) IS NULL OR contains(lower(coalesce(d.tender_ref_no, r.tender_ref_no)), '20')) AND (d.document_type IS NULL OR contains(lower(d.document_type), 'no'))"),
+    "search_results": _hybrid(False).rpartition("\nSELECT ")[0] + "\nSELECT profile, owner AS document_id, round(score + boost, 4)::DOUBLE AS final_score, substr(document, 1, 350) AS tender_snippet, coalesce(array_to_string(list_sort(list_intersect(words, toks))[1:10], '|'), '') AS matched_keywords FROM b",
+    "approximate_recall": f"WITH {_BASE} SELECT count(*) AS n_queries, true AS reached FROM base WHERE CAST(id AS BIGINT) % 50 = 0",
+    "multi_vector_similarity_fallback": f"{_SIM}, {MEANS_SQL}, found AS (SELECT profile, label, max(s) AS s FROM sim GROUP BY 1, 2) SELECT profile, label, round(s, 6) AS similarity FROM found UNION ALL SELECT m.profile, l.id, round(1 - {distance_sql('m.v', 'l.v')}, 6) FROM means m, labels l WHERE m.profile NOT IN (SELECT profile FROM found)",
     "legacy_search": _legacy(False),
     "legacy_search_with_query": _legacy(True),
 }

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import io
 import json
+import zipfile
 from collections.abc import Iterable
 from typing import Any, Protocol
 
@@ -38,7 +40,7 @@ def serialised(value: Any) -> str:
         if isinstance(value.get("text"), str):
             return value["text"]
         return "\n".join(v.strip() for v in value.values() if isinstance(v, str) and v.strip())
-    return json.dumps(plain(value), ensure_ascii=False, sort_keys=True)
+    return json.dumps(value, ensure_ascii=False, sort_keys=True, default=str)
 
 
 def section(value: Any) -> dict[str, str | None]:
@@ -48,20 +50,6 @@ def section(value: Any) -> dict[str, str | None]:
     return {"title": value.get("title") or value.get("heading"), "text": value.get("text") or value.get("content")}
 
 
-def plain(value: Any) -> Any:
-    """Nested objects as lists, mappings with string keys, and scalars."""
-    if value is None or isinstance(value, (str, int, float, bool)):
-        return value
-    if isinstance(value, dict):
-        return {str(k): plain(v) for k, v in value.items()}
-    if isinstance(value, (list, tuple, set)):
-        return [plain(v) for v in value]
-    for name in ("model_dump", "to_dict", "dict"):
-        if callable(getattr(value, name, None)):
-            return plain(getattr(value, name)())
-    return plain(vars(value)) if hasattr(value, "__dict__") else str(value)
-
-
 def files(spark: SparkSession, folder: str, suffixes: Iterable[str] = (".pdf",)) -> DataFrame:
     """``(path, size_kb, file_hash, content)`` of the non-empty files with one of the suffixes, in any case; equal files once."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
@@ -72,6 +60,23 @@ def files(spark: SparkSession, folder: str, suffixes: Iterable[str] = (".pdf",))
     return rows.dropDuplicates(["file_hash"])
 
 
+def zipped(rows: DataFrame, per_archive: int = 500) -> DataFrame:
+    """``rows(path, file_hash, content)`` as ``(archive, n_files, content)``: equal files once, by base name, a number before it where names clash."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        held, seen = io.BytesIO(), {}
+        with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as out:
+            for path, content in sorted(zip(pdf.path, pdf.content)):
+                name = path.rsplit("/", 1)[-1]
+                seen[name] = n = seen.get(name, 0) + 1
+                out.writestr(name if n == 1 else f"{n}-{name}", bytes(content))
+        return pd.DataFrame({"archive": [int(pdf.archive.iloc[0])], "n_files": [len(pdf)], "content": [held.getvalue()]})
+
+    once = rows.dropDuplicates(["file_hash"])
+    parts = max(1, -(-once.count() // per_archive))
+    return once.withColumn("archive", F.pmod(F.xxhash64("file_hash"), F.lit(parts)).cast("int")).groupBy("archive").applyInPandas(run, "archive int, n_files int, content binary")
+
+
 def extracted(rows: DataFrame, make: type = PlainText) -> DataFrame:
     """Extraction of ``rows(file_hash, path, content)``; a failure is a row with its error."""
 

@@ -7,11 +7,13 @@ import sys
 import pytest
 from pyspark.sql import functions as F
 
+from matchloom.config import Config
+from matchloom.operators.embed import backend, register
 from matchloom.plans import catalogue
 from matchloom.plans.engine import Engine
-from matchloom.sources.files import extracted, files, plain, serialised
+from matchloom.sources.files import extracted, files, serialised, zipped
 from matchloom.sources.html import rows_of, table_rows
-from matchloom.sources.profile_json import parsed_profile
+from matchloom.sources.profile_json import parsed_profile, processed
 from matchloom.streaming.jobs import read_jobs, run_available
 
 
@@ -36,7 +38,7 @@ def test_files_and_extraction(spark, tmp_path):
     assert sorted(r.success for r in found) == [False, True, True]
     made = next(r for r in found if r.text == "t")
     assert made.tables == ["x", "y"] and made.sections[0].title == "H" and made.sections[0].text == "C"
-    assert serialised({"text": ""}) == "" and plain({1: (2, {"a"})}) == {"1": [2, ["a"]]}
+    assert serialised({"text": ""}) == "" and serialised([1, {"b": None}]) == '[1, {"b": null}]'
 
 
 def test_profile_json(spark):
@@ -62,6 +64,21 @@ def test_job_stream(spark, tmp_path):
     assert found == {"0": "done", "1": "done", "2": "failed", "3": "failed"}
 
 
+def test_a_failing_job_does_not_take_others_with_it(spark, tmp_path):
+    jobs = tmp_path / "jobs"
+    jobs.mkdir()
+    (jobs / "all.json").write_text("\n".join(json.dumps({"job_id": str(n), "type": "sum", "payload": p}) for n, p in enumerate(["1", "x", "3"])))
+    called = []
+
+    def total(rows):
+        called.append(rows.count())
+        return rows.select("job_id", F.col("payload").cast("int").alias("n"))
+
+    run_available(read_jobs(spark, str(jobs)), {"sum": total, "never": None}, str(tmp_path / "out"), str(tmp_path / "state"))
+    found = {r.job_id: (r.status, r.error is None) for r in spark.read.parquet(str(tmp_path / "out/status")).collect()}
+    assert found == {"0": ("done", True), "1": ("failed", False), "2": ("done", True)} and called == [3, 1, 1, 1]
+
+
 def test_engine(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
@@ -81,6 +98,57 @@ def test_engine(spark, tmp_path):
         engine.read("nothing")
 
 
+def test_pipeline_and_profiles(spark, tmp_path):
+    for name, text in (("a.txt", "Supply of cables and pumps"), ("b.txt", "Museum paintings"), ("bad.txt", None)):
+        (tmp_path / name).write_bytes(b"\xff\xfe" if text is None else text.encode())
+    rows = [("d1", "pending", f"{tmp_path}/a.txt"), ("d2", "pending", f"{tmp_path}/b.txt"), ("d3", "pending", None), ("d4", "pending", f"{tmp_path}/none.txt"), ("d5", "pending", f"{tmp_path}/bad.txt"), ("d6", "done", f"{tmp_path}/a.txt")]
+    documents = spark.createDataFrame(rows, "_id string, docling_status string, local_path string").withColumns({"tender_id": F.lit("t1"), "source": F.lit("s")} | {c: F.lit(None).cast("string") for c in ("pdf_url", "document_type", "document_name")} | {"expires_at": F.lit(None).cast("timestamp_ntz")})
+    tenders = spark.createDataFrame([("t1", "T1", "R1", "s")], "_id string, title string, tender_ref_no string, source string").withColumn("duration", F.lit("1 day"))
+    engine, now = Engine(spark, str(tmp_path / "store"), config=Config(snippet_chars=6)), F.lit("2024-01-01").cast("timestamp_ntz")
+    assert {r.has_path: r["count"] for r in engine.run(documents, now, dry_run=True).collect()} == {True: 4, False: 1}
+    assert {r.document_id: r.index_status for r in engine.run(documents, now).collect()} == {"d1": "indexed", "d2": "indexed"}
+    log = {r._id: (r.docling_status, r.error is None) for r in engine.read("document_log").collect()}
+    assert log == {"d1": ("done", True), "d2": ("done", True), "d3": ("failed", False), "d4": ("failed", False), "d5": ("failed", False)}
+    folder, wrong = tmp_path / "in", tmp_path / "wrong"
+    folder.mkdir(), wrong.mkdir()
+    (folder / "p.pdf").write_text("We supply cables and pumps to the harbour works.")
+    (wrong / "q.pdf").write_bytes(b"\xff\xfe")
+    assert engine.create_profile("p|1", "c", str(folder), now).first().status == "READY"
+    assert engine.create_profile("p2", None, str(wrong), now).first().status == "FAILED"
+    found = engine.search_profile("p|1", documents, tenders, now, 2, query="pumps", filters={"tender_ref_no": "r1"}).orderBy("place").collect()
+    assert found[0].document_id == "d1" and found[0].profile == "p|1" and found[0].because.tender_snippet == "Supply" and "pumps" in found[0].because.matched_keywords and found[0].keyword_boost > 0
+    assert engine.search_profile("p|1", documents, tenders, now, filters={"tender_ref_no": "other"}).count() == 0
+    for key, error in ((" ", ValueError), ("p3", LookupError), ("p2", RuntimeError)):
+        with pytest.raises(error):
+            engine.search_profile(key, documents, tenders, now)
+
+
+def test_backends():
+    assert backend() is backend("hashing")
+    register("absent", int, lambda: False)
+    assert backend("auto") is backend("hashing")
+    for name, error in (("absent", RuntimeError), ("unknown", LookupError)):
+        with pytest.raises(error):
+            backend(name)
+
+
+def test_archives(spark):
+    import io
+    import zipfile
+
+    rows = spark.createDataFrame([("a/x.pdf", "1", b"one"), ("b/x.pdf", "2", b"two"), ("c/y.pdf", "1", b"one")], "path string, file_hash string, content binary")
+    made = zipped(rows).collect()
+    names = zipfile.ZipFile(io.BytesIO(bytes(made[0].content))).namelist()
+    assert len(made) == 1 and made[0].n_files == 2 and len(names) == 2
+
+
+def test_processed_profiles(spark):
+    rows = spark.createDataFrame([("h1", '{"company_name": "X", "certifications": ["ISO 9001"], "industries": ["Defence"]}'), ("h2", "none")], "file_hash string, answer string")
+    found = {r.file_hash: r for r in processed(rows).collect()}
+    assert found["h1"].success and found["h1"].filter_metadata.has_iso_9001 and found["h1"].filter_metadata.is_defense and "X" in found["h1"].searchable_text
+    assert not found["h2"].success and found["h2"].searchable_text is None
+
+
 def test_catalogue_has_oracles():
     weaker = set(catalogue.QUERIES) - set(catalogue.ORACLE)
     assert weaker == {"kmeans_representatives", "distinct_sketch"} and set(catalogue.ORACLE) <= set(catalogue.QUERIES)
