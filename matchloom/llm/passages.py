@@ -72,29 +72,39 @@ def gram_hashes(points: np.ndarray, gram: int, powers: Powers) -> np.ndarray:
 
 
 def tied(hashes: np.ndarray, least: int):
-    """(left, centres, right) of the Cartesian tree's subtrees with at least ``least`` tokens; equal minima are centres of one."""
+    """(left, centres, right) of the Cartesian tree's subtrees with at least ``least`` tokens; equal minima are centres of one.
+
+    ``centres`` is one position, or an array where the minimum stands several times.
+    """
+    order = np.sort(hashes)
+    repeated = set(order[1:][order[1:] == order[:-1]].tolist())
     open_ = [(0, len(hashes))]
     while open_:
         left, end = open_.pop()
         if end - left < least:
             continue
-        part = hashes[left:end]
-        centres = left + np.flatnonzero(part == part.min())
-        yield left, centres, end - 1
-        starts, ends = np.r_[left, centres + 1], np.r_[centres, end]
-        room = ends - starts >= least
-        open_ += zip(starts[room].tolist(), ends[room].tolist())
+        centre = left + int(hashes[left:end].argmin())
+        if repeated and int(hashes[centre]) in repeated:
+            centres = left + np.flatnonzero(hashes[left:end] == hashes[centre])
+            yield left, centres, end - 1
+            starts, ends = np.r_[left, centres + 1], np.r_[centres, end]
+            room = ends - starts >= least
+            open_ += zip(starts[room].tolist(), ends[room].tolist())
+        else:
+            yield left, centre, end - 1
+            open_.append((left, centre))
+            open_.append((centre + 1, end))
 
 
 def windows(hashes: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """(left, centre, right) of every window, the centres of a run one by one."""
-    return [(left, int(c), right) for left, centres, right in tied(hashes, least) for c in centres]
+    return [(left, int(c), right) for left, centres, right in tied(hashes, least) for c in np.atleast_1d(centres)]
 
 
-def runs(centres: np.ndarray, most_step: int) -> list[tuple[int, int, int]]:
+def runs(centres: np.ndarray | int, most_step: int) -> list[tuple[int, int, int]]:
     """(first, count, step) of the stretches of rising positions at one distance of at most ``most_step``."""
-    if len(centres) == 1:
-        return [(int(centres[0]), 1, 0)]
+    if isinstance(centres, int) or len(centres) == 1:
+        return [(int(np.atleast_1d(centres)[0]), 1, 0)]
     steps = np.diff(centres)
     cut = np.flatnonzero(np.r_[True, (steps[1:] != steps[:-1]) | (steps[1:] > most_step)])
     found, used = [], 0
@@ -120,7 +130,12 @@ def _windows(least: int, gram: int):
                 if len(text) < least:
                     continue
                 value = gram_hashes(codes(text), gram, powers)
-                found = [(left, *x, right) for left, centres, right in tied(value, span) for x in runs(centres, gram)]
+                found = []
+                for left, centres, right in tied(value, span):
+                    if isinstance(centres, int):
+                        found.append((left, centres, 1, 0, right))
+                    else:
+                        found += [(left, *x, right) for x in runs(centres, gram)]
                 rows += found
                 keys += [key] * len(found)
                 hashes.append(value[[x[1] for x in found]])
@@ -268,3 +283,10 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p9_found": p9_found, "p9_spans": p9_spans, "p9_shares": p9_shares}
+_WINDOWS = f"""docs AS (SELECT doc_id, any_value(text) AS text FROM documents WHERE doc_id IS NOT NULL GROUP BY doc_id),
+spots AS (SELECT doc_id, i, hash(substr(text, i, {LEAST})) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - {LEAST - 2})) AS i FROM docs WHERE length(text) >= {LEAST})),
+held AS (SELECT DISTINCT doc_id, h FROM spots), shared AS (SELECT h FROM held GROUP BY h HAVING count(*) > 1)"""
+ORACLE = {
+    "p9_found": f"WITH {_WINDOWS}, kept AS (SELECT doc_id, h FROM held JOIN shared USING (h)) SELECT DISTINCT a.doc_id AS doc_lo, b.doc_id AS doc_hi FROM kept a JOIN kept b USING (h) WHERE a.doc_id < b.doc_id",
+    "p9_shares": f"WITH {_WINDOWS}, marks AS (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS j FROM spots JOIN shared USING (h)), covered AS (SELECT doc_id, CAST(sum(least({LEAST}, coalesce(j - i, {LEAST}))) AS BIGINT) AS n FROM marks GROUP BY 1) SELECT doc_id, CAST(coalesce(length(text), 0) AS INTEGER) AS n_chars, coalesce(n, 0) AS shared_chars, CASE WHEN length(text) > 0 THEN round(coalesce(n, 0) / length(text), 6) ELSE 0.0 END AS share FROM docs LEFT JOIN covered USING (doc_id)",
+}
