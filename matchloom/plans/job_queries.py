@@ -92,7 +92,7 @@ ORACLE = {
     "pending_first": f"SELECT _id, local_path FROM {_TD} WHERE docling_status = 'pending' ORDER BY _id LIMIT {PENDING_LIMIT}",
     "extraction_outcome": f"SELECT _id, CASE WHEN _id IN (SELECT document_id FROM docling_outputs WHERE document_id IS NOT NULL) THEN 'done' WHEN trim(coalesce(local_path, '')) = '' THEN 'failed' ELSE 'extract' END AS outcome FROM {_TD} WHERE docling_status = 'pending'",
     "job_documents": f"WITH {_FILES} SELECT profile_id, file_hash, state FROM d WHERE state IN ('queued', 'failed')",
-    "profile_job_states": f"WITH {_FILES}, c AS (SELECT profile_id, count(file_hash) AS n_documents, count_if(state = 'done')::BIGINT AS n_done, count_if(state = 'failed')::BIGINT AS n_failed FROM d GROUP BY 1) SELECT *, CASE WHEN n_documents = 0 THEN 'done' WHEN n_done + n_failed = 0 THEN 'queued' WHEN n_done + n_failed < n_documents THEN 'running' WHEN n_done = 0 THEN 'failed' ELSE 'done' END AS state, CAST(5 + floor((n_done + n_failed) / greatest(n_documents, 1) * 85) AS INTEGER) AS progress FROM c",
+    "profile_job_states": f"WITH {_FILES}, c AS (SELECT profile_id, count(file_hash) AS n_documents, count(*) FILTER (state = 'done') AS n_done, count(*) FILTER (state = 'failed') AS n_failed FROM d GROUP BY 1) SELECT *, CASE WHEN n_documents = 0 THEN 'done' WHEN n_done + n_failed = 0 THEN 'queued' WHEN n_done + n_failed < n_documents THEN 'running' WHEN n_done = 0 THEN 'failed' ELSE 'done' END AS state, CAST(5 + floor((n_done + n_failed) / greatest(n_documents, 1) * 85) AS INTEGER) AS progress FROM c",
     "status_gate": f"SELECT q.profile_id, CAST(CASE WHEN trim(q.profile_id) = '' THEN 400 WHEN p._id IS NULL THEN 404 WHEN lower(trim(p.status)) = 'ready' THEN 200 ELSE 409 END AS INTEGER) AS code FROM (SELECT DISTINCT profile_id FROM docling_outputs WHERE profile_id IS NOT NULL) q LEFT JOIN {_CP} p ON p._id = q.profile_id",
     "merged_documents": f"WITH RECURSIVE {_REACHED} SELECT owner, l.a AS document_name, l.b AS pdf_url, l.c AS updated_at, f.a AS docling_status, n_rows FROM (SELECT owner, max_by(struct_pack(a := document_name, b := pdf_url, c := updated_at), (updated_at, _id)) AS l, min_by(struct_pack(a := docling_status), (created_at, _id)) AS f, count(*) AS n_rows FROM t JOIN owners USING (_id) GROUP BY owner)",
     "cache_after_writes": f"WITH c AS (SELECT file_hash AS key, max(indexed_at) AS cached_at FROM company_profile_embeddings WHERE indexed_at IS NOT NULL GROUP BY 1), o AS (SELECT file_hash AS key, length(coalesce(text, '')) > 0 AS full_ FROM {_CPO} WHERE file_hash IS NOT NULL) SELECT key, CASE WHEN o.full_ THEN TIMESTAMP '{NOW}' ELSE c.cached_at END AS cached_at FROM c FULL JOIN o USING (key) WHERE coalesce(o.full_, true) AND (o.full_ OR c.cached_at + INTERVAL 168 HOUR > TIMESTAMP '{NOW}')",

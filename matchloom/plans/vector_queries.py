@@ -16,6 +16,7 @@ from matchloom.plans.tables import MEANS_SQL, NOW, REPS_SQL, chunks_sql, combine
 from matchloom.session import materialise, table
 
 K = 5
+FIELD_FILTERS = {"tender_ref_no": "20", "document_type": "no"}
 QUESTION = "annual maintenance of laboratory equipment and cables"
 
 
