@@ -33,14 +33,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from matchloom.llm.near_copies import spelled
-from matchloom.session import discard, materialise, table
+from matchloom.session import materialise, table
 
 DIMENSIONS, K = 64, 5
 SAMPLE, CALIBRATION = 50_000, 2_000
 BRANCHES, LEAF_SAMPLE, ROUNDS = 24, 25, 8
 #: Rows that a leaf is meant to hold; it holds more once the sample has too few rows for so many leaves.
 LEAF_ROWS = 1_000
-BUCKET = 16_384
+BUCKET = 32_768
 RECALL, CLOSE_RECALL = 0.95, 0.995
 CLOSE = 0.90
 #: Neighbours above the wanted similarity that a calibration needs; with fewer it goes by the nearest of any similarity.
@@ -269,15 +269,14 @@ def searched(firsts: DataFrame, tree: Tree, visits: int, k: int, least: float) -
     sizes = np.zeros(len(tree.leaves), np.int64)
     for row in firsts.select("vec").mapInArrow(_leaves(tree), "leaf int").groupBy("leaf").count().collect():  # one row for each leaf, of which the sample bounds the number
         sizes[row["leaf"]] = row["count"]
-    placed = materialise(firsts.select("id", "vec", "asked").mapInArrow(_placed(tree, Buckets.of(sizes, BUCKET), visits), PLACED))
+    # placed twice, once for the groups alone: the visits are quick to repeat, and the vectors would be written twice
+    placed = firsts.select("id", "vec", "asked").mapInArrow(_placed(tree, Buckets.of(sizes, BUCKET), visits), PLACED)
     asking = placed.where("leaf < 0")
-    groups = asking.select("bucket", "home").distinct()
+    groups = materialise(asking.select("bucket", "home").distinct())
     members = placed.where("leaf >= 0").drop("home").join(groups, "bucket").select(asking.columns)
     found = asking.unionAll(members).groupBy("bucket", "home").applyInPandas(_bucket_search(k, least), "q long, n long, similarity double")
     place = F.rank().over(Window.partitionBy("q").orderBy(F.desc("similarity")))
-    found = materialise(found.withColumn("place", place).where(F.col("place") <= k))
-    discard(placed)
-    return found
+    return materialise(found.withColumn("place", place).where(F.col("place") <= k))
 
 
 def _nearest_of_sample(ids: np.ndarray, sample: np.ndarray, tree: Tree, k: int):
@@ -410,3 +409,11 @@ def p3_recall(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p3_found": p3_found, "p3_neighbours": p3_neighbours, "p3_recall": p3_recall}
+_VECTORS = f"""raw AS (SELECT 's' AS field, file_hash || ':s' AS vec, summary_embedding AS v FROM company_profile_embeddings
+  UNION ALL SELECT 'r', file_hash || ':r' || (i - 1), representative_embeddings[i] FROM (SELECT file_hash, representative_embeddings, unnest(range(1, len(representative_embeddings) + 1)) AS i FROM company_profile_embeddings)),
+vectors AS (SELECT field, vec, any_value(CAST(v AS DOUBLE[])) AS v FROM raw WHERE vec IS NOT NULL AND v IS NOT NULL AND len(v) = {DIMENSIONS} AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0 GROUP BY 1, 2),
+pairs AS (SELECT a.field, a.vec, b.vec AS other, round(list_cosine_similarity(a.v, b.v), 9) AS similarity FROM vectors a JOIN vectors b ON a.field = b.field AND a.vec <> b.vec)"""
+ORACLE = {
+    "p3_found": f"WITH {_VECTORS}, near AS (SELECT *, rank() OVER (PARTITION BY vec ORDER BY similarity DESC) AS place FROM pairs) SELECT DISTINCT least(vec, other) AS vec_lo, greatest(vec, other) AS vec_hi FROM near WHERE place <= {K} AND similarity >= {CLOSE}",
+    "p3_neighbours": f"WITH {_VECTORS}, near AS (SELECT *, row_number() OVER (PARTITION BY vec ORDER BY similarity DESC, other) AS place FROM pairs) SELECT field, vec, CAST(place AS INTEGER) AS place, other AS neighbour, similarity FROM near WHERE place <= {K}",
+}
