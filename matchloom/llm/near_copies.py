@@ -19,6 +19,8 @@ extra columns are ignored.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -83,6 +85,7 @@ def _block_pairs(bar: float):
             same &= column[1:] == column[:-1]
         run = np.r_[0, np.cumsum(~same)][: rows.num_rows]
         own, cross, ids = rows["own"].to_numpy(), rows["i"].to_numpy() != rows["j"].to_numpy(), rows["id"].to_numpy()
+        group = rows["group"].to_numpy() if not rows["group"].null_count else ids
         sign = np.frombuffer(b"".join(rows["sign"].to_pylist()), np.uint8).reshape(rows.num_rows, -1)
         lo, hi = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         at = np.arange(rows.num_rows)
@@ -92,7 +95,7 @@ def _block_pairs(bar: float):
             if not len(at):
                 break
             for part in np.array_split(at, -(-len(at) // 65_536)):
-                part = part[~cross[part] | (own[part] != own[part + step])]
+                part = part[(~cross[part] | (own[part] != own[part + step])) & (group[part] != group[part + step])]
                 near = part[(sign[part] == sign[part + step]).sum(axis=1) >= bar]
                 lo.append(np.minimum(ids[near], ids[near + step]))
                 hi.append(np.maximum(ids[near], ids[near + step]))
@@ -113,15 +116,20 @@ def _block_pairs(bar: float):
     return run
 
 
-def candidates(first: DataFrame, threshold: float) -> DataFrame:
-    """``(lo, hi)`` of the rows of ``first(id, sign, bands)`` that share a band and whose brief signatures may reach the threshold, each pair once."""
+def candidates(first: DataFrame, threshold: float, marks: DataFrame | None = None) -> DataFrame:
+    """``(lo, hi)`` of the rows of ``first(id, sign, bands)`` that share a band and whose brief signatures may reach the threshold, each pair once.
+
+    With ``marks(id, group)`` only pairs from different groups; a row without a mark is a group of its own.
+    """
     bands = first.select("id", F.explode("bands").alias("band"))
-    sizes = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    bands = bands.withColumn("group", F.lit(None).cast("long")) if marks is None else bands.join(marks, "id", "left").withColumn("group", F.coalesce("group", "id"))
+    sizes = bands.groupBy("band").agg(F.count("*").alias("n"), F.min("group").alias("least"), F.max("group").alias("most"))
+    sizes = sizes.where("n > 1" if marks is None else "n > 1 and least <> most").select("band", "n")
     members = bands.join(sizes, "band").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     members = members.join(first.select("id", F.substring("sign", 1, BRIEF).alias("sign")), "id")
     members = members.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = members.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "sign")
+    members = members.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "group", "sign")
     bar = BRIEF * (1 / 256 + (1 - 1 / 256) * (threshold - SLACK * (threshold * (1 - threshold) / BRIEF) ** 0.5))
     ordered = members.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
     return ordered.mapInArrow(_block_pairs(bar), "lo long, hi long").distinct()
@@ -165,33 +173,78 @@ def _jaccard(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], ["lo", "hi", "similarity"])
 
 
-def similar(texts: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, least_words: int = LEAST_WORDS) -> tuple[DataFrame, DataFrame]:
-    """Links ``(lo, hi, similarity)`` between class representatives of ``texts(key, text)``, and the membership ``(key, root, copy)``; ``copy`` is the least key of the same text."""
+@dataclass
+class Classes:
+    """Texts by the set of their shingles: ``first(id, sign, bands)`` and ``named(id, same, root)`` hold one row a class, whose
+    least key is ``root``; ``membership(key, root, copy)`` the keys of classes of several; ``copy`` is the least key of the same text."""
+
+    first: DataFrame
+    named: DataFrame
+    membership: DataFrame
+
+
+def classes(texts: DataFrame, width: int, least_words: int) -> Classes:
+    """The classes of ``texts(key, text)``. Of repeated rows of a key the least counts; only narrow rows are grouped."""
     signed = materialise(signatures(texts, width, least_words))
-    # of repeated rows of a key the least counts; only narrow rows are grouped
     names = materialise(signed.groupBy("key").agg(F.min(F.struct("same", "exact", "id")).alias("s")).select("key", "s.*"))
-    classes = names.groupBy("same").agg(F.min(F.struct("key", "id")).alias("r"), F.count("*").alias("n"))
-    classes = materialise(classes.select("same", F.col("r.key").alias("root"), F.col("r.id").alias("id"), "n"))
-    within = names.select("key", "same", "exact").join(classes.where("n > 1").select("same", "root"), "same")
+    named = names.groupBy("same").agg(F.min(F.struct("key", "id")).alias("r"), F.count("*").alias("n"))
+    named = materialise(named.select("same", F.col("r.key").alias("root"), F.col("r.id").alias("id"), "n"))
+    within = names.select("key", "same", "exact").join(named.where("n > 1").select("same", "root"), "same")
     least = within.groupBy("same", "exact").agg(F.min("key").alias("copy"))
     membership = materialise(within.join(least, ["same", "exact"]).select("key", "root", "copy"))
-    first = materialise(signed.select("id", "sign", "bands").join(classes.select("id"), "id", "left_semi"))
+    first = materialise(signed.select("id", "sign", "bands").join(named.select("id"), "id", "left_semi"))
     discard(signed, names)
-    met = materialise(candidates(first, threshold))
-    pairs = materialise(estimated(met, first, threshold))
-    discard(first, met)
+    return Classes(first, named.select("id", "same", "root"), membership)
+
+
+def verified(met: DataFrame, found: Classes, texts: DataFrame, threshold: float, width: int, least_words: int) -> DataFrame:
+    """``(lo, hi, similarity)`` of the pairs ``met(lo, hi)`` that reach the threshold: by their signatures, then by their sets, made once for each text."""
+    pairs = materialise(estimated(met, found.first, threshold))
     ends = pairs.select(F.col("lo").alias("id")).unionAll(pairs.select("hi")).distinct()
-    wanted = classes.join(ends, "id", "left_semi").select("id", "same", F.col("root").alias("key"))
+    wanted = found.named.join(ends, "id", "left_semi").select("id", "same", F.col("root").alias("key"))
     # a key may stand in several rows; the text that counts is the one of its class
     held = texts.where("text is not null").select("key", "text").join(wanted, "key").select("id", "same", "text").mapInArrow(_sets(width, least_words), "id long, values binary")
     held = materialise(held.where("values is not null").dropDuplicates(["id"]))
     both = pairs.join(held.toDF("lo", "x"), "lo").join(held.toDF("hi", "y"), "hi").select("lo", "hi", "x", "y")
     links = both.mapInArrow(_jaccard, "lo long, hi long, similarity double").where(F.col("similarity") >= threshold - 1e-12)
-    roots = classes.select("id", "root")
+    links = materialise(links)
+    discard(pairs, held)
+    return links
+
+
+def similar(texts: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, least_words: int = LEAST_WORDS) -> tuple[DataFrame, DataFrame]:
+    """Links ``(lo, hi, similarity)`` between class representatives of ``texts(key, text)``, and the membership ``(key, root, copy)``."""
+    found = classes(texts, width, least_words)
+    met = materialise(candidates(found.first, threshold))
+    links = verified(met, found, texts, threshold, width, least_words)
+    roots = found.named.select("id", "root")
     named = links.join(roots.toDF("lo", "a"), "lo").join(roots.toDF("hi", "b"), "hi")
-    links = materialise(named.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), "similarity"))
-    discard(pairs, held, classes)
-    return links, membership
+    named = materialise(named.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), "similarity"))
+    discard(links, met, found.first)
+    return named, found.membership
+
+
+def grouped(texts: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, least_words: int = LEAST_WORDS) -> DataFrame:
+    """``(key, root)`` of the keys in a group of near copies, without a list of its pairs.
+
+    First each member of a bucket is checked against the bucket's least only. Then, in buckets whose members do not all stand
+    in one group yet, the pairs from different groups are. A pair that is not checked stands in one group anyway, so that the
+    groups are those of all pairs; many texts that are all alike cost one check for each bucket they share.
+    """
+    found = classes(texts, width, least_words)
+    bands = found.first.select("id", F.explode("bands").alias("band"))
+    heads = bands.groupBy("band").agg(F.min("id").alias("lo"), F.count("*").alias("n")).where("n > 1")
+    stars = materialise(bands.join(heads, "band").where("id <> lo").select("lo", F.col("id").alias("hi")).distinct())
+    links = verified(stars, found, texts, threshold, width, least_words)
+    marks = materialise(components(links.select("lo", "hi")).toDF("id", "group"))
+    rest = materialise(candidates(found.first, threshold, marks))
+    more = verified(rest, found, texts, threshold, width, least_words)
+    roots = found.named.select("id", "root")
+    named = links.unionAll(more).join(roots.toDF("lo", "a"), "lo").join(roots.toDF("hi", "b"), "hi").select(F.col("a").alias("lo"), F.col("b").alias("hi"))
+    copies = found.membership.where("key <> root").select(F.col("root").alias("lo"), F.col("key").alias("hi"))
+    groups = components(named.unionAll(copies)).toDF("key", "root")
+    discard(stars, rest, found.first)
+    return groups
 
 
 def spelled(links: DataFrame, membership: DataFrame) -> DataFrame:
@@ -228,19 +281,8 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
-    """One row for each document in a group of near copies: its group's least key, and the number of documents it is similar to.
-
-    The number is counted over classes, whose members are not paired: those of the own class and of each linked one.
-    """
-    links, membership = similar(_texts(spark, folder))
-    sizes = membership.groupBy("root").agg(F.count("*").alias("n"))
-    arcs = links.select("lo", "hi").unionAll(links.select("hi", "lo")).toDF("root", "other")
-    linked = arcs.join(sizes.toDF("other", "n"), "other", "left").groupBy("root").agg(F.sum(F.coalesce("n", F.lit(1))).alias("linked"))
-    stars = membership.where("key <> root").select(F.col("root").alias("lo"), F.col("key").alias("hi"))
-    groups = components(links.select("lo", "hi").unionAll(stars)).toDF("document_id", "group_id")
-    own = groups.join(membership.select(F.col("key").alias("document_id"), F.col("root").alias("class")), "document_id", "left").withColumn("root", F.coalesce("class", "document_id"))
-    counted = own.join(sizes, "root", "left").join(linked, "root", "left")
-    return counted.select("document_id", "group_id", (F.coalesce("n", F.lit(1)) - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+    """One row for each document in a group of near copies, with the group's least key."""
+    return grouped(_texts(spark, folder)).toDF("document_id", "group_id")
 
 
 QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups}
@@ -257,5 +299,5 @@ both_ AS (SELECT x, y, len(a.s) + len(b.s) AS total, len(list_intersect(a.s, b.s
 pairs AS (SELECT x, y FROM both_ WHERE common / (total - common) >= {THRESHOLD} - 1e-12)"""
 ORACLE = {
     "p1_found": f"WITH {_PAIRS} SELECT x AS doc_lo, y AS doc_hi FROM pairs",
-    "p1_groups": f"WITH RECURSIVE {_PAIRS}, arcs AS (SELECT x, y FROM pairs UNION SELECT y, x FROM pairs), reached(id, other) AS (SELECT DISTINCT x, x FROM arcs UNION SELECT r.id, a.y FROM reached r JOIN arcs a ON a.x = r.other) SELECT id AS document_id, min(other) AS group_id, any_value(n) AS n_links FROM reached JOIN (SELECT x AS id, count(*) AS n FROM arcs GROUP BY 1) USING (id) GROUP BY id",
+    "p1_groups": f"WITH RECURSIVE {_PAIRS}, arcs AS (SELECT x, y FROM pairs UNION SELECT y, x FROM pairs), reached(id, other) AS (SELECT DISTINCT x, x FROM arcs UNION SELECT r.id, a.y FROM reached r JOIN arcs a ON a.x = r.other) SELECT id AS document_id, min(other) AS group_id FROM reached GROUP BY id",
 }
