@@ -5,20 +5,21 @@ source; the slots of a source are ranked. Each source's texts, shuffled anew for
 cut into blocks of equal tokens; the slot of rank r takes block r of its source. Low discrepancy keeps every stretch of the
 schedule near the target shares.
 
-Unless given, the total is the largest at which every source that has texts reaches its share within its repetitions.
+Unless given, the total is the largest at which every source that has texts reaches its share within its repetitions; the
+source that stops it there is marked (``binds``) in the report, beside the tokens available and used of each.
 Ranks and running sums are computed in two levels (chunks of slots, hash buckets of texts), so that no task holds a whole
 source.
 
 Defined cases: null and empty texts have no tokens and are not used; texts without source, or of a source without target,
 stay out; a source with a target but no texts gets no slots and is reported with share 0, the others keep their proportions;
-a target of zero or less, or without repetitions, is treated alike; repeated rows of a key count once.
+a target of zero or less, or without repetitions, is treated alike; repeated rows of a key count once; more than ``MOST_SOURCES`` targets are an error, as the driver holds them.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from matchloom.llm import tokens
@@ -28,7 +29,7 @@ BLOCK_TOKENS = 2_048
 GOLDEN = 0.6180339887498949
 CHUNK = 1 << 16
 BUCKET_ROWS = 20_000
-MOST_SOURCES = 100_000
+MOST_SOURCES = 10_000
 
 
 def _sizes(vocabulary: str):
@@ -41,6 +42,14 @@ def _sizes(vocabulary: str):
     return run
 
 
+def _of_bounds(u: Column, bounds: list[float], first: int) -> Column:
+    """Number of the interval that ``u`` lies in, by halving the sorted ``bounds``."""
+    if not bounds:
+        return F.lit(first)
+    half = len(bounds) // 2
+    return F.when(u < bounds[half], _of_bounds(u, bounds[:half], first)).otherwise(_of_bounds(u, bounds[half + 1 :], first + half + 1))
+
+
 def mixture(texts: DataFrame, targets: DataFrame, total_tokens: int | None = None, block_tokens: int = BLOCK_TOKENS, seed: int = 1, vocabulary: str = tokens.VOCABULARY) -> tuple[DataFrame, DataFrame]:
     """Rows ``(slot, source, doc_id, repeat_no, n_tokens)`` of the mixture of ``texts(key, source, text)``, and the report by source."""
     spark = texts.sparkSession
@@ -57,7 +66,8 @@ def mixture(texts: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     cap = {r.source: int(r.max_repeats or 0) for r in wanted}
     whole = sum(share.values())
     share = {k: v / whole for k, v in share.items()}
-    most = int(min((cap[k] * held[k][0] / share[k] for k in live), default=0))
+    room = {k: cap[k] * held[k][0] / share[k] for k in live}
+    most, binding = int(min(room.values(), default=0)), min(room, key=room.get, default=None)
     total = most if total_tokens is None else max(0, int(total_tokens))
     n_slots = total // block_tokens
     bounds = np.cumsum([share[k] for k in live]).tolist() if live else []
@@ -65,11 +75,7 @@ def mixture(texts: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     # the schedule
     point = (F.col("slot") + 0.5) * F.lit(GOLDEN)
     slots = spark.range(n_slots).toDF("slot").withColumn("u", point - F.floor(point))
-    choice = F.lit(len(live) - 1)
-    for k in range(len(bounds) - 2, -1, -1) if len(bounds) <= 200 else ():
-        choice = F.when(F.col("u") < bounds[k], F.lit(k)).otherwise(choice)
-    if len(bounds) > 200:
-        choice = F.aggregate(F.array(*[F.lit(b) for b in bounds[:-1]]), F.lit(0), lambda n, b: n + (F.col("u") >= b).cast("int"))
+    choice = _of_bounds(F.col("u"), bounds[:-1], 0) if bounds else F.lit(-1)
     slots = slots.select("slot", choice.alias("k"), F.floor(F.col("slot") / CHUNK).alias("chunk"))
     chunks = slots.groupBy("k", "chunk").agg(F.count("*").alias("n"))
     chunks = chunks.select("k", "chunk", (F.sum("n").over(Window.partitionBy("k").orderBy("chunk")) - F.col("n")).alias("before"))
@@ -89,8 +95,8 @@ def mixture(texts: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     mixed = stream.join(ranked, ["k", "block"]).select("slot", "source", "doc_id", "repeat_no", "n_tokens")
 
     reached = mixed.groupBy("source", "doc_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("uses")).groupBy("source").agg(F.sum("n").alias("tokens"), F.max("uses").alias("most_uses"))
-    known = spark.createDataFrame([(r.source, float(r.target_share or 0), int(r.max_repeats or 0), int(held.get(r.source, (0, 0))[0])) for r in wanted], "source string, target_share double, max_repeats int, available_tokens long")
-    report = known.join(reached, "source", "left").select("source", "target_share", "max_repeats", "available_tokens", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"))
+    known = spark.createDataFrame([(r.source, float(r.target_share or 0), int(r.max_repeats or 0), int(held.get(r.source, (0, 0))[0]), total_tokens is None and r.source == binding) for r in wanted], "source string, target_share double, max_repeats int, available_tokens long, binds boolean")
+    report = known.join(reached, "source", "left").select("source", "target_share", "max_repeats", "available_tokens", "binds", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"))
     every = F.sum("tokens").over(Window.partitionBy())  # one row for each target
     return mixed, report.withColumn("actual_share", F.when(every > 0, F.round(F.col("tokens") / every, 6)).otherwise(0.0))
 
