@@ -19,6 +19,9 @@ as large as the capacity fills a container alone.
 
 from __future__ import annotations
 
+from collections import Counter
+from functools import cached_property
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 
 from matchloom.llm import tokens
 from matchloom.llm.neighbours import Tree, fit
-from matchloom.session import materialise, table
+from matchloom.session import discard, materialise, stored, table
 
 CAPACITY = 1_024
 SHARD_ITEMS = 1_000
@@ -38,12 +41,13 @@ FULL = 0.97
 SPACE_WORDS, SPACE_SAMPLE, DIRECTIONS = 4_096, 3_000, 128
 TREE_SAMPLE, LEAF_SAMPLE = 20_000, 10
 #: Shards that a seed asks, members of a block that a task holds, neighbours kept of a seed, and those that recall is measured on.
-VISITS, BLOCK, NEIGHBOURS, K = 4, 4_096, 16, 5
+VISITS, BLOCK, NEIGHBOURS, K = 4, 4_096, 8, 5
 #: One in so many of the items up to half the capacity is a seed.
 SEED_EVERY = 4
 ROUNDS = 3
 #: A gap of at least 1 / GAP of the capacity is left for another item. Rounds of packing poor containers again, each in shards so many times as large.
 GAP, AGAIN, WIDER = 8, 2, 4
+MEMBERS = "n_tokens int, seed boolean, terms binary, counts binary"
 PACKED = "container_id string, item_pos int, doc_id long, start_token int, n_tokens int"
 
 
@@ -98,45 +102,60 @@ def _cut(capacity: int):
 
 
 class Index:
-    """BM25 weights of a set of items: the terms of each item, and the items of each term."""
+    """BM25 weights of a set of items: the terms of each item, and, once asked for, the items of each term."""
 
     def __init__(self, terms: list[np.ndarray], counts: list[np.ndarray], idf: np.ndarray, mean: float):
-        self.terms = terms
-        self.start = np.r_[0, np.cumsum([len(t) for t in terms], dtype=np.int64)]
-        owner = np.repeat(np.arange(len(terms)), np.diff(self.start))
-        flat = np.concatenate(terms).astype(np.int64) if terms else np.zeros(0, np.int64)
+        self.n, self.terms = len(terms), terms
+        sizes = np.fromiter(map(len, terms), np.int64, len(terms))
+        self.start = np.r_[0, np.cumsum(sizes)]
+        self.flat = np.concatenate(terms) if terms else np.zeros(0, np.uint32)
         tf = np.concatenate(counts).astype(np.float32) if counts else np.zeros(0, np.float32)
-        length = np.array([c.sum(dtype=np.int64) for c in counts], np.float32)
-        weight = idf[flat] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[owner] / mean))
-        order = np.argsort(flat, kind="stable")
-        self.held, self.first = np.unique(flat[order], return_index=True)
-        self.last = np.r_[self.first[1:], len(flat)]
-        self.flat, self.flat_weight = flat, weight.astype(np.float32)
-        self.owner, self.weight = owner[order], weight[order].astype(np.float32)
-        self.n = len(terms)
+        length = np.add.reduceat(np.r_[tf, np.float32(0)], self.start[:-1]) * (sizes > 0) if self.n else np.zeros(0, np.float32)
+        room = np.repeat(np.float32(K1) * (1 - B + B * length.astype(np.float32) / np.float32(mean)), sizes)
+        self.flat_weight = (idf[self.flat] * tf * np.float32(K1 + 1) / (tf + room)).astype(np.float32)
+
+    @cached_property
+    def owner_of(self) -> np.ndarray:
+        return np.repeat(np.arange(self.n), np.diff(self.start))
+
+    @cached_property
+    def postings(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Terms held, first and last posting of each, and the item and weight of each posting."""
+        order = np.argsort(self.flat, kind="stable")
+        held, first = np.unique(self.flat[order], return_index=True)
+        return held, first, np.r_[first[1:], len(self.flat)], self.owner_of[order], self.flat_weight[order]
 
     def scores(self, terms: np.ndarray) -> np.ndarray:
         """BM25 score of every item for the terms."""
-        place = np.searchsorted(self.held, terms)
-        met = place < len(self.held)
-        place = place[met][self.held[place[met]] == terms[met]]
-        at = _ranges(self.first[place], self.last[place])
-        return np.bincount(self.owner[at], self.weight[at], self.n)
+        held, first, last, owner, weight = self.postings
+        place = np.searchsorted(held, terms)
+        met = place < len(held)
+        place = place[met][held[place[met]] == terms[met]]
+        at = _ranges(first[place], last[place])
+        return np.bincount(owner[at], weight[at], self.n)
+
+    @cached_property
+    def columns(self) -> tuple[np.ndarray, int]:
+        """Column of every term of the vocabulary among those held here, -1 for others, and their number."""
+        held = np.zeros(BINS, bool)
+        held[self.flat] = True
+        column = np.full(BINS, -1, np.int32)
+        column[held] = np.arange(int(held.sum()))
+        return column, int(held.sum())
 
     def table(self) -> np.ndarray:
         """The weights as a matrix of items by held terms."""
-        full = np.zeros((self.n, len(self.held)), np.float32)
-        full[np.repeat(np.arange(self.n), np.diff(self.start)), np.searchsorted(self.held, self.flat)] = self.flat_weight
+        column, width = self.columns
+        full = np.zeros((self.n, width), np.float32)
+        full[self.owner_of, column[self.flat]] = self.flat_weight
         return full
 
     def asked(self, terms: list[np.ndarray]) -> np.ndarray:
         """Queries as a matrix of ones at the held terms they ask for."""
-        flat = np.concatenate(terms)
-        place = np.searchsorted(self.held, flat)
-        met = place < len(self.held)
-        met[met] = self.held[place[met]] == flat[met]
-        full = np.zeros((len(terms), len(self.held)), np.float32)
-        full[np.repeat(np.arange(len(terms)), [len(t) for t in terms])[met], place[met]] = 1
+        column, width = self.columns
+        place = column[np.concatenate(terms)]
+        full = np.zeros((len(terms), width), np.float32)
+        full[np.repeat(np.arange(len(terms)), [len(t) for t in terms])[place >= 0], place[place >= 0]] = 1
         return full
 
 
@@ -159,8 +178,7 @@ class Space:
         self.column[hot] = np.arange(len(hot))
         held = np.zeros((sample.n, len(hot)), np.float32)
         at = self.column[sample.flat]
-        owner = np.repeat(np.arange(sample.n), np.diff(sample.start))
-        held[owner[at >= 0], at[at >= 0]] = (sample.flat_weight / self.root[sample.flat])[at >= 0]
+        held[sample.owner_of[at >= 0], at[at >= 0]] = (sample.flat_weight / self.root[sample.flat])[at >= 0]
         y = held @ np.random.default_rng(1).normal(size=(len(hot), DIRECTIONS + 16)).astype(np.float32)
         for _ in range(3):
             y = np.linalg.qr(held @ (held.T @ y))[0]
@@ -216,24 +234,27 @@ def nearest(items: DataFrame, asked: list, space: Space, tree: Tree, idf: np.nda
     return found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= K).drop("place")
 
 
-def _placed(space: Space, tree: Tree, visits: int, idf: np.ndarray, mean: float):
-    """Each item as the member of a leaf, and each seed as a query of every leaf it visits."""
+def _members(space: Space, tree: Tree, idf: np.ndarray, mean: float):
+    """Each item with its leaf."""
 
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
             terms, counts = _arrays(batch.column("terms").to_pylist(), batch.column("counts").to_pylist())
-            leaf = tree.assign(_unit(space.members(Index(terms, counts, idf, mean))))
-            seeds = np.flatnonzero(batch.column("seed").to_numpy(zero_copy_only=False).astype(bool))
-            seen = tree.visits(_unit(space.queries([terms[i] for i in seeds])), visits) if len(seeds) else []
-            at = np.repeat(seeds, [len(x) for x in seen]).astype(np.int64)
-            n = batch.num_rows
-            query = np.r_[np.zeros(n, bool), np.ones(len(at), bool)]
-            rows = pa.array(np.r_[np.arange(n), at])
-            leaves = np.r_[leaf, np.array([y for x in seen for y in x], np.int32)].astype(np.int32)
-            held = pa.array([*batch.column("counts").to_pylist(), *([None] * len(at))], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), batch.column("n_tokens").take(rows), pa.array(leaves), pa.array(query), batch.column("terms").take(rows), held], ["doc_id", "n_tokens", "leaf", "query", "terms", "counts"])
+            leaf = tree.assign(_unit(space.members(Index(terms, counts, idf, mean)))) if batch.num_rows else np.zeros(0, np.int32)
+            yield batch.append_column("leaf", pa.array(leaf, pa.int32()))
+
+    return run
+
+
+def _asking(space: Space, tree: Tree, visits: int):
+    """Each seed as a query of every leaf it visits."""
+
+    def run(batches):
+        for batch in batches:
+            terms = [np.frombuffer(x, np.uint32) for x in batch.column("terms").to_pylist()]
+            seen = tree.visits(_unit(space.queries(terms)), visits) if batch.num_rows else []
+            at = pa.array(np.repeat(np.arange(batch.num_rows), [len(x) for x in seen]).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(k).take(at) for k in range(2)] + [pa.array([y for x in seen for y in x], pa.int32()), batch.column(2).take(at)], ["doc_id", "n_tokens", "leaf", "terms"])
 
     return run
 
@@ -254,18 +275,19 @@ def _block_search(idf: np.ndarray, mean: float, capacity: int | None, k: int):
                     score[sizes[None, :] > capacity - size[:, None]] = 0
                 near = np.argpartition(-score, min(k, len(ids)) - 1, axis=1)[:, :k]
                 a, b = np.nonzero(np.take_along_axis(score, near, 1) > 0)
-                found.append(pd.DataFrame({"q": own[a], "n": ids[near[a, b]], "score": score[a, near[a, b]].astype(np.float64)}))
-        return pd.concat(found, ignore_index=True) if found else pd.DataFrame({"q": np.zeros(0, np.int64), "n": np.zeros(0, np.int64), "score": np.zeros(0)})
+                found.append(pd.DataFrame({"q": own[a], "n": ids[near[a, b]], "size": sizes[near[a, b]], "score": score[a, near[a, b]].astype(np.float64)}))
+        return pd.concat(found, ignore_index=True) if found else pd.DataFrame({"q": np.zeros(0, np.int64), "n": np.zeros(0, np.int64), "size": np.zeros(0, np.int32), "score": np.zeros(0)})
 
     return run
 
 
-def searched(placed: DataFrame, idf: np.ndarray, mean: float, capacity: int | None, k: int) -> DataFrame:
-    """``(q, n, score)``: the k best members for each query in its leaves; with a capacity only those that fit beside it."""
-    sizes = materialise(placed.where("not query").groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    spread = placed.join(F.broadcast(sizes), "leaf").withColumn("block", F.explode(F.when(F.col("query"), every).otherwise(F.array(F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")))))
-    found = spread.groupBy("leaf", "block").applyInPandas(_block_search(idf, mean, capacity, k), "q long, n long, score double")
+def searched(members: DataFrame, space: Space, tree: Tree, idf: np.ndarray, mean: float, visits: int, capacity: int | None, k: int) -> DataFrame:
+    """``(q, n, size, score)``: for the seeds of ``members(doc_id, n_tokens, seed, terms, counts, leaf)`` the k best members of the leaves they visit; with a capacity only those that fit beside them."""
+    sizes = materialise(members.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
+    asks = members.where("seed").select("doc_id", "n_tokens", "terms").mapInArrow(_asking(space, tree, visits), "doc_id long, n_tokens int, leaf int, terms binary")
+    asks = asks.join(F.broadcast(sizes), "leaf").select("leaf", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "doc_id", "n_tokens", F.lit(True).alias("query"), "terms", F.lit(None).cast("binary").alias("counts"))
+    held = members.join(F.broadcast(sizes), "leaf").select("leaf", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"), "doc_id", "n_tokens", F.lit(False).alias("query"), "terms", "counts")
+    found = held.unionAll(asks).groupBy("leaf", "block").applyInPandas(_block_search(idf, mean, capacity, k), "q long, n long, size int, score double")
     place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "n"))
     return found.withColumn("place", place).where(F.col("place") <= k).drop("place")
 
@@ -291,12 +313,10 @@ def _filled(capacity: int):
 def gathered(edges: DataFrame, items: DataFrame, capacity: int) -> DataFrame:
     """``(q, n, size, score)``: each item n once, under the seed q that took it; no seed that holds items is itself taken.
 
-    ``edges(q, n, score)`` are the neighbours of the seeds among ``items(doc_id, n_tokens, seed)``.
+    ``edges(q, n, size, score)`` are the neighbours of the seeds among ``items(doc_id, n_tokens, seed)``.
     """
     spark = items.sparkSession
     taken = spark.createDataFrame([], "q long, n long, size int, score double")
-    size = items.select(F.col("doc_id").alias("n"), F.col("n_tokens").alias("size"))
-    edges = materialise(edges.join(size, "n"))
     for number in range(ROUNDS):
         # large items seed first; the others seed from the second round on if nobody took them
         asks = items.where("seed" if number else F.col("n_tokens") * 2 > capacity).select(F.col("doc_id").alias("q"), "n_tokens")
@@ -388,7 +408,13 @@ def indexed(items: DataFrame, leaf_rows: int) -> tuple[np.ndarray, float, Space,
 
 def _counted(texts: DataFrame, vocabulary: str, capacity: int) -> DataFrame:
     items = texts.where(F.col("key").isNotNull() & (F.length("text") > 0)).select("key", "text")
-    return materialise(items.mapInArrow(_items(capacity, vocabulary), "doc_id long, size int, terms binary, counts binary").dropDuplicates(["doc_id"]))
+    items = stored(items.mapInArrow(_items(capacity, vocabulary), "doc_id long, size int, terms binary, counts binary"))
+    # only keys are grouped to see whether any is repeated; the wide rows travel only if one is
+    if items.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return items
+    once = stored(items.dropDuplicates(["doc_id"]))
+    discard(items)
+    return once
 
 
 def pack(texts: DataFrame, capacity: int = CAPACITY, shard_items: int = SHARD_ITEMS, vocabulary: str = tokens.VOCABULARY, visits: int = VISITS) -> DataFrame:
@@ -396,42 +422,49 @@ def pack(texts: DataFrame, capacity: int = CAPACITY, shard_items: int = SHARD_IT
     if capacity < 1:
         raise ValueError("the capacity must be at least one token")
     items = _counted(texts, vocabulary, capacity)
+    spark = items.sparkSession
     idf, mean, space, tree = indexed(items, shard_items)
     cut = items.mapInArrow(_cut(capacity), "doc_id long, start_token int, n_tokens int, terms binary, counts binary")
-    whole = cut.where("terms is null").select(F.concat_ws("-", F.lit("w"), "doc_id", "start_token").alias("container_id"), F.lit(0).alias("item_pos"), "doc_id", "start_token", "n_tokens")
+    whole = stored(cut.where("terms is null").select(F.concat_ws("-", F.lit("w"), "doc_id", "start_token").alias("container_id"), F.lit(0).alias("item_pos"), "doc_id", "start_token", "n_tokens"))
     seed = (F.col("n_tokens") * 2 > capacity) | (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(SEED_EVERY)) == 0)
-    rest = cut.where("terms is not null").withColumn("seed", seed)
-    small = materialise(rest.select("doc_id", "start_token", "n_tokens", "seed"))
-    placed = rest.select("doc_id", "n_tokens", "seed", "terms", "counts").mapInArrow(_placed(space, tree, visits, idf, mean), "doc_id long, n_tokens int, leaf int, query boolean, terms binary, counts binary")
-    edges = materialise(searched(placed, idf, mean, capacity, NEIGHBOURS))
+    rest = cut.where("terms is not null").select("doc_id", "start_token", "n_tokens", seed.alias("seed"), "terms", "counts")
+    members = stored(rest.mapInArrow(_members(space, tree, idf, mean), f"doc_id long, start_token int, {MEMBERS}, leaf int"))
+    discard(items)
+    small = stored(members.select("doc_id", "start_token", "n_tokens", "seed"))
+    edges = stored(searched(members, space, tree, idf, mean, visits, capacity, NEIGHBOURS))
     taken = gathered(edges, small, capacity)
+    discard(edges)
 
     # units: a seed with what it took, or an item alone; the terms are those of the seed
     more = taken.groupBy(F.col("q").alias("doc_id")).agg(F.sum("size").alias("more"))
-    members = materialise(placed.where("not query").select("doc_id", "n_tokens", "leaf", "terms", "counts"))
     alone = members.join(taken.select(F.col("n").alias("doc_id")), "doc_id", "left_anti")
-    units = materialise(alone.join(more, "doc_id", "left").select("doc_id", (F.col("n_tokens") + F.coalesce("more", F.lit(0))).cast("int").alias("n_tokens"), "leaf", "terms", "counts"))
+    units = stored(alone.join(more, "doc_id", "left").select("doc_id", (F.col("n_tokens") + F.coalesce("more", F.lit(0))).cast("int").alias("n_tokens"), "leaf", "terms", "counts"))
     shape = "container_id string, place int, doc_id long, leaf int, n_tokens int, filled long, terms binary, counts binary"
 
-    def shards(of: DataFrame, tag: str, most: int) -> DataFrame:
-        """Packed in shards of neighbouring leaves; a shard above ``most`` items is split."""
-        groups = min(len(tree.leaves), max(1, -(-of.count() // most)))
-        of = of.withColumn("leaf_group", F.floor(F.col("leaf") * F.lit(groups) / F.lit(len(tree.leaves))))
-        parts = materialise(of.groupBy("leaf_group").agg(F.ceil(F.count("*") / most).alias("parts")))
-        split = of.join(F.broadcast(parts), "leaf_group").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(tag)), F.col("parts")))
-        return materialise(split.groupBy("leaf_group", "part").applyInPandas(_packer(capacity, idf, mean, tag), shape))
+    def shards(of: DataFrame, tag: str, most: int, apart: bool = False) -> DataFrame:
+        """Packed in shards of neighbouring leaves, or each leaf apart; a shard above ``most`` items is split."""
+        sizes = {r["leaf"]: r["count"] for r in of.groupBy("leaf").count().collect()}  # one row for each leaf, of which the sample bounds the number
+        groups = len(tree.leaves) if apart else min(len(tree.leaves), max(1, -(-sum(sizes.values()) // most)))
+        group = {leaf: leaf * groups // len(tree.leaves) for leaf in sizes}
+        held = Counter()
+        for leaf, n in sizes.items():
+            held[group[leaf]] += n
+        places = spark.createDataFrame([(leaf, g, -(-held[g] // most)) for leaf, g in group.items()], "leaf int, leaf_group int, parts int")
+        split = of.join(F.broadcast(places), "leaf").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(tag)), F.col("parts")))
+        return stored(split.groupBy("leaf_group", "part").applyInPandas(_packer(capacity, idf, mean, tag), shape))
 
     good = F.col("filled") >= FULL * capacity
-    now = shards(units, "a", shard_items)
+    now = shards(units, "a", shard_items, apart=True)
     of = small.select("doc_id", "start_token", "n_tokens").join(taken.select(F.col("n").alias("doc_id"), "q", "score"), "doc_id", "left")
     # what a poor container of units holds is packed again item by item
     poor = materialise(of.select("doc_id", F.coalesce("q", "doc_id").alias("unit")).join(now.where(~good).select(F.col("doc_id").alias("unit")), "unit").select("doc_id"))
     packed = now.where(good)
     for number in range(1, AGAIN + 1):
-        todo = members.join(poor, "doc_id") if number == 1 else now.where(~good).select("doc_id", "n_tokens", "leaf", "terms", "counts")
+        todo = stored(members.join(poor, "doc_id").select("doc_id", "n_tokens", "leaf", "terms", "counts")) if number == 1 else now.where(~good).select("doc_id", "n_tokens", "leaf", "terms", "counts")
         now = shards(todo, f"{chr(97 + number)}", shard_items * WIDER ** (number - 1))
         packed = packed.unionByName(now if number == AGAIN else now.where(good))
-    packed = materialise(packed.select("container_id", "place", F.col("doc_id").alias("unit")))
+    packed = stored(packed.select("container_id", "place", F.col("doc_id").alias("unit")))
+    discard(members)
     within = of.join(poor.withColumn("back", F.lit(True)), "doc_id", "left").withColumn("q", F.when(F.col("back").isNull(), F.col("q")))
     within = within.select(F.coalesce("q", "doc_id").alias("unit"), "doc_id", "start_token", "n_tokens", F.col("q").isNotNull().alias("under"), "score").join(packed, "unit")
     order = Window.partitionBy("container_id").orderBy("place", "under", F.desc("score"), "doc_id")
@@ -464,8 +497,8 @@ def p7_recall(spark: SparkSession, folder: str) -> DataFrame:
     exact = nearest(items, asked, space, tree, idf, mean)
     wanted = spark.createDataFrame([(r.doc_id,) for r in asked], "doc_id long").withColumn("seed", F.lit(True))
     all_items = items.join(F.broadcast(wanted), "doc_id", "left").select("doc_id", F.col("size").alias("n_tokens"), F.coalesce("seed", F.lit(False)).alias("seed"), "terms", "counts")
-    placed = all_items.mapInArrow(_placed(space, tree, VISITS, idf, mean), "doc_id long, n_tokens int, leaf int, query boolean, terms binary, counts binary")
-    reached = searched(placed, idf, mean, None, K).select("q", "n", F.lit(1).alias("hit"))
+    members = stored(all_items.mapInArrow(_members(space, tree, idf, mean), f"doc_id long, {MEMBERS}, leaf int"))
+    reached = searched(members, space, tree, idf, mean, VISITS, None, K).select("q", "n", F.lit(1).alias("hit"))
     met = exact.join(reached, ["q", "n"], "left").agg(F.countDistinct("q").alias("n_queries"), F.round(F.avg(F.coalesce("hit", F.lit(0))), 4).alias("recall"))
     return met.where("n_queries > 0").withColumn("leaves_visited", F.lit(min(VISITS, len(tree.leaves)))).withColumn("leaves", F.lit(len(tree.leaves)))
 
