@@ -283,11 +283,14 @@ def _value(text: str) -> int:
     return sum((ord(c) % CODES) ** 5 for c in text) % WRAP
 
 
-def _differences(words: DataFrame) -> DataFrame:
-    """``words`` with a row for each one or two neighbouring characters ``taken`` away at ``at``: the hash that is left."""
-    places = lambda n: F.transform(F.when(F.length("word") >= n, F.sequence(F.lit(1), F.length("word") - (n - 1))).otherwise(F.array().cast("array<int>")), lambda i: F.struct(i.alias("at"), F.substring(F.col("word"), i, F.lit(n)).alias("taken")))
-    taken = words.withColumn("x", F.explode(F.concat(places(1), places(2)))).select(*words.columns, "x.at", "x.taken")
-    return taken.withColumn("left", F.pmod(F.col("hash") - anagram(F.col("taken")), F.lit(WRAP)))
+def _differences(words: DataFrame, *columns: str) -> DataFrame:
+    """``id`` and ``columns`` of the words with a row for each one or two neighbouring characters ``taken`` away at ``at``: the hash
+    that is left. The words themselves stay behind, so that a long one does not travel with each of its places."""
+    chars = F.filter(F.split("word", ""), lambda x: x != "")
+    one = F.transform("chars", lambda x, i: F.struct((i + 1).alias("at"), x.alias("taken")))
+    two = F.transform(F.slice(F.col("chars"), F.lit(1), F.greatest(F.size("chars") - 1, F.lit(0))), lambda x, i: F.struct((i + 1).alias("at"), F.concat(x, F.get(F.col("chars"), i + 1)).alias("taken")))
+    taken = words.select("id", "hash", *columns, chars.alias("chars")).select("id", "hash", *columns, F.explode(F.concat(one, two)).alias("x"))
+    return taken.select("id", *columns, "x.at", "x.taken", F.pmod(F.col("hash") - anagram(F.col("x.taken")), F.lit(WRAP)).alias("left"))
 
 
 def _ratio() -> Column:
@@ -304,10 +307,13 @@ def vocabulary(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def confusions(rare: DataFrame, frequent: DataFrame) -> dict[tuple[str, str], int]:
     """The confusions (as read, as printed) that enough of the corpus' words show, with the number of words."""
-    read = _differences(rare).select("left", "at", "word", "n", "odd", F.col("taken").alias("read"))
-    right = _differences(frequent).select("left", "at", F.col("word").alias("printed"), "n_printed", F.col("taken").alias("print"))
+    rare, frequent = (materialise(x.withColumn("id", F.monotonically_increasing_id())) for x in (rare, frequent))
+    read = _differences(rare, "n", "odd").withColumnsRenamed({"id": "read_id", "taken": "read"})
+    right = _differences(frequent, "n_printed").withColumnsRenamed({"id": "print_id", "taken": "print"})
+    # a word meets itself here too, and is left out as it is no more frequent than itself
+    met = read.join(right, ["left", "at"]).where(F.col("n_printed") >= F.col("n") * _ratio())
+    met = met.join(rare.select(F.col("id").alias("read_id"), "word"), "read_id").join(frequent.select(F.col("id").alias("print_id"), F.col("word").alias("printed")), "print_id")
     tail = lambda word, taken: F.substring(F.col(word), F.col("at") + F.length(taken), F.length(word))
-    met = read.join(right, ["left", "at"]).where((F.col("word") != F.col("printed")) & (F.col("n_printed") >= F.col("n") * _ratio()))
     met = met.where((F.substring(F.col("word"), F.lit(1), F.col("at") - 1) == F.substring(F.col("printed"), F.lit(1), F.col("at") - 1)) & (tail("word", "read") == tail("printed", "print")))
     # one of the two is a single character that the other does not hold, else less would do
     met = met.where((F.least(F.length("read"), F.length("print")) == 1) & ~F.contains("read", "print") & ~F.contains("print", "read"))
@@ -357,7 +363,8 @@ def _agree(held: dict[tuple[str, str], int]):
 def corrections(counts: DataFrame, joined: DataFrame) -> DataFrame:
     """``(word, printed)``: the correction of each misread word of ``counts(word, n)`` and of the joined words ``joined(word)``."""
     every = counts.select("word", "n").unionAll(joined.select("word", F.lit(1).cast("long"))).groupBy("word").agg(F.max("n").alias("n"))
-    rare, frequent = (materialise(x) for x in vocabulary(counts))
+    rare, frequent = vocabulary(counts)
+    frequent = materialise(frequent)
     held = confusions(rare, frequent)
     rare = vocabulary(every)[0]
     pairs = [(b, "", False, _value(a) - _value(b)) for a, b in held]

@@ -144,6 +144,15 @@ def test_confusions_come_from_the_corpus(spark):
     assert found == {(key, w) for key, _, w in wrong} | {("two", "garden")}
 
 
+def test_words_of_any_length(spark):
+    long = "".join(random.Random(4).choices("abcdefghijklmnopqrstuvwxyz", k=30_000))
+    rows = [("a", f"{long} {long}"), ("b", long), ("c", f"{long[:-1]}9 " * 2), ("d", "x" * 50_000)]
+    found = scans.defects(spark.createDataFrame(rows, "record_key string, text string")).collect()
+    assert found == []
+    held = spark.createDataFrame([("abc", 7, 1)], "word string, hash long, id long")
+    assert {(r["at"], r.taken) for r in scans._differences(held).collect()} == {(1, "a"), (2, "b"), (3, "c"), (1, "ab"), (2, "bc")}
+
+
 def test_breaks_go_on_behind_any_number_of_empty_lines():
     lines = ["the insu-", *[""] * 40, "lated cables", "and a depot with-", "out delay"]
     assert [x[:4] for x in scans.breaks(lines, {})] == [(0, "insu", "lated", 41), (0, "insu", "and", 42), (0, "insu", "out", 43), (42, "with", "out", 43)]
