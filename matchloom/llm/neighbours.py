@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import heapq
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -38,6 +39,8 @@ from matchloom.session import materialise, table
 DIMENSIONS, K = 64, 5
 SAMPLE, CALIBRATION = 50_000, 2_000
 BRANCHES, LEAF_SAMPLE, ROUNDS = 24, 25, 8
+#: Queries whose distances to all nodes are held at once.
+ORDERED = 256
 #: Rows that a leaf is meant to hold; it holds more once the sample has too few rows for so many leaves.
 LEAF_ROWS = 1_000
 BUCKET = 32_768
@@ -71,23 +74,27 @@ class Tree:
 
     def visits(self, unit: np.ndarray, most: int) -> list[list[int]]:
         """The first ``most`` leaves of each query, best bin first."""
-        if -1 in self.leaves:
-            return [[0]] * len(unit)
-        cost = 1 - unit @ self.centres.T
-        return [self._order(row, most) for row in cost.tolist()]
-
-    def _order(self, cost: list[float], most: int) -> list[int]:
-        queue = [(cost[c], c) for c in self.children[-1]]
+        return [list(islice(order, most)) for order in self.orders(unit)]
+
+    def orders(self, unit: np.ndarray):
+        """For each query the leaves, best bin first, as far as they are asked for; costs stand for a few queries at a time."""
+        for i in range(0, len(unit), ORDERED):
+            cost = 1 - unit[i : i + ORDERED] @ self.centres.T if -1 not in self.leaves else unit[i : i + ORDERED]
+            for row in cost:
+                yield self._order(row) if -1 not in self.leaves else iter([0])
+
+    def _order(self, cost: np.ndarray):
+        own = self.children[-1]
+        queue = list(zip(cost[own].tolist(), own))
         heapq.heapify(queue)
-        found = []
-        while queue and len(found) < most:
+        while queue:
             _, node = heapq.heappop(queue)
             if node in self.leaves:
-                found.append(self.leaves[node])
+                yield self.leaves[node]
             else:
-                for child in self.children[node]:
-                    heapq.heappush(queue, (cost[child], child))
-        return found
+                own = self.children[node]
+                for found in zip(cost[own].tolist(), own):
+                    heapq.heappush(queue, found)
 
 
 def fit(sample: np.ndarray, branches: int = BRANCHES, leaf: int = LEAF_SAMPLE, seed: int = 1) -> Tree:
@@ -199,7 +206,7 @@ def _placed(tree: Tree, buckets: Buckets, visits: int):
             own, asked = tree.assign(unit), np.flatnonzero(batch.column(2).to_numpy(zero_copy_only=False).astype(bool))
             home = buckets.first[own] + (_mixed(ids) % buckets.parts[own]).astype(np.int32)
             at, where, seen = [], [], []
-            for i, leaves in zip(asked.tolist(), tree.visits(unit[asked], visits) if len(asked) else []):
+            for i, leaves in zip(asked.tolist(), (islice(x, visits) for x in tree.orders(unit[asked]))):
                 by: dict[int, list[int]] = {}
                 for leaf in leaves:
                     for part in range(int(buckets.parts[leaf])):
@@ -302,6 +309,24 @@ def _nearest_of_sample(ids: np.ndarray, sample: np.ndarray, tree: Tree, k: int):
     return run
 
 
+def _steps(tree: Tree, sample: np.ndarray, asked: list[tuple[int, int]]) -> dict[tuple[int, int], int]:
+    """How many leaves the query ``at`` has visited when it comes to ``leaf``, for each ``(at, leaf)`` asked for. A walk ends
+    with the last leaf asked of it, and nothing else of it is kept: orders of all leaves would fill the driver."""
+    wanted: dict[int, set[int]] = {}
+    for at, leaf in asked:
+        wanted.setdefault(at, set()).add(leaf)
+    found = {}
+    for at, order in enumerate(tree.orders(sample)):
+        left = set(wanted.get(at, ()))
+        for step, leaf in enumerate(order if left else (), 1):
+            if leaf in left:
+                found[at, leaf] = step
+                left.discard(leaf)
+                if not left:
+                    break
+    return found
+
+
 def calibrated(firsts: DataFrame, tree: Tree, n: int, k: int, least: float, recall: float, calibration: int = CALIBRATION) -> int:
     """The fewest leaves a query must visit for the wanted recall on a calibration set."""
     if len(tree.leaves) == 1:
@@ -314,10 +339,10 @@ def calibrated(firsts: DataFrame, tree: Tree, n: int, k: int, least: float, reca
     near = firsts.select("id", "vec").mapInArrow(_nearest_of_sample(ids, sample, tree, k), "at long, similarity double, leaf int")
     place = F.row_number().over(Window.partitionBy("at").orderBy(F.desc("similarity"), "leaf"))
     near = near.withColumn("place", place).where(F.col("place") <= k).collect()  # at most k rows for each sample vector
-    order = [{leaf: i for i, leaf in enumerate(x, 1)} for x in tree.visits(sample, len(tree.leaves))]
-    needed = sorted(order[r["at"]][r["leaf"]] for r in near if r["similarity"] >= least)
+    steps = _steps(tree, sample, [(r["at"], r["leaf"]) for r in near])
+    needed = sorted(steps[r["at"], r["leaf"]] for r in near if r["similarity"] >= least)
     if len(needed) < LEAST_CALIBRATION:
-        needed = sorted(order[r["at"]][r["leaf"]] for r in near if r["similarity"] >= least or r["place"] == 1)
+        needed = sorted(steps[r["at"], r["leaf"]] for r in near if r["similarity"] >= least or r["place"] == 1)
     if not needed:
         return min(3, len(tree.leaves))
     return max(min(2, len(tree.leaves)), needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)])

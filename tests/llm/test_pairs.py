@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -259,6 +260,21 @@ def test_tree_visits_are_best_first():
     assert (tree.assign(data) >= 0).all()
 
 
+def test_calibration_holds_no_orders_of_all_leaves(spark):
+    """With a leaf for each vector, orders of all leaves for all queries would take over 100 MB of the driver."""
+    data = np.random.default_rng(6).normal(size=(1200, 64)).astype(np.float32)
+    data /= np.linalg.norm(data, axis=1, keepdims=True)
+    tree = neighbours.fit(data, 2, 1)
+    firsts = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(data)], "id long, vec binary").localCheckpoint()
+    tracemalloc.start()
+    try:
+        visits = neighbours.calibrated(firsts, tree, 1200, 5, -1.0, 1.0)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(tree.leaves) > 1000 and 1 < visits <= len(tree.leaves) and peak < 40e6
+
+
 def test_recall_is_reached(spark, sf):
     assert all(r.recall >= 0.9 for r in neighbours.p3_recall(spark, sf).collect())
 
