@@ -40,7 +40,7 @@ class Profiles:
 
 
 def _near(queries: DataFrame, chunks: DataFrame, n: int, index: Inverted | None) -> DataFrame:
-    return nearest(queries, chunks.select("id", "vector"), n) if index is None else approximately_nearest(queries, index, n)
+    return nearest(queries, chunks, n) if index is None else approximately_nearest(queries, index, n)
 
 
 def multi_vector_scores(vectors: DataFrame, chunks: DataFrame, n: int, weight: float = DEFAULTS.weight_multi, index: Inverted | None = None) -> DataFrame:
@@ -79,10 +79,11 @@ def hybrid(corpus: Corpus, profiles: Profiles, now: Column, k: int = 10, config:
     scores = fused(*parts, keys=["profile", "id"])
     best = Window.partitionBy("profile").orderBy(F.desc("score"), "id")
     scores = scores.withColumn("place", F.row_number().over(best)).where(F.col("place") <= 5 * k)
-    scores = scores.join(corpus.chunks.select("id", "owner", "document"), "id")
+    scores = scores.join(corpus.chunks.select("id", "owner"), "id")
     kept = _with_documents(scores, corpus, now, profiles.filters)
     kept = kept.withColumn("nth", F.row_number().over(Window.partitionBy("profile", "owner").orderBy(F.desc("score"), "id"))).where("nth = 1")
     kept = kept.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
+    kept = kept.join(corpus.chunks.select("id", "document"), "id")  # texts only of what is shown
     words = F.array().cast("array<string>")
     if profiles.keywords is not None:
         kept = kept.join(profiles.keywords, "profile", "left")
@@ -136,7 +137,7 @@ def legacy(corpus: Corpus, profiles: Profiles, now: Column, k: int = 5, config:
 
 def profile_snippets(snippets: DataFrame, profile_chunks: DataFrame, owners: DataFrame, n: int = 5) -> DataFrame:
     """For each of ``snippets(profile, qid, vector)`` the best of its n nearest profile chunks that belongs to the profile; empty if none does."""
-    found = nearest(snippets.select("qid", "vector"), profile_chunks.select("id", "vector"), n)
+    found = nearest(snippets.select("qid", "vector"), profile_chunks, n)
     found = found.join(profile_chunks.select("id", F.col("owner").alias("file_hash"), "document"), "id").join(snippets.select("profile", "qid"), "qid").join(owners, ["profile", "file_hash"])
     best = found.groupBy("profile", "qid").agg(F.min_by("document", F.struct("place", "id")).alias("document"))
     return snippets.select("profile", "qid").join(best, ["profile", "qid"], "left").select("profile", "qid", snippet(F.col("document")).alias("profile_snippet"))

@@ -13,7 +13,7 @@ from matchloom.operators.embed import embedded
 from matchloom.operators.vectors import fused, multi_vector_similarity, nearest, pooled, scored
 from matchloom.plans import tables
 from matchloom.plans.tables import MEANS_SQL, NOW, REPS_SQL, chunks_sql, combined_sql, current, current_sql, distance_sql, tender_chunks_sql, tokens_sql, vectors_sql
-from matchloom.session import materialise, table
+from matchloom.session import materialise, stored, table
 
 K = 5
 FIELD_FILTERS = {"tender_ref_no": "20", "document_type": "no"}
@@ -119,7 +119,7 @@ def _questions(spark: SparkSession, folder: str) -> DataFrame:
 
 def _single(weight: float, asked):
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        found = search.single_vector_scores(asked(spark, folder), tables.vectors(spark, folder).select("id", "vector"), K, weight)
+        found = search.single_vector_scores(asked(spark, folder), tables.vectors(spark, folder), K, weight)
         return found.select("profile", "id", F.round("score", 6).alias("score"))
 
     return run
@@ -130,7 +130,7 @@ mean_search_weighted = _single(0.8, tables.profile_means)
 
 def query_search_weighted(spark: SparkSession, folder: str) -> DataFrame:
     asked = spark.createDataFrame([("q", QUESTION)], "profile string, query string").withColumn("vector", embedded(F.col("query")))
-    return search.single_vector_scores(asked, tables.vectors(spark, folder).select("id", "vector"), 50, 0.9).select("profile", "id", F.round("score", 6).alias("score"))
+    return search.single_vector_scores(asked, tables.vectors(spark, folder), 50, 0.9).select("profile", "id", F.round("score", 6).alias("score"))
 
 
 def combined_vectors(spark: SparkSession, folder: str) -> DataFrame:
@@ -212,7 +212,7 @@ def profile_snippet(spark: SparkSession, folder: str) -> DataFrame:
     """For each profile's best hit the snippet of its own chunks that explains it."""
     hits = search.hybrid(_corpus(spark, folder), _asking(spark, folder), tables.now(), 1)
     asked = materialise(hits.select("profile", F.concat_ws("|", "profile", "chunk_id").alias("qid"), embedded(F.col("tender_snippet")).alias("vector")))
-    own = materialise(embedded_chunks(tables.own_chunks(spark, folder)))
+    own = stored(embedded_chunks(tables.own_chunks(spark, folder)))
     owners = tables.profile_means(spark, folder).select("profile", F.col("profile").alias("file_hash"))
     return search.profile_snippets(asked, own, owners).select("profile", "profile_snippet")
 

@@ -31,6 +31,31 @@ def test_nearest_is_exact(spark, block):
         assert [got[f"q{i}", p + 1] for p in range(5)] == [f"c{j:02}" for j in order]
 
 
+def test_nearest_shuffles_no_copies_of_the_corpus(spark):
+    """Many blocks, and more ties at the n-th place than are kept: the lower ids win, and nothing is copied to each pair of blocks."""
+    random = np.random.default_rng(2)
+    corpus, asked = random.normal(size=(600, 32)), random.normal(size=(300, 32))
+    corpus[100:400] = corpus[100]
+    asked[7] = corpus[100]
+    asked[8] = asked[9]
+    rows = spark.createDataFrame([(f"c{(7 * i) % 600:03}", v.tolist()) for i, v in enumerate(corpus)], "id string, vector array<double>").localCheckpoint()
+    asking = spark.createDataFrame([(f"q{i}", v.tolist()) for i, v in enumerate(asked)], "qid string, vector array<double>").localCheckpoint()
+
+    def written():
+        context = spark.sparkContext._jsc.sc()
+        context.listenerBus().waitUntilEmpty(30_000)
+        return sum(context.statusStore().executorList(False).apply(i).totalShuffleWrite() for i in range(context.statusStore().executorList(False).size()))
+
+    before = written()
+    got = {(r.qid, r.place): r.id for r in nearest(asking, rows, 5, 16).collect()}
+    assert written() - before < 4 * 32 * 8 * (600 + 300)
+    d = np.round(1 - asked @ corpus.T / np.linalg.norm(asked, axis=1)[:, None] / np.linalg.norm(corpus, axis=1), 9)
+    for i in range(300):
+        order = sorted((d[i, j], f"c{(7 * j) % 600:03}") for j in range(600))[:5]
+        assert [got[f"q{i}", p + 1] for p in range(5)] == [name for _, name in order]
+    assert len(got) == 1500
+
+
 def test_nearest_of_nothing(spark):
     empty = spark.createDataFrame([], "id string, vector array<double>")
     assert nearest(empty.withColumnRenamed("id", "qid"), empty, 3).count() == 0
