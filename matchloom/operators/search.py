@@ -120,17 +120,20 @@ def legacy(corpus: Corpus, profiles: Profiles, now: Column, k: int = 5, config:
         asked = asked.select("profile", "query", combined(F.col("vector"), F.col("query_vector")).alias("vector"))
     n = max(50, k) if profiles.queries is not None else k
     found = scored(_near(asked.select(F.col("profile").alias("qid"), "vector"), corpus.chunks, n, corpus.index), 1.0)
-    found = found.select(F.col("qid").alias("profile"), "id", F.round("score", 4).alias("score")).join(corpus.chunks.select("id", F.col("owner").alias("own"), F.col("tender_id").alias("chunk_tender"), "chunk_index", "document"), "id")
+    found = found.select(F.col("qid").alias("profile"), "id", F.round("score", 4).alias("score"))
+    text = ["document"] if profiles.queries is not None else []
+    if text:
+        found = found.join(profiles.queries.select("profile", "query"), "profile", "left")
+    found = found.join(corpus.chunks.select("id", F.col("owner").alias("own"), F.col("tender_id").alias("chunk_tender"), "chunk_index", *text), "id")
+    rerank = F.col("score")
+    if text:  # scored at once, so that no text travels on
+        words = F.round(overlap_score(F.col("query"), snippet(F.col("document"), config.snippet_chars)) * config.weight_keyword + F.col("score") * config.weight_vector, 4)
+        rerank = F.when(F.trim(F.coalesce("query", F.lit(""))) != "", words).otherwise(F.col("score"))
+    found = found.withColumn("rerank_score", rerank).drop("query", "document")
     # the document of the chunk's tender, of several the least id; else the chunk's own
     by_tender = corpus.documents.where("tender_id is not null").groupBy(F.col("tender_id").alias("chunk_tender")).agg(F.min("_id").alias("theirs"))
     found = found.join(by_tender, "chunk_tender", "left").withColumn("owner", F.coalesce("theirs", "own"))
-    kept = _with_documents(found, corpus, now, profiles.filters).withColumn("tender_snippet", snippet(F.col("document"), config.snippet_chars))
-    rerank = F.col("score")
-    if profiles.queries is not None:
-        kept = kept.join(profiles.queries.select("profile", "query"), "profile", "left")
-        words = F.round(overlap_score(F.col("query"), F.col("tender_snippet")) * config.weight_keyword + F.col("score") * config.weight_vector, 4)
-        rerank = F.when(F.trim(F.coalesce("query", F.lit(""))) != "", words).otherwise(F.col("score"))
-    kept = kept.withColumn("rerank_score", rerank)
+    kept = _with_documents(found, corpus, now, profiles.filters)
     kept = kept.withColumn("place", F.row_number().over(Window.partitionBy("profile").orderBy(F.desc("rerank_score"), "id"))).where(F.col("place") <= k)
     return kept.select("profile", F.col("chunk_tender").alias("tender_id"), F.col("own").alias("document_id"), "chunk_index", "score", "rerank_score", F.col("rerank_score").alias("final_score"), "title", F.col("ref_no").alias("tender_ref_no"), "duration", F.col("doc_source").alias("source"), "place")
 
