@@ -293,3 +293,15 @@ def test_a_given_total_stops_at_the_caps(spark):
     _, report = mixture.mixture(table, targets, total_tokens=10_000_000)
     found = {r.source: r for r in report.collect()}
     assert found["one"].tokens == found["one"].available_tokens and found["one"].most_uses == 1 and found["none"].tokens == 0
+
+
+def test_removal_goes_through_templates_at_the_strict_setting(spark, monkeypatch):
+    """Lines are grouped by their leaves' templates in each partition and over partitions, also where all slots must agree."""
+    used, grouped = [], site_lines._grouped
+    monkeypatch.setattr(site_lines, "_grouped", lambda least: used.append(least) or grouped(least))
+    repeated, near = "Page 7 of the public tender notice", "Page 7 of the public tender letter <*>"
+    rows = [(f"d{i}", "s", f"{repeated}\nonly in document {'abcdefgh'[i] * 9}\n{near if i < 5 else ''}") for i in range(8)]
+    found, templates = site_lines.repeated_lines(spark.createDataFrame(rows, "document_id string, source string, text string"))
+    assert sorted((r.document_id, r.line_no) for r in found.collect()) == [(f"d{i}", 1) for i in range(8)]
+    assert [(r.template, r.n_documents) for r in templates.collect()] == [("page 0 of the public tender notice", 8)]
+    assert used == [1.0, 1.0]
