@@ -405,7 +405,8 @@ def defects(texts: DataFrame) -> DataFrame:
     marks = fixes.select(F.expr(f"xxhash64(word) & {BITS - 1}").alias("place"))
     marks = marks.select(F.expr("cast(place div 32 as int)").alias("at"), F.expr("shiftleft(1L, cast(place % 32 as int))").alias("mark"))
     bits = np.zeros(BITS // 32, np.uint32)
-    for row in marks.groupBy("at").agg(F.bit_or("mark").alias("mark")).toLocalIterator():  # at most BITS / 32 rows
+    # at most BITS / 32 rows; an iterator would be read after its shuffle files are deleted
+    for row in marks.groupBy("at").agg(F.bit_or("mark").alias("mark")).collect():
         bits[row["at"]] = row["mark"]
     at = texts.mapInArrow(_located(bits.view(np.uint8)), SHAPE).select("record_key", "line_no", F.col("a").alias("word"))
     misread = at.join(fixes, "word").select("record_key", "line_no", F.lit("char").alias("defect"), F.col("printed").alias("repaired"), F.col("word").alias("read"))

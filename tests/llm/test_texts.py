@@ -132,6 +132,15 @@ def test_scan_defects(spark):
     assert scans.defects(scanned(spark).limit(0)).count() == 0
 
 
+def test_marks_are_read_within_their_query(spark, monkeypatch):
+    # the shuffle files of a query go when its call returns, which for an iterator is before its rows are read
+    def later(*_):
+        raise AssertionError("read after its shuffle files are deleted")
+
+    monkeypatch.setattr(type(spark.range(1)), "toLocalIterator", later)
+    assert scans.defects(scanned(spark)).where("record_key = 's' AND defect = 'char'").count() == 2
+
+
 PRINTED = "engine bridge drainage garden gravel bargain harbour market timber number member summer camp hammer helmet channel chapter hospital anchor".split()
 
 
