@@ -13,6 +13,7 @@ from matchloom.functions.vectors import combined
 from matchloom.operators.approximate import Inverted, approximately_nearest
 from matchloom.operators.state import live
 from matchloom.operators.vectors import fused, nearest, scored
+from matchloom.session import discard, stored
 
 Filters = dict[str, str | None]
 
@@ -78,11 +79,12 @@ def hybrid(corpus: Corpus, profiles: Profiles, now: Column, k: int = 10, config:
         parts.append(single_vector_scores(profiles.queries.select("profile", "vector"), corpus.chunks, 2 * k, config.weight_query, corpus.index))
     scores = fused(*parts, keys=["profile", "id"])
     best = Window.partitionBy("profile").orderBy(F.desc("score"), "id")
-    scores = scores.withColumn("place", F.row_number().over(best)).where(F.col("place") <= 5 * k)
-    scores = scores.join(corpus.chunks.select("id", "owner"), "id")
-    kept = _with_documents(scores, corpus, now, profiles.filters)
+    # written in steps, so that the shuffles of the search, of the documents and of the texts are not on disk at once
+    scores = stored(scores.withColumn("place", F.row_number().over(best)).where(F.col("place") <= 5 * k))
+    kept = _with_documents(scores.join(corpus.chunks.select("id", "owner"), "id"), corpus, now, profiles.filters)
     kept = kept.withColumn("nth", F.row_number().over(Window.partitionBy("profile", "owner").orderBy(F.desc("score"), "id"))).where("nth = 1")
-    kept = kept.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
+    kept = stored(kept.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k))
+    discard(scores)
     kept = kept.join(corpus.chunks.select("id", "document"), "id")  # texts only of what is shown
     words = F.array().cast("array<string>")
     if profiles.keywords is not None:

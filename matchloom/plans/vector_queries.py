@@ -13,7 +13,7 @@ from matchloom.operators.embed import embedded
 from matchloom.operators.vectors import fused, multi_vector_similarity, nearest, pooled, scored
 from matchloom.plans import tables
 from matchloom.plans.tables import MEANS_SQL, NOW, REPS_SQL, chunks_sql, combined_sql, current, current_sql, distance_sql, tender_chunks_sql, tokens_sql, vectors_sql
-from matchloom.session import materialise, stored, table
+from matchloom.session import discard, materialise, stored, table
 
 K = 5
 FIELD_FILTERS = {"tender_ref_no": "20", "document_type": "no"}
@@ -210,8 +210,10 @@ def legacy_search_with_query(spark: SparkSession, folder: str) -> DataFrame:
 
 def profile_snippet(spark: SparkSession, folder: str) -> DataFrame:
     """For each profile's best hit the snippet of its own chunks that explains it."""
-    hits = search.hybrid(_corpus(spark, folder), _asking(spark, folder), tables.now(), 1)
+    corpus = _corpus(spark, folder)
+    hits = search.hybrid(corpus, _asking(spark, folder), tables.now(), 1)
     asked = materialise(hits.select("profile", F.concat_ws("|", "profile", "chunk_id").alias("qid"), embedded(F.col("tender_snippet")).alias("vector")))
+    discard(corpus.chunks)  # the profiles' own chunks are searched next
     own = stored(embedded_chunks(tables.own_chunks(spark, folder)))
     owners = tables.profile_means(spark, folder).select("profile", F.col("profile").alias("file_hash"))
     return search.profile_snippets(asked, own, owners).select("profile", "profile_snippet")

@@ -141,3 +141,33 @@ def test_mean_vector_stands_in(spark):
     pairs = spark.createDataFrame([("p", 0.5), ("p", 0.9)], "profile string, similarity double")
     means = spark.createDataFrame([("p", 0.1), ("q", 0.2)], "profile string, similarity double")
     assert {tuple(r) for r in multi_vector_similarity(pairs, ["profile"], "max", means).collect()} == {("p", 0.9), ("q", 0.2)}
+
+
+def test_profile_snippet_keeps_no_step_longer_than_needed(spark, sf, monkeypatch):
+    # what is on disk when the profiles' own chunks are searched, and what the texts of the hits are joined to
+    from pathlib import Path
+
+    from matchloom import session
+    from matchloom.operators import search, vectors
+    from matchloom.plans import tables, vector_queries
+
+    made, seen, plans = [], [], []
+
+    def stored(df):
+        made.append(session.stored(df))
+        return made[-1]
+
+    def nearest(queries, chunks, n):
+        seen.append([Path(x._stored_at.removeprefix("file:")).exists() for x in made])
+        return vectors.nearest(queries, chunks, n)
+
+    def materialise(df):
+        plans.append(df._jdf.queryExecution().analyzed().toString())
+        return session.materialise(df)
+
+    monkeypatch.setattr(tables, "stored", stored)
+    monkeypatch.setattr(search, "nearest", nearest)
+    monkeypatch.setattr(vector_queries, "materialise", materialise)
+    vector_queries.profile_snippet(spark, sf)
+    assert seen == [[True], [True], [False]]
+    assert len(plans) == 1 and "MapInArrow" not in plans[0]
